@@ -5,6 +5,8 @@ Input rows are (system, qid, rk, ...); no operator here looks at scores again.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,9 +170,10 @@ def bootstrap_ci(
     """
     placed = shuffled_position(ranks.select("qid").distinct(), "qid", seed, out="place")
     n = placed.count()
+    spark = ranks.sparkSession
     draws = (
-        placed.select("place")
-        .select(F.col("place").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
+        spark.range(n * rounds)
+        .select(F.expr(f"id div {n} + 1").alias("b"), F.expr(f"id % {n}").alias("i"))
         .select("i", "b", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
         .select("b", "k", F.pmod(md5_int(seed, "k", "b", "i"), F.lit(n)).alias("place"))
         .groupBy("k", "b", "place").agg(F.count(F.lit(1)).alias("times"))
@@ -191,8 +194,6 @@ def bootstrap_ci_large(
 ) -> DataFrame:
     """The same interval for many queries: n redraws of a 0/1 hit are one
     Binomial(n, recall) draw, so the work no longer grows with n * rounds."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("struct<lo:double,hi:double>")
     def interval(k: pd.Series, n: pd.Series, hits: pd.Series) -> pd.DataFrame:

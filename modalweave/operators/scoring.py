@@ -214,11 +214,8 @@ def truth_ranks(
         + _double("s_truth", *gt_sims)
         + _long("better", "seen")
     )
-    q = q.select(
-        "qid", "truth", *carry, *unique([s.q for s in spaces]),
-        *unique([w for s in systems for w in s.columns() if w not in carry]),
-        *[f"gt_{n}" for n in names],
-    )
+    used = [s.q for s in spaces] + [w for s in systems for w in s.columns()]
+    q = q.select(*unique(["qid", "truth", *carry, *used, *[f"gt_{n}" for n in names]]))
     partial = block_join(
         q, g, TruthRank(spaces, systems, carry), schema,
         q_key=["qid"], g_key=["id"], limits=limits,
