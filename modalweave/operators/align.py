@@ -45,25 +45,30 @@ class Gram:
         return (self.sxy - np.outer(self.sx, self.sy) / self.n) / (self.n - ddof)
 
 
+    def swap(self) -> "Gram":
+        return Gram(self.n, self.sy, self.syy, self.sx, self.sxx, self.sxy.T)
+
+
 def _matrix(column, rows):
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(rows, -1)
 
 
-def gram(df: DataFrame, x: str, y: str | None = None) -> Gram:
-    """n, sums and cross products of one or two vector columns in one pass."""
-    cols = [x] if y is None else [x, y]
+def grams(df: DataFrame, cols) -> dict[tuple[str, str], Gram]:
+    """Gram sums of every ordered pair of vector columns, in one pass."""
+    cols = list(cols)
     rows = df.select(*cols).filter(" and ".join(f"{c} is not null" for c in cols))
 
     def partial(batches):
-        total, n = None, 0
+        total = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            m = np.hstack([_matrix(batch.column(i), batch.num_rows) for i in range(len(cols))])
-            m = np.hstack([np.ones((len(m), 1)), m])
+            parts = [_matrix(batch.column(i), batch.num_rows) for i in range(len(cols))]
+            # a one for the sums, then each column's width, then the components
+            head = [[1.0, *[float(p.shape[1]) for p in parts]]]
+            m = np.hstack([np.repeat(head, batch.num_rows, axis=0), *parts])
             total = m.T @ m if total is None else total + m.T @ m
-            n += len(m)
         if total is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(total), dtype=np.int64)), A.vector_array(total)],
@@ -71,17 +76,25 @@ def gram(df: DataFrame, x: str, y: str | None = None) -> Gram:
             )
 
     parts = rows.mapInArrow(partial, "row long, vec array<double>")
-    # d+1 rows, whatever the size of the table
-    summed = A.combine_vectors(parts, "row", "vec", "sum").orderBy("key").toArrow()
-    full = _matrix(summed.column("vec").combine_chunks(), summed.num_rows)
+    # as many rows as the columns have components, whatever the size of the table
+    summed = A.combine_vectors(parts, "row", "vec", "sum").toArrow()
+    order = np.argsort(summed.column("key").to_numpy())
+    full = _matrix(summed.column("vec").combine_chunks(), summed.num_rows)[order]
     n = int(round(full[0, 0]))
-    if y is None:
-        return Gram(n, full[0, 1:], full[1:, 1:])
-    d = len(rows.first()[x])
-    return Gram(
-        n, full[0, 1 : d + 1], full[1 : d + 1, 1 : d + 1],
-        full[0, d + 1 :], full[d + 1 :, d + 1 :], full[1 : d + 1, d + 1 :],
-    )
+    k = len(cols) + 1
+    ends = k + np.cumsum(np.rint(full[0, 1:k] / n).astype(int))
+    at = {c: slice(lo, hi) for c, lo, hi in zip(cols, [k, *ends[:-1]], ends)}
+    return {
+        (x, y): Gram(
+            n, full[0, at[x]], full[at[x], at[x]], full[0, at[y]], full[at[y], at[y]], full[at[x], at[y]]
+        )
+        for x in cols for y in cols
+    }
+
+
+def gram(df: DataFrame, x: str, y: str | None = None) -> Gram:
+    """n, sums and cross products of one or two vector columns in one pass."""
+    return grams(df, [x] if y is None else [x, y])[(x, y or x)]
 
 
 @dataclass(frozen=True)
@@ -186,13 +199,9 @@ def whitened_gram(g: Gram, mx: LinearMap, my: LinearMap) -> Gram:
     )
 
 
-def swap(g: Gram) -> Gram:
-    return Gram(g.n, g.sy, g.syy, g.sx, g.sxx, g.sxy.T)
-
-
 def fit_whiten_then_ridge(g: Gram, lam: float = 1e-2, eps: float = 1e-4) -> LinearMap:
     """Whiten both views, then ridge from the one to the other."""
-    wx, wy = fit_zca(g, eps), fit_zca(swap(g), eps)
+    wx, wy = fit_zca(g, eps), fit_zca(g.swap(), eps)
     ridge = fit_ridge(whitened_gram(g, wx, wy), lam)
     return compose(wx, ridge, "whiten_ridge")
 

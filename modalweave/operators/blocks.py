@@ -183,13 +183,50 @@ def split_block(block: dict, size: int) -> list[dict]:
 
 
 def _collect_bounded(df: DataFrame, limits: Limits):
-    """The rows of ``df`` as one block if they prove to fit the bound, else None."""
+    """The rows of ``df`` as an Arrow table if they prove to fit the bound, else None."""
     if limits.broadcast_rows <= 0:
         return None
     table = df.limit(limits.broadcast_rows + 1).toArrow()
     if table.num_rows > limits.broadcast_rows or table.nbytes > limits.broadcast_bytes:
         return None
-    return to_block(table)
+    return table
+
+
+def truth_columns(columns) -> list[str]:
+    return [f"gt_{c}" for c in columns]
+
+
+def with_truth(queries: DataFrame, gallery: DataFrame, columns) -> DataFrame:
+    """Queries with gt_* columns: the gallery columns of their truth (equi-join)."""
+    truth = gallery.select(
+        F.col("id").alias("truth"),
+        *[F.col(c).alias(n) for c, n in zip(columns, truth_columns(columns))],
+    )
+    return queries.join(truth, "truth")
+
+
+def _attach_truth(block: dict, table, gallery: DataFrame, columns) -> dict:
+    """The same for queries already at hand.
+
+    Only their ids go out, broadcast, so the gallery is read but not shuffled.
+    """
+    ids = pa.table({"id": table.column("truth").unique()})
+    wanted = F.broadcast(gallery.sparkSession.createDataFrame(ids))
+    found = to_block(gallery.select("id", *columns).join(wanted, "id").toArrow())
+    order = np.argsort(found["id"], kind="stable")
+    place = np.searchsorted(found["id"][order], block["truth"])
+    hit = place < found["_n"]
+    hit[hit] = found["id"][order][place[hit]] == block["truth"][hit]
+    out = {k: v[hit] for k, v in block.items() if k != "_n"}
+    for c, n in zip(columns, truth_columns(columns)):
+        out[n] = found[c][order][place[hit]]
+    out["_n"] = int(hit.sum())
+    return out
+
+
+def fits_broadcast(df: DataFrame, rows: int = 1_000_000) -> bool:
+    """Does a narrow table prove to have no more rows than the bound?"""
+    return df.limit(rows + 1).count() <= rows
 
 
 def block_join(
@@ -200,13 +237,16 @@ def block_join(
     *,
     q_key: list[str],
     g_key: list[str],
+    truth=(),
     limits: Limits | None = None,
 ) -> DataFrame:
     """Run ``kernel`` over all query/gallery tiles; returns its partial rows.
 
     ``kernel`` offers ``start(q)``, ``update(state, q, g)`` and
     ``finish(state, q) -> dict``; partial rows of one query may come from
-    several tasks and have to be merged by an aggregate.
+    several tasks and have to be merged by an aggregate.  ``truth`` names
+    gallery columns the kernel needs of each query's truth, as gt_* columns;
+    queries whose truth is not in the gallery then drop out.
     """
     limits = limits or DEFAULT_LIMITS
     arrow_schema = to_arrow_schema(schema)
@@ -221,7 +261,10 @@ def block_join(
     sc = queries.sparkSession.sparkContext
     small = _collect_bounded(queries, limits)
     if small is not None:
-        q_blocks = sc.broadcast(split_block(small, limits.query_tile))
+        block = to_block(small)
+        if truth and block["_n"]:
+            block = _attach_truth(block, small, gallery, truth)
+        q_blocks = sc.broadcast(split_block(block, limits.query_tile))
 
         def past_gallery(batches):
             blocks = q_blocks.value
@@ -238,9 +281,11 @@ def block_join(
 
         return gallery.mapInArrow(past_gallery, schema)
 
+    if truth:
+        queries = with_truth(queries, gallery, truth)
     small = _collect_bounded(gallery, limits)
     if small is not None:
-        g_blocks = sc.broadcast(split_block(small, limits.gallery_tile))
+        g_blocks = sc.broadcast(split_block(to_block(small), limits.gallery_tile))
 
         def past_queries(batches):
             for batch in batches:

@@ -15,6 +15,7 @@ from pyspark.sql.types import (
 
 from ..functions.text import contains_any, is_blank
 from ..functions.vectors import col_of, dot
+from ..session import materialize
 
 _S = StringType()
 
@@ -151,7 +152,9 @@ def build_manifest(raw: DataFrame, seed: int = 42, pilot: int | None = None) ->
     """Raw records to a split manifest of the valid ones."""
     from .sampling import pilot_sample, stratified_split
 
+    # parsed once; the split below reads the written columns it needs
     manifest = project_manifest(validate(parse_records(raw))).drop("split")
+    manifest = materialize(manifest, "manifest")
     if pilot:
         manifest = pilot_sample(manifest, "content_fine_category", "video_id", pilot, seed)
     return stratified_split(manifest, "content_fine_category", "video_id", 0.85, seed)
@@ -200,44 +203,56 @@ def verbatim_match_rate(queries: DataFrame, captions: DataFrame) -> DataFrame:
     )
 
 
-def partial_match(queries: DataFrame, captions: DataFrame, n: int = 20) -> DataFrame:
-    """(qid, pos): non-exact queries with a caption of the same video such that the
-    first ``n`` characters of one text occur in the other.
+def _head_hits(heads: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
+    """(hid, tid): heads that occur in a text of the same video.
 
-    Containment becomes an equi-join on (video, window): a prefix of length L
-    occurs in a text exactly if it equals one of the text's L-character
-    windows.  No query x caption pairs are formed, however large a video is.
+    A video with at most ``bound`` distinct heads has them tested row by row
+    against each of its texts.  For any other video containment becomes an
+    equi-join: a head of length L occurs in a text exactly if it equals one of
+    the text's L-character windows.  Neither way forms all pairs of a video.
     """
-    key = ["video", "text"]
-    open_q = queries.join(captions.select(*key).distinct(), key, "left_anti")
-    caps = captions.join(open_q.select("video").distinct(), "video", "left_semi")
-    q_side = open_q.select("qid", "video", "text", F.substring("text", 1, n).alias("head"))
-    c_side = caps.select("pos", "video", "text", F.substring("text", 1, n).alias("head"))
-
-    def windows(df, lengths):
-        """Distinct windows of every text, for the head lengths its video needs."""
-        need = df.join(lengths, "video")
-        start = F.sequence(F.lit(1), F.length("text") - F.col("len") + 1)
-        fits = need.filter(F.length("text") >= F.col("len"))
-        return fits.select(
-            *[c for c in df.columns if c not in ("text", "head")],
-            F.explode(
-                F.array_distinct(
-                    F.transform(start, lambda i: F.substring(F.col("text"), i, F.col("len")))
-                )
-            ).alias("head"),
-        )
-
-    lengths = lambda side: side.select("video", F.length("head").alias("len")).distinct()
-    in_caption = q_side.select("qid", "video", "head").join(
-        windows(c_side, lengths(q_side)), ["video", "head"]
+    distinct = heads.select("video", "head").distinct()
+    sizes = distinct.groupBy("video").agg(F.count(F.lit(1)).alias("_n"))
+    few = (
+        distinct.join(sizes.filter(F.col("_n") <= bound), "video")
+        .groupBy("video").agg(F.collect_list("head").alias("_heads"))
     )
-    in_query = c_side.select("pos", "video", "head").join(
-        windows(q_side, lengths(c_side)), ["video", "head"]
+    direct = texts.join(few, "video").select(
+        "tid", "video",
+        F.explode(F.filter("_heads", lambda h: F.contains(F.col("text"), h))).alias("head"),
     )
-    return (
-        in_caption.select("qid", "pos").unionByName(in_query.select("qid", "pos")).distinct()
+    crowded = sizes.filter(F.col("_n") > bound).select("video")
+    lengths = distinct.join(crowded, "video", "left_semi").select(
+        "video", F.length("head").alias("_len")
+    ).distinct()
+    start = F.sequence(F.lit(1), F.length("text") - F.col("_len") + 1)
+    windows = (
+        texts.join(lengths, "video")
+        .filter(F.length("text") >= F.col("_len"))
+        .select("tid", "video", "text", "_len", F.explode(start).alias("_at"))
+        .select("tid", "video", F.expr("substring(text, _at, _len)").alias("head"))
     )
+    by_window = windows.join(distinct, ["video", "head"], "left_semi").distinct()
+    found = direct.unionByName(by_window)
+    return found.join(heads, ["video", "head"]).select("hid", "tid")
+
+
+def partial_match(
+    queries: DataFrame, captions: DataFrame, n: int = 20, bound: int = 256
+) -> DataFrame:
+    """(qid, pos): non-exact queries with a caption of the same video such that the
+    first ``n`` characters of one text occur in the other."""
+    key = ["video", "text"]
+    open_q = queries.join(captions.select(*key).distinct(), key, "left_anti")
+    caps = captions.join(open_q.select("video").distinct(), "video", "left_semi")
+    head = F.substring("text", 1, n).alias("head")
+    q_head = open_q.select(F.col("qid").alias("hid"), "video", head)
+    c_head = caps.select(F.col("pos").alias("hid"), "video", head)
+    q_text = open_q.select(F.col("qid").alias("tid"), "video", "text")
+    c_text = caps.select(F.col("pos").alias("tid"), "video", "text")
+    forth = _head_hits(q_head, c_text, bound).toDF("qid", "pos")
+    back = _head_hits(c_head, q_text, bound).toDF("pos", "qid")
+    return forth.unionByName(back).distinct()
 
 
 def vector_health(df: DataFrame, vec: str, by: str) -> DataFrame:

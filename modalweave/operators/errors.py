@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, words
@@ -29,8 +29,9 @@ def success_patterns(ranks: DataFrame, systems=("visual", "text", "audio")) -> D
     cols = [f"s_{s}" for s in systems]
     wide = _wide(ranks, systems)
     table = wide.cube(*cols).agg(F.count(F.lit(1)).alias("n"))
-    n_all = wide.agg(F.count(F.lit(1)).alias("_t")).first()["_t"]
-    return table.select(*cols, "n", (F.col("n") / F.lit(n_all)).alias("share"))
+    # at most 3^systems rows; the grand total is the largest count
+    total = F.max("n").over(Window.partitionBy(F.lit(1)))
+    return table.select(*cols, "n", (F.col("n") / total).alias("share"))
 
 
 def gate_only_success(ranks: DataFrame, gate: str = "gated", singles=("visual", "text", "audio")):
@@ -53,8 +54,8 @@ def agreement(ranks: DataFrame, a: str, b: str) -> DataFrame:
         F.when(x & y, "both").when(~x & ~y, "neither").when(x, f"{a}_only").otherwise(f"{b}_only")
     )
     counts = wide.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-    n_all = wide.count()
-    return counts.withColumn("share", F.col("n") / F.lit(n_all))
+    # four rows
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
 def rank_change(ranks: DataFrame, a: str, b: str) -> DataFrame:
@@ -136,8 +137,6 @@ def vocab_counts(ranks: DataFrame, texts: DataFrame, stop_words=STOP_WORDS) -> D
 
 
 def top_words(counts: DataFrame, n: int = 10) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("bucket").orderBy(F.col("n").desc(), "word")
     return counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
@@ -153,8 +152,6 @@ def failure_only_words(counts: DataFrame, good="perfect", bad="very_far") -> Dat
 
 def examples(ranks: DataFrame, top1: DataFrame, texts: DataFrame, n: int = 5, seed: int = 42):
     """``n`` seeded sample queries per rank bucket with their text and top result's text."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("bucket").orderBy(md5_key(seed, "qid"), "qid")
     picked = (
         ranks.select("qid", "truth", "rk", rank_bucket().alias("bucket"))

@@ -77,9 +77,9 @@ def mean_confidence(queries, gallery, tau: float = 1.0, spaces=CLIP_CLAP, limits
     spaces need one pass over the gallery and none over the pairs.
     """
     if all(s.metric == "cosine" for s in spaces):
+        centres = A.centroids(gallery, list(dict.fromkeys(s.g for s in spaces)))
         means = [
-            V.dot(s.q, A.constant_vector(A.centroid(gallery, s.g))) / s.tau * s.scale
-            for s in spaces
+            V.dot(s.q, A.constant_vector(centres[s.g])) / s.tau * s.scale for s in spaces
         ]
         return with_softmax_weights(queries, [m / tau for m in means])
     stats = score_stats(queries, gallery, spaces, limits=limits)

@@ -15,7 +15,7 @@ from ..functions import vectors as V
 from ..session import materialize
 from .blocks import CLIP_CLAP, SCORE_DECIMALS, System, block_join
 from .fusion import WEIGHTS, truth_similarities, with_softmax_weights
-from .scoring import _fields, _gallery_columns, score_top_k, with_truth_vectors
+from .scoring import _fields, _gallery_columns, score_top_k
 
 # erf on a grid; cubic Hermite steps of 1/512 keep the error below 1e-13.
 _STEP = 1.0 / 512
@@ -306,9 +306,9 @@ def mean_score_features(queries: DataFrame, gallery: DataFrame, spaces=CLIP_CLAP
     """Add f_v, f_t, f_a: mean score of the query per modality (by centroids)."""
     from ..functions import aggregates as A
 
+    centres = A.centroids(gallery, list(dict.fromkeys(s.g for s in spaces)))
     for s in spaces:
-        c = A.constant_vector(A.centroid(gallery, s.g))
-        queries = queries.withColumn(f"f_{s.name}", V.dot(s.q, c))
+        queries = queries.withColumn(f"f_{s.name}", V.dot(s.q, A.constant_vector(centres[s.g])))
     return queries
 
 

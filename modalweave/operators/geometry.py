@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import aggregates as A
 from ..functions import vectors as V
-from .align import Gram, fit_zca, gram
+from .align import Gram, fit_zca, gram, grams
 from .blocks import SCORE_DECIMALS, Space, System, block_join
 from .curate import positive_pairs
 from .scoring import _fields, score_stats, score_top_k
@@ -195,8 +195,8 @@ def temperature_sweep(queries, gallery, spaces, taus=(0.5, 1.0, 2.0, 5.0, 10.0,
 def centroid_spread(df: DataFrame, cols) -> DataFrame:
     """(modality, norm, mean_distance) of the centroid of each vector column."""
     out = None
-    for c in cols:
-        centre = A.constant_vector(A.centroid(df, c))
+    for c, mean in A.centroids(df, cols).items():
+        centre = A.constant_vector(mean)
         part = df.select(V.norm(V.add(c, centre, 1.0, -1.0)).alias("_d")).agg(
             F.lit(c).alias("modality"), V.norm(centre).alias("norm"),
             F.avg("_d").alias("mean_distance"),
@@ -212,8 +212,7 @@ def _frame(spark: SparkSession, rows, schema):
 def modality_gap(df: DataFrame, cols) -> DataFrame:
     """(a, b, euclidean, cosine, cosine_distance) of the unit centroids of each pair."""
     unit = {}
-    for c in cols:
-        m = A.centroid(df, c)
+    for c, m in A.centroids(df, cols).items():
         length = np.linalg.norm(m)
         unit[c] = m / length if length > V.EPS else m
     rows = []
@@ -253,7 +252,8 @@ def _pair_moments(ga: Gram, gb: Gram):
 
 def cross_vs_intra(df: DataFrame, cols_a: str, cols_b: str) -> DataFrame:
     """Mean and sample std of all pair cosines between and within two columns."""
-    ga, gb = gram(df, cols_a), gram(df, cols_b)
+    g = grams(df, [cols_a, cols_b])
+    ga, gb = g[(cols_a, cols_a)], g[(cols_b, cols_b)]
     rows = []
     for name, x, y in (("cross", ga, gb), (f"intra_{cols_a}", ga, ga), (f"intra_{cols_b}", gb, gb)):
         n, s1, s2 = _pair_moments(x, y)
@@ -272,7 +272,8 @@ def anisotropy_of(g: Gram) -> tuple[float, float]:
 
 
 def anisotropy(df: DataFrame, cols) -> DataFrame:
-    rows = [(c, *anisotropy_of(gram(df, c))) for c in cols]
+    g = grams(df, cols)
+    rows = [(c, *anisotropy_of(g[(c, c)])) for c in cols]
     return _frame(df.sparkSession, rows, "modality string, mean_cos double, std_cos double")
 
 
@@ -287,7 +288,8 @@ def effective_dim_of(cov: np.ndarray) -> float:
 
 
 def effective_dim(df: DataFrame, cols) -> DataFrame:
-    rows = [(c, effective_dim_of(gram(df, c).cov_x())) for c in cols]
+    g = grams(df, cols)
+    rows = [(c, effective_dim_of(g[(c, c)].cov_x())) for c in cols]
     return _frame(df.sparkSession, rows, "modality string, effective_dim double")
 
 
@@ -300,9 +302,10 @@ def pca_explained_of(cov: np.ndarray, top: int = 10) -> list[float]:
 
 
 def pca_explained(df: DataFrame, cols, top: int = 10) -> DataFrame:
+    g = grams(df, cols)
     rows = [
         (c, i + 1, float(x))
-        for c in cols for i, x in enumerate(pca_explained_of(gram(df, c).cov_x(), top))
+        for c in cols for i, x in enumerate(pca_explained_of(g[(c, c)].cov_x(), top))
     ]
     return _frame(df.sparkSession, rows, "modality string, component int, cumulative double")
 
@@ -311,11 +314,14 @@ def whitening_effect(df: DataFrame, cols, eps: float = 1e-4) -> DataFrame:
     """Mean cosine and effective dimension before and after ZCA whitening."""
     from .align import affine
 
+    before = grams(df, cols)
+    white = df.select(*cols)
+    for c in cols:
+        white = affine(white, c, fit_zca(before[(c, c)], eps), normalize_input=False)
+    after = grams(white, cols)
     rows = []
     for c in cols:
-        g = gram(df, c)
-        white = affine(df.select(c), c, fit_zca(g, eps), normalize_input=False)
-        gw = gram(white, c)
+        g, gw = before[(c, c)], after[(c, c)]
         rows.append(
             (c, anisotropy_of(g)[0], anisotropy_of(gw)[0],
              effective_dim_of(g.cov_x()), effective_dim_of(gw.cov_x()))

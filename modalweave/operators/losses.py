@@ -19,7 +19,6 @@ from .scoring import (
     score_top_k,
     truth_ranks,
     unique,
-    with_truth_vectors,
 )
 from .sampling import id_position, random_negatives
 
@@ -93,18 +92,15 @@ class ApproxNdcg:
 def approx_ndcg(queries, gallery, tau=0.1, spaces=CLIP_CLAP, system=EQUAL, limits=None) -> DataFrame:
     """(loss) smooth NDCG surrogate; places are gallery positions in id order."""
     placed = id_position(gallery, "id", "place")
-    q = with_truth_vectors(_query_columns(queries, spaces, (system,), ["truth"]), gallery, spaces)
+    q = _query_columns(queries, spaces, (system,), ["truth"])
     q = q.join(placed.select(F.col("id").alias("truth"), F.col("place").alias("truth_place")), "truth")
     g = _gallery_columns(placed, spaces, ["place"])
     schema = StructType(
         _fields(q, ["qid"]) + [StructField("num", DoubleType()), StructField("den", DoubleType())]
     )
-    q = q.select(
-        "qid", "truth", "truth_place", *unique([s.q for s in spaces]), *system.columns(),
-        *[f"gt_{n}" for n in unique([s.g for s in spaces])],
-    )
     partial = block_join(
-        q, g, ApproxNdcg(spaces, system, tau), schema, q_key=["qid"], g_key=["id"], limits=limits
+        q, g, ApproxNdcg(spaces, system, tau), schema, q_key=["qid"], g_key=["id"],
+        truth=unique([s.g for s in spaces]), limits=limits,
     )
     per_q = partial.groupBy("qid").agg((F.sum("num") / F.sum("den")).alias("l"))
     return per_q.agg(F.avg("l").alias("loss"))

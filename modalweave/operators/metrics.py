@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .blocks import fits_broadcast
 from .sampling import md5_int, shuffled_position
 
 KS = (1, 5, 10)
@@ -105,8 +107,8 @@ def rank_buckets(ranks: DataFrame) -> DataFrame:
     counts = ranks.groupBy("system", rank_bucket().alias("bucket")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    totals = ranks.groupBy("system").agg(F.count(F.lit(1)).alias("_t"))
-    return counts.join(totals, "system").withColumn("share", F.col("n") / F.col("_t")).drop("_t")
+    total = F.sum("n").over(Window.partitionBy("system"))
+    return counts.withColumn("share", F.col("n") / total)
 
 
 def rank_shares(ranks: DataFrame, thresholds=(0, 1, 5, 10, 50, 100, 500, 1000)) -> DataFrame:
@@ -166,21 +168,23 @@ def bootstrap_ci(
 
     Recall is a mean of per-query hits, so a resample only redraws hits: each
     of the n places of a round names one query place by hash, and an equi-join
-    on the place fetches that query's ranks.
+    on the place fetches that query's ranks.  All systems answer the same n
+    queries.
     """
-    placed = shuffled_position(ranks.select("qid").distinct(), "qid", seed, out="place")
-    n = placed.count()
+    hits = shuffled_position(ranks.select("system", "qid", "rk"), "qid", seed, ["system"], "place")
+    hits = materialize(hits.select("system", "place", "rk"), "hits")
+    n = hits.agg(F.max("place") + 1).first()[0]
     spark = ranks.sparkSession
     draws = (
         spark.range(n * rounds)
         .select(F.expr(f"id div {n} + 1").alias("b"), F.expr(f"id % {n}").alias("i"))
         .select("i", "b", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
         .select("b", "k", F.pmod(md5_int(seed, "k", "b", "i"), F.lit(n)).alias("place"))
-        .groupBy("k", "b", "place").agg(F.count(F.lit(1)).alias("times"))
     )
-    hits = ranks.select("system", "qid", "rk").join(placed, "qid")
+    if fits_broadcast(hits):
+        hits = F.broadcast(hits)
     rounds_ = draws.join(hits, "place").groupBy("system", "k", "b").agg(
-        (F.sum(F.when(F.col("rk") <= F.col("k"), F.col("times")).otherwise(0)) / n).alias("recall")
+        F.avg((F.col("rk") <= F.col("k")).cast("int")).alias("recall")
     )
     tail = (1.0 - level) / 2
     return rounds_.groupBy("system", "k").agg(

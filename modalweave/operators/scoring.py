@@ -7,7 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .blocks import CLIP_CLAP, SCORE_DECIMALS, Limits, Space, System, block_join
+from .blocks import (
+    CLIP_CLAP,
+    SCORE_DECIMALS,
+    Limits,
+    Space,
+    System,
+    block_join,
+)
 
 EQUAL = System("equal", (1 / 3, 1 / 3, 1 / 3))
 
@@ -179,15 +186,6 @@ class TruthRank:
         return out
 
 
-def with_truth_vectors(queries: DataFrame, gallery: DataFrame, spaces) -> DataFrame:
-    """Attach the gallery vectors of each query's truth (equi-join on id)."""
-    names = unique([s.g for s in spaces])
-    truth = gallery.select(
-        F.col("id").alias("truth"), *[F.col(n).alias(f"gt_{n}") for n in names]
-    )
-    return queries.join(truth, "truth")
-
-
 def truth_ranks(
     queries: DataFrame,
     gallery: DataFrame,
@@ -202,10 +200,7 @@ def truth_ranks(
     truth.  Queries whose truth is not in the gallery drop out.
     """
     carry = [c for c in carry if c not in ("qid", "truth")]
-    names = unique([s.g for s in spaces])
-    q = with_truth_vectors(
-        _query_columns(queries, spaces, systems, ["truth", *carry]), gallery, spaces
-    )
+    q = _query_columns(queries, spaces, systems, ["truth", *carry])
     g = _gallery_columns(gallery, spaces)
     gt_sims = [f"gt_sim_{s.name}" for s in spaces]
     schema = StructType(
@@ -214,11 +209,9 @@ def truth_ranks(
         + _double("s_truth", *gt_sims)
         + _long("better", "seen")
     )
-    used = [s.q for s in spaces] + [w for s in systems for w in s.columns()]
-    q = q.select(*unique(["qid", "truth", *carry, *used, *[f"gt_{n}" for n in names]]))
     partial = block_join(
         q, g, TruthRank(spaces, systems, carry), schema,
-        q_key=["qid"], g_key=["id"], limits=limits,
+        q_key=["qid"], g_key=["id"], truth=unique([s.g for s in spaces]), limits=limits,
     )
     return (
         partial.groupBy("system", "qid", "truth", *carry)
@@ -364,9 +357,7 @@ def exp_sums(
     ln(e_all) is then the softmax cross entropy of the truth itself.
     """
     extra = ["truth"] + ([same] if same else [])
-    q = with_truth_vectors(
-        _query_columns(queries, spaces, systems, extra), gallery, spaces
-    )
+    q = _query_columns(queries, spaces, systems, extra)
     g = _gallery_columns(gallery, spaces, [same] if same else [])
     schema = StructType(
         [StructField("system", StringType())]
@@ -375,7 +366,7 @@ def exp_sums(
     )
     partial = block_join(
         q, g, ExpSum(spaces, systems, tau, same), schema,
-        q_key=["qid"], g_key=["id"], limits=limits,
+        q_key=["qid"], g_key=["id"], truth=unique([s.g for s in spaces]), limits=limits,
     )
     return partial.groupBy("system", "qid").agg(
         F.sum("e_all").alias("e_all"), F.sum("e_pos").alias("e_pos")

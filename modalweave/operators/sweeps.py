@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .blocks import SCORE_DECIMALS, angular_spaces, block_join
-from .scoring import _fields, _gallery_columns, _query_columns, unique, with_truth_vectors
+from .scoring import _fields, _gallery_columns, _query_columns, unique
 
 
 class SweepRank:
@@ -47,16 +47,14 @@ def sweep_recall(
     """(w_v, w_t, w_a, r1, r5, r10) for every weight combination."""
     spaces = spaces or angular_spaces()
     scaled = [(v, t, a * scale_a) for v, t, a in combos]
-    q = with_truth_vectors(_query_columns(queries, spaces, (), ["truth"]), gallery, spaces)
-    q = q.select(
-        "qid", "truth", *unique([s.q for s in spaces]), *[f"gt_{n}" for n in unique([s.g for s in spaces])]
-    )
+    q = _query_columns(queries, spaces, (), ["truth"])
     g = _gallery_columns(gallery, spaces)
     schema = StructType(
         [StructField("combo", LongType())] + _fields(q, ["qid"]) + [StructField("ahead", LongType())]
     )
     partial = block_join(
-        q, g, SweepRank(spaces, scaled), schema, q_key=["qid"], g_key=["id"], limits=limits
+        q, g, SweepRank(spaces, scaled), schema, q_key=["qid"], g_key=["id"],
+        truth=unique([s.g for s in spaces]), limits=limits,
     )
     ranks = partial.groupBy("combo", "qid").agg((F.sum("ahead") + 1).alias("rk"))
     by_combo = ranks.groupBy("combo").agg(

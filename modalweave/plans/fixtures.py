@@ -17,13 +17,20 @@ HALF = 32
 SILENT_ENERGY = 0.42  # audio halves below this energy count as missing tracks
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """One given table; an input with fewer splits than cores is spread out first.
+
+    Tile and text work is heavy per row, so a table in a few files would keep
+    most cores idle.  A large table has splits enough and is not shuffled.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
-def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def halves(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """(id, category, e, a, b): each embedding split in two half vectors."""
-    e = table(spark, sf_dir, "embeddings").select(
+    e = table(spark, sf_dir, "embeddings", spread).select(
         F.col("vec_id").alias("id"),
         F.col("label").alias("category"),
         V.as_double("embedding").alias("e"),
@@ -75,7 +82,7 @@ def kind_of(category) -> Column:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, truth, category, kind, q_clip, q_clap): one query per item."""
-    return halves(spark, sf_dir).select(
+    return halves(spark, sf_dir, spread=False).select(
         F.col("id").alias("qid"),
         F.col("id").alias("truth"),
         "category",
@@ -128,9 +135,9 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captions(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """(video, pos, text, vec): every embedding is a caption of its label's video."""
-    return table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings", spread).select(
         F.col("label").cast("long").alias("video"),
         F.col("vec_id").alias("pos"),
         F.col("vec_id").cast("string").alias("text"),
@@ -140,7 +147,7 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def caption_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, truth, text, own_pos, vec): each caption asked as a query."""
-    return captions(spark, sf_dir).select(
+    return captions(spark, sf_dir, spread=False).select(
         F.col("pos").alias("qid"), F.col("video").alias("truth"), "text",
         F.col("pos").alias("own_pos"), "vec",
     )
