@@ -320,6 +320,8 @@ def block_join(
                 out.append(emit(kernel.finish(state, q)))
         return pa.Table.from_batches(out, schema=arrow_schema)
 
+    # fresh column identities: both sides may stem from the same table
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     return (
         left.groupBy("_bq", "_bg")
         .cogroup(right.groupBy("_bq", "_bg"))

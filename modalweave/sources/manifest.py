@@ -83,7 +83,7 @@ def scan_raw_records(spark: SparkSession, root: str) -> DataFrame:
     Media files sit beside their record; only their listing is read.
     """
     records = spark.read.text(f"{root}/*/*.json", wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value"
+        _uri("_metadata.file_path").alias("path"), "value"
     )
     media = (
         list_files(spark, root, "*.mp4")
@@ -102,10 +102,15 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select(F.regexp_replace("path", r"^file:/+", "file:///").alias("path"), "length")
+        .select(_uri("path").alias("path"), "length")
     )
 
 
+def _uri(path: str):
+    """Local paths spelled the same by every source."""
+    return F.regexp_replace(path, r"^file:/+", "file:/")
+
+
 def write_rejects(rejects: DataFrame, path: str) -> None:
     rejects.write.mode("overwrite").option("header", "true").csv(path)
 

@@ -42,3 +42,17 @@ def write_report(metrics: DataFrame, path: str, fmt: str = "json") -> None:
 def scan_report(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     reader = spark.read.schema("system string, stratum string, metric string, value double")
     return reader.json(path) if fmt == "json" else reader.option("header", "true").csv(path)
+
+
+def write_bucketed_store(df: DataFrame, table: str, path: str, buckets: int) -> None:
+    """A store as a bucketed table: joins of such stores on id need no shuffle."""
+    out = df.withColumn("vec", V.l2_normalize("vec").cast("array<float>"))
+    (
+        out.write.mode("overwrite").format("parquet")
+        .bucketBy(buckets, "id").sortBy("id")
+        .option("path", path).saveAsTable(table)
+    )
+
+
+def scan_bucketed_store(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table).withColumn("vec", V.as_double("vec"))
