@@ -360,7 +360,7 @@ def _(spark, sf):
 
     a, b = store(spark, sf, "audio"), store(spark, sf, "caption")
     q, g = as_queries(a), as_gallery(b)
-    r = S.truth_ranks(q, g, PAIR, (ONE,))
+    r = materialize(S.truth_ranks(q, g, PAIR, (ONE,)), "pair-ranks")
     cut = r.agg(F.percentile("s_truth", F.lit(0.1)).alias("c")).first()["c"]
     cats = X.gallery(spark, sf).select(F.col("id").alias("qid"), "category")
     top = S.score_top_k(q, g, 1, PAIR, (ONE,)).select("qid", F.col("id").alias("top"))
@@ -706,14 +706,24 @@ def _grid_sql(name, a_list, v_lo, v_hi, t_hi):
       FROM (SELECT unnest([{a_list}]) AS a), range({v_lo}, {v_hi}, 5) r(v) WHERE 1000 - v - a BETWEEN 400 AND {t_hi})"""
 
 
+def _candidates_sql(name, source="sa"):
+    """Rows not behind the truth in every modality: no other row can come before it."""
+    return f"""{name} AS (SELECT x.qid, x.id < x.truth AS earlier, x.sim_v AS xv, x.sim_t AS xt, x.sim_a AS xa,
+        y.sim_v AS yv, y.sim_t AS yt, y.sim_a AS ya FROM {source} x JOIN {source} y ON y.qid = x.qid AND y.id = y.truth
+      WHERE x.id <> x.truth AND (x.sim_v >= y.sim_v OR x.sim_t >= y.sim_t OR x.sim_a >= y.sim_a)),
+    {name}_n AS (SELECT count(DISTINCT qid) AS n FROM {source})"""
+
+
 def _sweep_sql(name, grid, source="sa"):
     """Recall of every combination of ``grid``, over the scores of ``source``."""
-    expr = "round(w_v * {p}_v + w_t * {p}_t + (w_a * 0.8::DOUBLE) * {p}_a, 12)"
-    s, t = expr.format(p="x.sim"), expr.format(p="y.sim")
-    return f"""{name}_r AS (SELECT w_v, w_t, w_a, x.qid, 1 + count(*) FILTER (x.id <> x.truth AND
-        ({s} > {t} OR ({s} = {t} AND x.id < x.truth))) AS rk
-      FROM {source} x JOIN {source} y ON y.qid = x.qid AND y.id = y.truth CROSS JOIN {grid} GROUP BY w_v, w_t, w_a, x.qid),
-    {name} AS (SELECT w_v, w_t, w_a, {avg_le(1)} AS r1, {avg_le(5)} AS r5, {avg_le(10)} AS r10 FROM {name}_r GROUP BY ALL)"""
+    expr = "round(w_v * {p}v + w_t * {p}t + (w_a * 0.8::DOUBLE) * {p}a, 12)"
+    s, t = expr.format(p="x"), expr.format(p="y")
+    miss = lambda k: f"1 - count(*) FILTER (ahead >= {k}) / max(n)"
+    return f"""{_candidates_sql(name + '_c', source)},
+    {name}_r AS (SELECT w_v, w_t, w_a, qid, count(*) FILTER ({s} > {t} OR ({s} = {t} AND earlier)) AS ahead
+      FROM {name}_c CROSS JOIN {grid} GROUP BY w_v, w_t, w_a, qid),
+    {name} AS (SELECT w_v, w_t, w_a, {miss(1)} AS r1, {miss(5)} AS r5, {miss(10)} AS r10
+      FROM {name}_r, {name}_c_n GROUP BY w_v, w_t, w_a)"""
 
 
 _SW = f"{r6('w_v', 'w_v')}, {r6('w_t', 'w_t')}, {r6('w_a', 'w_a')}, {r6('r1', 'r1')}, {r6('r5', 'r5')}, {r6('r10', 'r10')}"
@@ -727,9 +737,20 @@ def _(spark, sf):
     return Z.sweep_recall(X.queries(spark, sf), X.gallery(spark, sf), Z.coarse_grid())
 
 
-@query("g14_weight_sweep")
+_FINE = """b3 AS (SELECT round(w_v * 1000)::BIGINT AS v0, round(w_a * 1000)::BIGINT AS a0 FROM sw ORDER BY r1 DESC, w_v, w_a LIMIT 3),
+  fa AS (SELECT v0, unnest(range(greatest(0, a0 - 10), a0 + 11, 2)) AS a FROM b3),
+  fv AS (SELECT a, unnest(range(v0 - 30, v0 + 31, 2)) AS v FROM fa),
+  gf AS (SELECT DISTINCT v / 1000.0::DOUBLE AS w_v, (1000 - v - a) / 1000.0::DOUBLE AS w_t, a / 1000.0::DOUBLE AS w_a FROM fv
+    WHERE 1000 - v - a BETWEEN 400 AND 720)"""
+
+
+@query(
+    "g14_weight_sweep",
+    with_(*BASE, ANGULAR, _grid_sql("gr", "5, 10, 20", 280, 500, 700), _sweep_sql("sw", "gr"), _FINE, _sweep_sql("sf", "gf"))
+    + f"SELECT 'coarse' AS stage, {_SW} FROM sw UNION ALL SELECT 'fine', {_SW} FROM sf",
+)
 def _(spark, sf):
-    """Coarse grid, best three, fine grid: over a thousand combinations in two passes."""
+    """Coarse grid, best three, fine grid: hundreds of combinations in two passes."""
     return Z.weight_sweep(X.queries(spark, sf), X.gallery(spark, sf))
 
 

@@ -35,7 +35,8 @@ class Limits:
     broadcast_bytes: int = 128 << 20
     query_tile: int = 512
     gallery_tile: int = 8_192
-    grid_rows: int = 32_768
+    grid_rows: int = 65_536
+    grid_bytes: int = 256 << 20
 
 
 DEFAULT_LIMITS = Limits()
@@ -229,6 +230,17 @@ def fits_broadcast(df: DataFrame, rows: int = 1_000_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _block_count(df: DataFrame, limits: Limits) -> int:
+    """Blocks needed so that one holds at most ``grid_rows`` rows and ``grid_bytes``.
+
+    A row is shuffled once per block of the other side, so blocks are as large
+    as a task's memory allows.
+    """
+    row_bytes = max(1, df.limit(1).toArrow().nbytes)
+    rows = max(1, min(limits.grid_rows, limits.grid_bytes // row_bytes))
+    return max(1, math.ceil(df.count() / rows))
+
+
 def block_join(
     queries: DataFrame,
     gallery: DataFrame,
@@ -297,8 +309,7 @@ def block_join(
 
         return queries.mapInArrow(past_queries, schema)
 
-    n_q = max(1, math.ceil(queries.count() / limits.grid_rows))
-    n_g = max(1, math.ceil(gallery.count() / limits.grid_rows))
+    n_q, n_g = _block_count(queries, limits), _block_count(gallery, limits)
 
     def block_of(keys, n):
         return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")

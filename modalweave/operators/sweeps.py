@@ -12,10 +12,16 @@ from .scoring import _fields, _gallery_columns, _query_columns, unique
 
 
 class SweepRank:
-    """Gallery rows ahead of the truth, per query and weight combination."""
+    """Gallery rows ahead of the truth, per query and weight combination.
+
+    Weights are not negative, so a row behind the truth in every modality is
+    behind it under any combination; only the other rows are compared.
+    """
 
     def __init__(self, spaces, combos):
         self.spaces, self.combos = spaces, np.asarray(combos, dtype=float)
+        if (self.combos < 0).any():
+            raise ValueError("fusion weights must not be negative")
 
     def start(self, q):
         truth = [s.paired(q[s.q], q[f"gt_{s.g}"]) for s in self.spaces]
@@ -23,12 +29,19 @@ class SweepRank:
 
     def update(self, state, q, g):
         sims = [s.scores(q, g) for s in self.spaces]
-        earlier = g["id"][None, :] < q["truth"][:, None]
-        other = g["id"][None, :] != q["truth"][:, None]
+        slack = 10.0**-SCORE_DECIMALS
+        near = np.zeros(sims[0].shape, dtype=bool)
+        for s, t in zip(sims, state["truth"]):
+            near |= s >= t[:, None] - slack
+        near &= g["id"][None, :] != q["truth"][:, None]
+        rows, cols = np.nonzero(near)
+        earlier = g["id"][cols] < q["truth"][rows]
+        scores = [s[rows, cols] for s in sims]
         for i, w in enumerate(self.combos):
-            fused = np.round(sum(wi * s for wi, s in zip(w, sims)), SCORE_DECIMALS)
-            gt = np.round(sum(wi * t for wi, t in zip(w, state["truth"])), SCORE_DECIMALS)[:, None]
-            state["ahead"][i] += (((fused > gt) | ((fused == gt) & earlier)) & other).sum(axis=1)
+            fused = np.round(sum(wi * s for wi, s in zip(w, scores)), SCORE_DECIMALS)
+            gt = np.round(sum(wi * t for wi, t in zip(w, state["truth"])), SCORE_DECIMALS)[rows]
+            ahead = (fused > gt) | ((fused == gt) & earlier)
+            state["ahead"][i] += np.bincount(rows[ahead], minlength=q["_n"])
         return state
 
     def finish(self, state, q):
