@@ -15,6 +15,7 @@ from ..operators import sampling as W
 from ..operators import scoring as S
 from ..operators import sweeps as Z
 from ..operators.blocks import CLIP_CLAP, Space, System, angular_spaces
+from ..operators.quantiles import exact_quantiles
 from ..plans import fixtures as X
 from ..plans.evaluate import rank_table
 from ..plans.search import search, search_index, weigh
@@ -60,8 +61,7 @@ def _(spark, sf):
       {r6('quantile_cont(rk - 1, 0.5)', 'median_mid')} FROM ranks GROUP BY system""",
 )
 def _(spark, sf):
-    out = M.rank_summary(standard_ranks(spark, sf))
-    return out.withColumn("median_low", F.col("median_low").cast("double"))
+    return M.rank_summary(materialize(standard_ranks(spark, sf), "ranks"))
 
 
 def _gain(k):
@@ -133,12 +133,13 @@ def directions(a, b, names=("t2a", "a2t"), limits=None):
 
     out = None
     for name, x, y in zip(names, (a, b), (b, a)):
-        r = S.truth_ranks(as_queries(x), as_gallery(y), PAIR, (ONE,), limits=limits)
+        r = materialize(S.truth_ranks(as_queries(x), as_gallery(y), PAIR, (ONE,), limits=limits), "ranks")
         zero = F.col("rk") - 1
-        part = r.withColumn("_z", zero).agg(
+        median = exact_quantiles(r, zero, [0.5])[None][0.5][1]
+        part = r.agg(
             F.lit(name).alias("direction"), *[M.recall(k).alias(f"r{k}") for k in (1, 5, 10)],
-            F.avg(1.0 / F.col("rk")).alias("mrr"), F.avg("_z").alias("mean_rank"),
-            F.expr("percentile_disc(0.5) within group (order by _z)").cast("double").alias("median_rank"),
+            F.avg(1.0 / F.col("rk")).alias("mrr"), F.avg(zero).alias("mean_rank"),
+            F.lit(median).alias("median_rank"),
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -361,7 +362,7 @@ def _(spark, sf):
     a, b = store(spark, sf, "audio"), store(spark, sf, "caption")
     q, g = as_queries(a), as_gallery(b)
     r = materialize(S.truth_ranks(q, g, PAIR, (ONE,)), "pair-ranks")
-    cut = r.agg(F.percentile("s_truth", F.lit(0.1)).alias("c")).first()["c"]
+    cut = exact_quantiles(r, "s_truth", [0.1])[None][0.1][0]
     cats = X.gallery(spark, sf).select(F.col("id").alias("qid"), "category")
     top = S.score_top_k(q, g, 1, PAIR, (ONE,)).select("qid", F.col("id").alias("top"))
     top = top.join(cats.select(F.col("qid").alias("top"), F.col("category").alias("top1_category")), "top")

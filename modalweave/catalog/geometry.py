@@ -11,6 +11,7 @@ from ..operators import scoring as S
 from ..operators.blocks import System
 from ..operators.fusion import SINGLE
 from ..plans import fixtures as X
+from ..session import materialize
 from .common import (
     BASE, EQUAL_SQL, GALLERY, GATE_SQL, HALVES, QUERIES_SQL, SINGLE_SQL, fused, query, r6, ranked, ranks, toy_gate,
     with_,
@@ -95,7 +96,8 @@ def _(spark, sf):
       {r6('avg((pos >= max_neg)::INT)', 'share_ge_0')}, {r6('avg((max_neg > pos)::INT)', 'hard_negative_ratio')} FROM mg""",
 )
 def _(spark, sf):
-    return D.margin_summary(D.margins(store(spark, sf, "audio"), store(spark, sf, "caption")))
+    m = D.margins(store(spark, sf, "audio"), store(spark, sf, "caption"))
+    return D.margin_summary(materialize(m, "margins"))
 
 
 @query(

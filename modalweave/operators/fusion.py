@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..functions import vectors as V
 from .blocks import CLIP_CLAP, System
+from .quantiles import exact_quantiles, lookup
 from .scoring import score_stats, truth_ranks
 
 WEIGHTS = ("w_v", "w_t", "w_a")
@@ -200,16 +201,18 @@ def weight_stats(queries: DataFrame) -> DataFrame:
     won = queries.groupBy(dominant().alias("modality")).agg(
         F.count(F.lit(1)).alias("times_dominant")
     )
-    stats = long_weights(queries).groupBy("modality").agg(
+    long = long_weights(queries)
+    medians = {m: q[0.5][0] for m, q in exact_quantiles(long, "w", [0.5], "modality").items()}
+    stats = long.groupBy("modality").agg(
         F.avg("w").alias("mean"),
         F.stddev_samp("w").alias("std"),
         F.stddev_pop("w").alias("std_pop"),
         F.min("w").alias("lo"),
         F.max("w").alias("hi"),
-        F.percentile("w", F.lit(0.5)).alias("median"),
         F.avg((F.col("w") > 0.9).cast("int")).alias("above_90"),
         F.avg((F.col("w") < 0.5).cast("int")).alias("below_50"),
     )
+    stats = stats.withColumn("median", lookup("modality", medians))
     return stats.join(won, "modality", "left").withColumn(
         "times_dominant", F.coalesce("times_dominant", F.lit(0))
     )

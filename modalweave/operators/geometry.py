@@ -14,9 +14,11 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import aggregates as A
 from ..functions import vectors as V
+from ..session import materialize
 from .align import Gram, fit_zca, gram, grams
 from .blocks import SCORE_DECIMALS, Space, System, block_join
 from .curate import positive_pairs
+from .quantiles import exact_quantiles
 from .scoring import _fields, score_stats, score_top_k
 
 ONE = System("s", (1,))
@@ -36,12 +38,13 @@ PAIR = (Space("s", "q", "g"),)
 def alignment(a: DataFrame, b: DataFrame) -> DataFrame:
     """Positive-pair cosine summary and E||x - y||^2 of two unit stores."""
     pairs = positive_pairs(a, b).withColumn("_sq", F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("cos")))
-    quantile = lambda p: F.percentile("cos", F.lit(p))
+    ps = (0.05, 0.25, 0.5, 0.75, 0.95)
+    q = exact_quantiles(pairs, "cos", ps).get(None, {})
     return pairs.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("cos").alias("mean_cos"),
         F.stddev_samp("cos").alias("std_cos"),
-        *[quantile(p).alias(f"q{int(p * 100):02d}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)],
+        *[F.lit(q[p][0] if q else None).alias(f"q{int(p * 100):02d}") for p in ps],
         F.avg(F.sqrt("_sq")).alias("mean_l2"),
         F.avg("_sq").alias("alignment"),
     )
@@ -170,9 +173,10 @@ def margins(a: DataFrame, b: DataFrame, limits=None) -> DataFrame:
 
 
 def margin_summary(m: DataFrame) -> DataFrame:
+    median = exact_quantiles(m, "max_neg", [0.5])[None][0.5][0]
     return m.agg(
         F.avg("max_neg").alias("max_neg_mean"),
-        F.percentile("max_neg", F.lit(0.5)).alias("max_neg_median"),
+        F.lit(median).alias("max_neg_median"),
         F.avg("mean_neg").alias("mean_neg_mean"),
         F.avg("min_neg").alias("min_neg_mean"),
         F.avg("margin").alias("margin_mean"),
@@ -444,8 +448,8 @@ def noisy_pairs(
 ) -> DataFrame:
     """Pairs at or below the q-quantile of the positive cosine, with the hardest
     other cosine, the category and the first 80 characters of the description."""
-    m = margins(a, b, limits)
-    cut = m.agg(F.percentile("pos", F.lit(q)).alias("c")).first()["c"]
+    m = materialize(margins(a, b, limits), "margins")
+    cut = exact_quantiles(m, "pos", [q])[None][q][0]
     low = m.filter(F.col("pos") <= F.lit(cut)).select("id", "pos", "max_neg")
     return low.join(
         items.select("id", "category", F.substring("text", 1, 80).alias("description")), "id", "left"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .blocks import fits_broadcast
+from .quantiles import exact_quantiles, lookup
 from .sampling import md5_int, shuffled_position
 
 KS = (1, 5, 10)
@@ -32,13 +33,14 @@ def mrr(ranks: DataFrame, by=("system",)) -> DataFrame:
     return ranks.groupBy(*by).agg(F.avg(1.0 / F.col("rk")).alias("mrr"))
 
 
-def rank_summary(ranks: DataFrame, by=("system",)) -> DataFrame:
+def rank_summary(ranks: DataFrame, by: str = "system") -> DataFrame:
     """Mean and both medians of the 0-based rank (lower middle; mean of middles)."""
     zero = F.col("rk") - 1
-    return ranks.withColumn("_r", zero).groupBy(*by).agg(
-        F.avg("_r").alias("mean_rank"),
-        F.expr("percentile_disc(0.5) within group (order by _r)").alias("median_low"),
-        F.percentile("_r", F.lit(0.5)).alias("median_mid"),
+    medians = {g: m[0.5] for g, m in exact_quantiles(ranks, zero, [0.5], by).items()}
+    return ranks.groupBy(by).agg(F.avg(zero).alias("mean_rank")).select(
+        by, "mean_rank",
+        lookup(by, {g: m[1] for g, m in medians.items()}).alias("median_low"),
+        lookup(by, {g: m[0] for g, m in medians.items()}).alias("median_mid"),
     )
 
 
@@ -187,6 +189,7 @@ def bootstrap_ci(
         F.avg((F.col("rk") <= F.col("k")).cast("int")).alias("recall")
     )
     tail = (1.0 - level) / 2
+    # a group holds ``rounds`` values, whatever the number of queries
     return rounds_.groupBy("system", "k").agg(
         F.percentile("recall", F.lit(tail)).alias("lo"),
         F.percentile("recall", F.lit(1.0 - tail)).alias("hi"),
