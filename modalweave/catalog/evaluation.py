@@ -869,7 +869,7 @@ def _(spark, sf):
       FROM ms a JOIN ms b USING (metric) WHERE a.method = 'equal' AND b.method = 'gated'""",
 )
 def _(spark, sf):
-    return G.compare_methods(_multi_seed(spark, sf), "equal", "gated")
+    return G.compare_methods(materialize(_multi_seed(spark, sf), "seeds"), "equal", "gated")
 
 
 _ROUTE = (

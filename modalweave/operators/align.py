@@ -122,8 +122,13 @@ def affine(df: DataFrame, col: str, fitted: LinearMap, out: str | None = None,
         source = col if out is None else "_in"
     else:
         source = col
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
-    fn = lambda m: shared.value.unit(m) if unit else shared.value.apply(m)
+    # plain arrays: executors need no package to unpack a broadcast
+    shared = df.sparkSession.sparkContext.broadcast((fitted.W, fitted.b, fitted.method))
+
+    def fn(m):
+        local = LinearMap(*shared.value)
+        return local.unit(m) if unit else local.apply(m)
+
     mapped = A.map_vector(df, source, fn, out or col)
     return mapped.drop("_in") if source == "_in" else mapped
 

@@ -25,6 +25,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SCORE_DECIMALS = 12  # scores closer than this are ties, broken by id
+SLACK = 10.0**-SCORE_DECIMALS
+
+
+def settle(scores):
+    """Scores as they are compared: rounded, so that summation order cannot matter."""
+    return np.round(scores, SCORE_DECIMALS)
 
 
 @dataclass(frozen=True)
@@ -64,7 +70,8 @@ class Space:
         if self.metric == "neg_manhattan":
             s = -np.abs(a - b).sum(axis=1)
         elif self.metric == "neg_euclidean":
-            s = -np.sqrt(((a - b) ** 2).sum(axis=1))
+            sq = (a**2).sum(1) + (b**2).sum(1) - 2.0 * np.einsum("ij,ij->i", a, b)
+            s = -np.sqrt(np.maximum(sq, 0.0))
         else:
             s = np.einsum("ij,ij->i", a, b)
             if self.metric == "angular":
@@ -129,9 +136,7 @@ class System:
                 w = q[w] if s.ndim == 1 else q[w][:, None]
             part = s if isinstance(w, (int, float)) and w == 1 else w * s
             total = part if total is None else total + part
-        if total is None:
-            total = np.zeros_like(sims[0])
-        return np.round(total, SCORE_DECIMALS)
+        return np.zeros_like(sims[0]) if total is None else total
 
 
 # ---------------------------------------------------------------- Arrow blocks

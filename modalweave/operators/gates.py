@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 from ..session import materialize
-from .blocks import CLIP_CLAP, SCORE_DECIMALS, System, block_join
+from .blocks import CLIP_CLAP, System, block_join
 from .fusion import WEIGHTS, truth_similarities, with_softmax_weights
 from .scoring import _fields, _gallery_columns, score_top_k
 
@@ -189,7 +189,6 @@ class CandidateGate(System):
             part = stack[lo : lo + step]
             w = self.candidate_weights(q[self.query_col][lo : lo + step], part)
             out[lo : lo + step] = (w * part).sum(axis=-1)
-        out = np.round(out, SCORE_DECIMALS)
         return out[:, 0] if paired else out
 
 

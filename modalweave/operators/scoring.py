@@ -10,10 +10,12 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from .blocks import (
     CLIP_CLAP,
     SCORE_DECIMALS,
+    SLACK,
     Limits,
     Space,
     System,
     block_join,
+    settle,
 )
 
 EQUAL = System("equal", (1 / 3, 1 / 3, 1 / 3))
@@ -35,10 +37,14 @@ def _long(*names):
     return [StructField(n, LongType(), True) for n in names]
 
 
-def _by_id(g):
-    """The tile with its rows in id order, so column order is the tie order."""
-    order = np.argsort(g["id"], kind="stable")
-    return {k: (v if k == "_n" else v[order]) for k, v in g.items()}
+def _places_of(wanted, ids):
+    """(rows, cols) where wanted[row] == ids[col]; ids are unique."""
+    order = np.argsort(ids, kind="stable")
+    ordered = ids[order]
+    place = np.searchsorted(ordered, wanted)
+    place[place == len(ids)] = 0
+    rows = np.flatnonzero(ordered[place] == wanted)
+    return rows, order[place[rows]]
 
 
 class TopK:
@@ -48,26 +54,34 @@ class TopK:
         self.k, self.spaces, self.systems, self.exclude = k, spaces, systems, exclude
 
     def start(self, q):
-        return [None] * len(self.systems)
+        # per system: the lists so far and the score a row must reach to enter
+        return [(None, None)] * len(self.systems)
 
     def update(self, state, q, g):
-        g = _by_id(g)
         sims = [s.scores(q, g) for s in self.spaces]
         barred = None
         if self.exclude is not None:
-            barred = q[self.exclude][:, None] == g["id"][None, :]
+            barred = _places_of(q[self.exclude], g["id"])
         for i, system in enumerate(self.systems):
+            old, cut = state[i]
             fused = system.fuse(q, sims)
             if barred is not None:
-                fused = np.where(barred, -np.inf, fused)
-            k = min(self.k, fused.shape[1])
-            cut = np.partition(fused, fused.shape[1] - k, axis=1)[:, -k]
-            rows, cols = np.nonzero(fused >= cut[:, None])
-            score = fused[rows, cols]
+                fused = np.array(fused)
+                fused[barred] = -np.inf
+            if cut is None:
+                k = min(self.k, fused.shape[1])
+                cut = np.partition(fused, fused.shape[1] - k, axis=1)[:, -k]
+            rows, cols = np.nonzero(fused >= cut[:, None] - SLACK)
+            score = settle(fused[rows, cols])
             keep = score > -np.inf
             rows, cols, score = rows[keep], cols[keep], score[keep]
             found = (rows, g["id"][cols], score) + tuple(s[rows, cols] for s in sims)
-            state[i] = self._best(state[i], found)
+            best = self._best(old, found)
+            full = np.bincount(best[0], minlength=q["_n"]) >= self.k
+            last = None
+            if full.all():
+                last = best[2][np.searchsorted(best[0], np.arange(q["_n"]), side="right") - 1]
+            state[i] = (best, last)
         return state
 
     def _best(self, old, new):
@@ -83,7 +97,7 @@ class TopK:
     def finish(self, state, q):
         out = {"system": [], "qid": [], "id": [], "score": []}
         sims = [[] for _ in self.spaces]
-        for system, found in zip(self.systems, state):
+        for system, (found, _) in zip(self.systems, state):
             if found is None:
                 continue
             out["system"].append(np.full(len(found[0]), system.name, dtype=object))
@@ -155,7 +169,7 @@ class TruthRank:
         truth = [s.paired(q[s.q], q[f"gt_{s.g}"]) if q[s.q].shape[1] else np.zeros(q["_n"])
                  for s in self.spaces]
         return {
-            "truth": [s.fuse(q, truth) for s in self.systems],
+            "truth": [settle(s.fuse(q, truth)) for s in self.systems],
             "sims": truth,
             "better": np.zeros((len(self.systems), q["_n"]), dtype=np.int64),
             "n": 0,
@@ -163,13 +177,22 @@ class TruthRank:
 
     def update(self, state, q, g):
         sims = [s.scores(q, g) for s in self.spaces]
-        earlier = g["id"][None, :] < q["truth"][:, None]
-        other = g["id"][None, :] != q["truth"][:, None]
+        own = _places_of(q["truth"], g["id"])
         for i, system in enumerate(self.systems):
-            fused = system.fuse(q, sims)
-            gt = state["truth"][i][:, None]
-            ahead = ((fused > gt) | ((fused == gt) & earlier)) & other
-            state["better"][i] += ahead.sum(axis=1)
+            fused = np.array(system.fuse(q, sims))
+            fused[own] = -np.inf
+            truth = state["truth"][i]
+            ahead = fused > truth[:, None] + SLACK
+            close = fused >= truth[:, None] - SLACK
+            close &= ~ahead
+            better = ahead.sum(axis=1)
+            rows, cols = np.nonzero(close)
+            if len(rows):
+                score = settle(fused[rows, cols])
+                tied = (score == truth[rows]) & (g["id"][cols] < q["truth"][rows])
+                first = (score > truth[rows]) | tied
+                better += np.bincount(rows[first], minlength=q["_n"])
+            state["better"][i] += better
         state["n"] += g["_n"]
         return state
 
@@ -246,7 +269,7 @@ class ScoreStats:
         if self.exclude is not None:
             keep = q[self.exclude][:, None] != g["id"][None, :]
         for i, space in enumerate(self.spaces):
-            s = np.round(space.scores(q, g), SCORE_DECIMALS)
+            s = settle(space.scores(q, g))
             if keep is None:
                 state["n"][i] += s.shape[1]
                 z = s

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .blocks import SCORE_DECIMALS, angular_spaces, block_join
-from .scoring import _fields, _gallery_columns, _query_columns, unique
+from .blocks import SLACK, angular_spaces, block_join, settle
+from .scoring import _fields, _gallery_columns, _places_of, _query_columns, unique
 
 
 class SweepRank:
@@ -29,17 +29,16 @@ class SweepRank:
 
     def update(self, state, q, g):
         sims = [s.scores(q, g) for s in self.spaces]
-        slack = 10.0**-SCORE_DECIMALS
         near = np.zeros(sims[0].shape, dtype=bool)
         for s, t in zip(sims, state["truth"]):
-            near |= s >= t[:, None] - slack
-        near &= g["id"][None, :] != q["truth"][:, None]
+            near |= s >= t[:, None] - SLACK
+        near[_places_of(q["truth"], g["id"])] = False
         rows, cols = np.nonzero(near)
         earlier = g["id"][cols] < q["truth"][rows]
         scores = [s[rows, cols] for s in sims]
         for i, w in enumerate(self.combos):
-            fused = np.round(sum(wi * s for wi, s in zip(w, scores)), SCORE_DECIMALS)
-            gt = np.round(sum(wi * t for wi, t in zip(w, state["truth"])), SCORE_DECIMALS)[rows]
+            fused = settle(sum(wi * s for wi, s in zip(w, scores)))
+            gt = settle(sum(wi * t for wi, t in zip(w, state["truth"])))[rows]
             ahead = (fused > gt) | ((fused == gt) & earlier)
             state["ahead"][i] += np.bincount(rows[ahead], minlength=q["_n"])
         return state

@@ -71,3 +71,24 @@ def test_query_equals_sql(spark, con, name):
     res = con.execute(entry.oracle_sql()[name])
     want = table([d[0] for d in res.description], res.fetchall())
     assert got == want
+
+
+def test_executors_need_no_installed_package(tmp_path):
+    """The package travels with the tasks: run from a folder that cannot import it."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spec = importlib.util.spec_from_file_location("entry", {os.path.join(root, '__spark_entry__.py')!r})
+m = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(m)
+for name in ("w2_top_k", "l4_fit_procrustes", "g10_gate_mlp", "u1_encode"):
+    assert m.queries()[name](spark, {SF!r}).count() > 0
+print("done")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("done"), done.stderr[-2000:]
