@@ -515,6 +515,31 @@ def _(spark, sf):
     return pooled.select("item_id", "n", V.checksum("vec").alias("chk"))
 
 
+@query(
+    "t4_compare_prompts",
+    with_(
+        _PROMPT_VARIANTS, hash_vectors("pv", "item_id, variant", "p", "pe"), hash_vectors("documents", "doc_id", "text", "hv"),
+        "ps AS (SELECT variant, item_id, doc_id, round(sum(pe.x * hv.x), 12) AS s FROM pe JOIN hv USING (slot) GROUP BY ALL)",
+        "np AS (SELECT (SELECT count(*) FROM benchmark) * (SELECT count(*) FROM documents) AS n)",
+    ) + f"""SELECT variant, n, {r6('sum(s) / n', 'mean')}, {r6('sqrt((sum(s * s) - sum(s) * sum(s) / n) / (n - 1))', 'std')},
+      count(*) FILTER (s > 0.3::DOUBLE) AS above_30, count(*) FILTER (s > 0.1::DOUBLE) AS above_10 FROM ps, np GROUP BY variant, n""",
+)
+def _(spark, sf):
+    """How close each prompt form brings the queries to all texts."""
+    from ..operators.blocks import Space
+    from ..operators.scoring import score_stats
+
+    p = T.prompt_variants(X.table(spark, sf, "benchmark", spread=False), "text")
+    p = U.encode(p, "prompt", "q").select(F.concat_ws("/", "variant", "item_id").alias("qid"), "q")
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    st = score_stats(p, U.encode(docs, "text", "g"), (Space("s", "q", "g"),), thresholds=(0.3, 0.1))
+    n, s1, s2 = F.sum("n"), F.sum("s1"), F.sum("s2")
+    return st.groupBy(F.split("qid", "/")[0].alias("variant")).agg(
+        n.alias("n"), (s1 / n).alias("mean"), F.sqrt((s2 - s1 * s1 / n) / (n - 1)).alias("std"),
+        F.sum("above_0").alias("above_30"), F.sum("above_1").alias("above_10"),
+    )
+
+
 @query(
     "t5_frame_times",
     f"""SELECT doc_id, len(t)::BIGINT AS n, {r6('t[1]', 'first')}, {r6('t[16]', 'last')},

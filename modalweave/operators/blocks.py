@@ -235,15 +235,25 @@ def fits_broadcast(df: DataFrame, rows: int = 1_000_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def _block_count(df: DataFrame, limits: Limits) -> int:
-    """Blocks needed so that one holds at most ``grid_rows`` rows and ``grid_bytes``.
+def _grid(queries: DataFrame, gallery: DataFrame, limits: Limits) -> tuple[int, int]:
+    """Blocks per side so that one holds at most ``grid_rows`` rows and ``grid_bytes``.
 
     A row is shuffled once per block of the other side, so blocks are as large
-    as a task's memory allows.
+    as a task's memory allows; more are cut only to give every core a cell.
     """
-    row_bytes = max(1, df.limit(1).toArrow().nbytes)
-    rows = max(1, min(limits.grid_rows, limits.grid_bytes // row_bytes))
-    return max(1, math.ceil(df.count() / rows))
+    counts, blocks = [], []
+    for df in (queries, gallery):
+        row_bytes = max(1, df.limit(1).toArrow().nbytes)
+        rows = max(1, min(limits.grid_rows, limits.grid_bytes // row_bytes))
+        counts.append(df.count())
+        blocks.append(max(1, math.ceil(counts[-1] / rows)))
+    cells = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    while blocks[0] * blocks[1] < cells:
+        larger = 0 if counts[0] / blocks[0] > counts[1] / blocks[1] else 1
+        if counts[larger] / blocks[larger] < 2 * limits.query_tile:
+            break
+        blocks[larger] *= 2
+    return blocks[0], blocks[1]
 
 
 def block_join(
@@ -314,7 +324,7 @@ def block_join(
 
         return queries.mapInArrow(past_queries, schema)
 
-    n_q, n_g = _block_count(queries, limits), _block_count(gallery, limits)
+    n_q, n_g = _grid(queries, gallery, limits)
 
     def block_of(keys, n):
         return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")

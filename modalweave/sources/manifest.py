@@ -67,6 +67,11 @@ def scan_manifest(
     return reader.json(path, multiLine=array_file)
 
 
+def scan_captions(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+    """(video_id, text, split): the older layout with one row per caption."""
+    return scan_manifest(spark, path, array_file, CAPTION_SCHEMA)
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """JSON lines in (category, id) order; the job commit swaps the files in."""
     (

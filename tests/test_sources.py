@@ -77,6 +77,13 @@ def test_manifest_round_trip_and_array_file(spark, raw_root, tmp_path):
     assert [r.asDict(recursive=True) for r in legacy.orderBy("video_id").collect()] == rows
 
 
+def test_caption_rows(spark, tmp_path):
+    rows = [{"video_id": "v1", "text": "a dog", "split": "test"}, {"video_id": "v1", "text": "it barks", "split": "test"}]
+    (tmp_path / "captions.json").write_text(json.dumps(rows))
+    got = SM.scan_captions(spark, str(tmp_path / "captions.json"), array_file=True)
+    assert sorted(r["text"] for r in C.filter_by_split(got).collect()) == ["a dog", "it barks"]
+
+
 def test_frame_inventory_and_resume(spark, tmp_path):
     for vid, n in (("full", 16), ("part", 9)):
         os.makedirs(tmp_path / vid)
