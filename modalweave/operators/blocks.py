@@ -60,10 +60,27 @@ class Space:
     scale: float = 1.0
 
     def scores(self, q, g) -> np.ndarray:
+        """Scores of a tile; a missing vector scores zero under every metric."""
         a, b = q[self.q], g[self.g]
         if a.shape[1] == 0 or b.shape[1] == 0:
             return np.zeros((len(a), len(b)))
-        return self._scaled(_metric(self.metric, a, b))
+        s = self._scaled(_metric(self.metric, a, b))
+        if f"_null_{self.q}" in q:
+            s[q[f"_null_{self.q}"]] = 0.0
+        if f"_null_{self.g}" in g:
+            s[:, g[f"_null_{self.g}"]] = 0.0
+        return s
+
+    def truth(self, q) -> np.ndarray:
+        """Score of each query's truth, whose vectors are in the gt_* columns."""
+        a, b = q[self.q], q[f"gt_{self.g}"]
+        if a.shape[1] == 0 or b.shape[1] == 0:
+            return np.zeros(len(a))
+        s = self.paired(a, b)
+        for name in (self.q, f"gt_{self.g}"):
+            if f"_null_{name}" in q:
+                s[q[f"_null_{name}"]] = 0.0
+        return s
 
     def paired(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Row-wise scores of two equally long matrices."""
@@ -157,6 +174,8 @@ def to_block(table) -> dict:
             )
         if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
             block[name] = _matrix(column)
+            if column.null_count:
+                block[f"_null_{name}"] = ~np.asarray(column.is_valid())
         else:
             block[name] = column.to_numpy(zero_copy_only=False)
     return block
@@ -226,6 +245,8 @@ def _attach_truth(block: dict, table, gallery: DataFrame, columns) -> dict:
     out = {k: v[hit] for k, v in block.items() if k != "_n"}
     for c, n in zip(columns, truth_columns(columns)):
         out[n] = found[c][order][place[hit]]
+        if f"_null_{c}" in found:
+            out[f"_null_{n}"] = found[f"_null_{c}"][order][place[hit]]
     out["_n"] = int(hit.sum())
     return out
 

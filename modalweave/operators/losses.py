@@ -71,7 +71,7 @@ class ApproxNdcg:
         self.spaces, self.system, self.tau = spaces, system, tau
 
     def start(self, q):
-        truth = [s.paired(q[s.q], q[f"gt_{s.g}"]) for s in self.spaces]
+        truth = [s.truth(q) for s in self.spaces]
         return {"truth": self.system.fuse(q, truth), "num": np.zeros(q["_n"]), "den": np.zeros(q["_n"])}
 
     def update(self, state, q, g):

@@ -166,8 +166,7 @@ class TruthRank:
         self.spaces, self.systems, self.carry = spaces, systems, carry
 
     def start(self, q):
-        truth = [s.paired(q[s.q], q[f"gt_{s.g}"]) if q[s.q].shape[1] else np.zeros(q["_n"])
-                 for s in self.spaces]
+        truth = [s.truth(q) for s in self.spaces]
         return {
             "truth": [settle(s.fuse(q, truth)) for s in self.systems],
             "sims": truth,
@@ -342,7 +341,7 @@ class ExpSum:
         self.spaces, self.systems, self.tau, self.same = spaces, systems, tau, same
 
     def start(self, q):
-        truth = [s.paired(q[s.q], q[f"gt_{s.g}"]) for s in self.spaces]
+        truth = [s.truth(q) for s in self.spaces]
         shape = (len(self.systems), q["_n"])
         return {
             "truth": [s.fuse(q, truth) for s in self.systems],

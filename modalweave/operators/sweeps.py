@@ -24,7 +24,7 @@ class SweepRank:
             raise ValueError("fusion weights must not be negative")
 
     def start(self, q):
-        truth = [s.paired(q[s.q], q[f"gt_{s.g}"]) for s in self.spaces]
+        truth = [s.truth(q) for s in self.spaces]
         return {"truth": truth, "ahead": np.zeros((len(self.combos), q["_n"]), dtype=np.int64)}
 
     def update(self, state, q, g):

@@ -110,6 +110,19 @@ def test_null_vector_scores_zero(world):
     assert all(r["sim_a"] == 0 for r in top)
 
 
+@pytest.mark.parametrize("limits", [None, PLACEMENTS["grid"]])
+def test_missing_vectors_score_zero_under_angular(world, limits):
+    from pyspark.sql import functions as F
+
+    some = F.when(F.col("qid") >= 1030, F.col("q_clap"))
+    queries = world["queries"].withColumn("q_clap", some)
+    gallery = world["gallery"].withColumn("audio", F.when(F.col("id") != 3, F.col("audio")))
+    rows = S.score_top_k(queries, gallery, 60, angular_spaces(), limits=limits).collect()
+    assert all((r["sim_a"] == 0) == (r["qid"] < 1030 or r["id"] == 3) for r in rows)
+    truth = S.truth_ranks(queries, gallery, angular_spaces(), limits=limits).collect()
+    assert all((r["gt_sim_a"] == 0) == (r["qid"] < 1030) for r in truth) and len(truth) == 60
+
+
 def test_unanswerable_queries_drop_out(world, spark):
     lost = world["queries"].withColumn("truth", world["queries"]["truth"] + 40)
     for limits in (None, PLACEMENTS["grid"]):
