@@ -20,6 +20,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return held.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but the named ones called _r0, _r1, ..., and the function that puts the names back.
+
+    Operators that return the columns of their input work on this form, so that
+    no other column can clash with theirs. Both steps go by position.
+    """
+    given = df.columns
+    first = {given.index(n) for n in names}
+    held = df.toDF(*[n if i in first else f"_r{i}" for i, n in enumerate(given)])
+    order = held.columns
+    return held, lambda out: out.select(*order).toDF(*given)
+
+
 def documents(df: DataFrame) -> DataFrame:
     """(doc_id, text) with a null text as the empty text."""
     return pick(df, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

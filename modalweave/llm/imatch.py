@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import hex_digest, pick
 
-#: Share of the lexicon that each randomised subset keeps.
-RATES = tuple(2.0**-k for k in range(2, 10))
-PER_RATE = 4
+#: (share of the lexicon, number of randomised subsets that keep it). Large subsets tell short texts
+#: apart, small ones survive changes in long texts.
+SUBSETS = ((1 / 2, 1), (1 / 4, 2), (1 / 8, 5), (1 / 16, 8), (1 / 32, 8), (1 / 64, 12), (1 / 128, 14), (1 / 256, 14))
+RATES = tuple(rate for rate, count in SUBSETS for _ in range(count))
 #: A term of the lexicon occurs in at least one of RARE documents and at most the share COMMON of all.
 RARE, COMMON = 5_000, 0.2
 #: Documents of a range that one task puts in order, about.
@@ -43,8 +44,8 @@ def lexicon(texts: DataFrame, column: str = "text", rare: int = RARE, common: fl
 def subset_of(term: Column) -> Column:
     """Numbers of the subsets that keep a term; subset i with its rate, by a hash of term and i."""
     flags = [
-        F.when(F.pmod(F.xxhash64(term, F.lit(101 + i)), F.lit(1 << 20)) < int(RATES[i // PER_RATE] * (1 << 20)), F.lit(i))
-        for i in range(len(RATES) * PER_RATE)
+        F.when(F.pmod(F.xxhash64(term, F.lit(101 + i)), F.lit(1 << 20)) < int(RATES[i] * (1 << 20)), F.lit(i))
+        for i in range(len(RATES))
     ]
     return F.array_compact(F.array(*flags))
 
@@ -94,7 +95,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 def signature(by_subset: Column) -> Column:
     """The hashes in order of the subsets; null where the document has no term of a subset."""
-    every = F.sequence(F.lit(0), F.lit(len(RATES) * PER_RATE - 1))
+    every = F.sequence(F.lit(0), F.lit(len(RATES) - 1))
     return F.transform(every, lambda i: F.try_element_at(by_subset, i))
 
 
@@ -142,8 +143,9 @@ def fingerprints(rows: DataFrame, key: list[str], texts: dict[str, Column], carr
 
 
 def as_text(hashes: Column) -> Column:
-    """A fingerprint as text: 16 hexadecimal digits per subset, - for a subset without terms."""
-    return F.concat_ws(".", F.transform(hashes, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit("-"))))
+    """A fingerprint as text: eight hexadecimal digits per subset, - for a subset without terms."""
+    short = F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
+    return F.concat_ws(".", F.transform(short, lambda h: F.coalesce(h, F.lit("-"))))
 
 
 def match(docs: DataFrame) -> DataFrame:

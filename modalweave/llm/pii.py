@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, pick
+from .common import aside, documents
 
 #: Kinds in the order that breaks ties between spans with one start.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -144,7 +144,8 @@ def redact(docs: DataFrame) -> DataFrame:
     columns and null texts stay; needs the columns doc_id, text and n_chars.
     """
     kinds = list(PATTERNS)
-    held = docs.withColumns(
+    held, back = aside(docs, "text", "n_chars")
+    held = held.withColumns(
         {f"_{k}": F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERNS[k]), F.lit(0)) for k in kinds}
     ).withColumn("_spans", _spans(kinds))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -160,5 +161,6 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
 
     clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, join)).otherwise(F.col("text"))
-    out = held.withColumn("text", clean).withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    out = held.withColumn("text", clean).withColumn("n_chars", F.when(F.size("_spans") > 0, length).otherwise(F.col("n_chars")))
+    return back(out)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, pair_cells, per_document, pick
+from .common import aside, documents, pair_cells, per_document
 from .components import connected
 
 #: Blocks of the fingerprint. Two fingerprints within three bits agree on two of five blocks at least.
@@ -212,6 +212,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each class the one with the least doc_id."""
+    """The rows of docs that stay, all columns as they are: of each class those with the least doc_id.
+
+    found: the result of near_duplicates. Rows with a null doc_id stay where
+    their class has no other id.
+    """
+    held, back = aside(docs, "doc_id")
     stay = found.where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    return back(held.join(stay, held["doc_id"].eqNullSafe(stay["_stay"]), "left_semi"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, per_document, pick
+from .common import aside, documents, per_document, pick
 
 WORDS = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings that are features besides whole words.
@@ -249,15 +249,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores below the threshold, all columns as they are."""
-    spark_type = docs.schema
-    at = docs.columns.index("text")
+    held, back = aside(docs, "text")
 
     def run(batches):
         import pyarrow as pa
 
         score = model.scorer()
         for batch in batches:
-            keep = [score(t or "") < threshold for t in batch.column(at).to_pylist()]
+            keep = [score(t or "") < threshold for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, spark_type)
+    return back(held.mapInArrow(run, held.schema))
