@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import documents, per_document, pick
 
 #: Pieces and token pairs a task remembers before it starts anew.
-MEMO = 1 << 20
+MEMO = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -69,7 +69,7 @@ class Model:
             """Terms with a weight of each word seen; most words have none."""
 
             def __missing__(self, word):
-                if len(self) > 1 << 20:
+                if len(self) > 1 << 18:
                     self.clear()
                 self[word] = out = tuple(t for t in terms(word) if t in whole)
                 return out
@@ -117,7 +117,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 counts[1 if toxic else 0].update(features(text))
-                if len(counts[0]) > 500_000:
+                if len(counts[0]) > 200_000:
                     yield flush()
         yield flush()
 
