@@ -431,12 +431,13 @@ def _(spark, sf):
 
 @query(
     "q3_vocab_difference",
-    with_(*_VOCAB) + """SELECT word FROM vc WHERE bucket = 'far' EXCEPT SELECT word FROM vc WHERE bucket = 'perfect'""",
+    with_(*_VOCAB) + """SELECT 'far' AS only_in, word FROM
+        (SELECT word FROM vc WHERE bucket = 'far' EXCEPT SELECT word FROM vc WHERE bucket = 'perfect')
+      UNION ALL SELECT 'perfect', word FROM
+        (SELECT word FROM vc WHERE bucket = 'perfect' EXCEPT SELECT word FROM vc WHERE bucket = 'far')""",
 )
 def _(spark, sf):
-    c = E.vocab_counts(_audio_ranks(spark, sf), _texts(spark, sf))
-    side = lambda b: c.filter(F.col("bucket") == b).select("word")
-    return side("far").subtract(side("perfect"))
+    return E.vocabulary_difference(E.vocab_counts(_audio_ranks(spark, sf), _texts(spark, sf)), "far", "perfect")
 
 
 @query(

@@ -9,6 +9,7 @@ from ..functions import aggregates as A
 from ..functions import vectors as V
 from ..operators import align as L
 from ..operators import curate as C
+from ..operators import rescale as R
 from ..operators import scoring as S
 from ..operators.blocks import CLIP_CLAP, System
 from ..plans import fixtures as X
@@ -226,13 +227,7 @@ def _(spark, sf):
       {r6('max(CASE WHEN id = truth THEN sim_a END) / sqrt(sum(sim_a * sim_a))', 's')} FROM sc GROUP BY qid""",
 )
 def _(spark, sf):
-    """The norm of a query's score row is sqrt(q' (X'X) q): no pair is formed."""
-    g = X.gallery(spark, sf)
-    gram = L.gram(g, "audio").sxx
-    q = own_pairs(spark, sf).select("qid", "q_clap", V.dot("q_clap", "audio").alias("own"))
-    q = A.map_vector(q, "q_clap", lambda m: m @ gram, "mq")
-    row_norm = F.sqrt(V.dot("q_clap", "mq"))
-    return q.select("qid", row_norm.alias("norm"), (F.col("own") / row_norm).alias("s"))
+    return R.norm_scores(own_pairs(spark, sf), X.gallery(spark, sf))
 
 
 @query(
@@ -242,10 +237,9 @@ def _(spark, sf):
       count(*) OVER (PARTITION BY qid) AS n FROM sc) WHERE rk <= 10""",
 )
 def _(spark, sf):
-    g = X.gallery(spark, sf)
-    n = g.count()
-    top = S.score_top_k(X.queries(spark, sf), g, 10, CLIP_CLAP, (System("audio", (0, 0, 1)),))
-    return top.select("qid", "id", (1.0 - (F.col("rk") - 1) / F.lit(n)).alias("s"))
+    """The ten best places of each query."""
+    audio = (System("audio", (0, 0, 1)),)
+    return R.rank_scores_linear(X.queries(spark, sf), X.gallery(spark, sf), 10, CLIP_CLAP, audio)
 
 
 @query(
@@ -254,14 +248,7 @@ def _(spark, sf):
     + f"""SELECT qid, {r6('(sim_a - m) * (0.2::DOUBLE / sd) + 0.1::DOUBLE', 's')} FROM sc, ms WHERE id = truth""",
 )
 def _(spark, sf):
-    """Mean and spread of all pair scores follow from the Gram sums of both sides."""
-    q, g = X.queries(spark, sf), X.gallery(spark, sf)
-    gq, gg = L.gram(q, "q_clap"), L.gram(g, "audio")
-    n = gq.n * gg.n
-    s1, s2 = float(gq.sx @ gg.sx), float((gq.sxx * gg.sxx).sum())
-    mean, sd = s1 / n, float(np.sqrt((s2 - s1 * s1 / n) / (n - 1)))
-    own = own_pairs(spark, sf).select("qid", V.dot("q_clap", "audio").alias("s"))
-    return own.select("qid", ((F.col("s") - mean) * (0.2 / sd) + 0.1).alias("s"))
+    return R.adaptive_rescale(own_pairs(spark, sf), X.queries(spark, sf), X.gallery(spark, sf))
 
 
 @query(

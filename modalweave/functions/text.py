@@ -25,12 +25,14 @@ AUDIO_KEYWORDS = [
     "sound", "audio", "music", "talking", "speaking", "noise", "barking", "engine",
     "footsteps", "laughter", "siren", "explosion", "whisper", "shouting", "singing", "playing",
 ]
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could "
-    "should may might can shall to of in for on with at by from as and or but not no it "
-    "its this that these those i you he she they we my your his her their our me him them "
-    "us who what which how"
-).split()
+# The published list
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does",
+    "did", "will", "would", "could", "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on",
+    "with", "at", "by", "from", "as", "and", "or", "but", "not", "no", "it", "its", "this", "that", "these",
+    "those", "i", "you", "he", "she", "they", "we", "my", "your", "his", "her", "their", "our", "me", "him",
+    "them", "us", "who", "what", "which", "how",
+]
 
 
 def is_blank(text) -> Column:

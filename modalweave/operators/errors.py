@@ -103,6 +103,7 @@ def failure_class(diagnosis: DataFrame) -> DataFrame:
 
     The first matching class wins; the mean rank is 0-based.
     """
+    # The published class labels
     cls = (
         F.when(F.col("rk") == 1, "A_correct")
         .when(F.col("rk") <= 10, "B_near_miss")
@@ -141,6 +142,13 @@ def top_words(counts: DataFrame, n: int = 10) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
+def vocabulary_difference(counts: DataFrame, a: str, b: str) -> DataFrame:
+    """(only_in, word): words of bucket ``a`` that bucket ``b`` lacks, and the other way round."""
+    side = lambda name: counts.filter(F.col("bucket") == name).select("word")
+    one, two = side(a).subtract(side(b)), side(b).subtract(side(a))
+    return one.select(F.lit(a).alias("only_in"), "word").unionByName(two.select(F.lit(b).alias("only_in"), "word"))
+
+
 def failure_only_words(counts: DataFrame, good="perfect", bad="very_far") -> DataFrame:
     """(side, word, n): words of one bucket that never occur in the other."""
     side = lambda b: counts.filter(F.col("bucket") == b)

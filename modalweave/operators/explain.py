@@ -66,6 +66,7 @@ def format_explanations(contrib: DataFrame, k: int) -> DataFrame:
 
     Only the k rows of a query meet in one group.
     """
+    # The published output lines
     line = F.concat_ws(
         "\n",
         F.format_string("  %d. %s  score=%.4f", "rk", F.col("id").cast("string"), "fused_score"),

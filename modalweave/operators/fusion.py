@@ -153,7 +153,7 @@ def mask_and_renormalize(
     total = kept[0] + kept[1] + kept[2]
     if on_empty == "raise":
         empty = F.raise_error(
-            F.lit("query produced no embedding in either CLIP or CLAP space")
+            F.lit("a query has neither of its two vectors")
         ).cast("double")
         total = F.when(has_clip | has_clap, total).otherwise(empty)
     rest = [c for c in queries.columns if c not in WEIGHTS]

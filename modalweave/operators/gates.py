@@ -57,7 +57,10 @@ def softmax(x):
     return e / e.sum(axis=-1, keepdims=True)
 
 
-# Parameter names and shapes of the query gate (d: input, h: hidden width).
+# Temperature and scale buffers that a checkpoint may hold besides its parameters.
+BUFFERS = 64
+
+# Parameter names and shapes of the query gate (d: input, h: hidden width).
 def gate_shapes(d: int = 512, h: int = 128) -> dict[str, tuple[int, ...]]:
     return {
         "layer_norm_in.weight": (d,), "layer_norm_in.bias": (d,),
@@ -107,7 +110,11 @@ def load_gate(spark: SparkSession, path: str, shapes: dict) -> dict[str, np.ndar
 
     Temperature and scale buffers of newer checkpoints are accepted.
     """
-    rows = spark.read.parquet(path).limit(len(shapes) + 64).collect()
+    stored, most = spark.read.parquet(path), len(shapes) + BUFFERS
+    count = stored.count()
+    if count > most:
+        raise RuntimeError(f"gate does not match: {count} parameters stored, at most {most} expected")
+    rows = stored.collect()
     found = {r["name"]: np.array(r["value"]).reshape(r["shape"]) for r in rows}
     extra = {n for n in set(found) - set(shapes) if not n.startswith(("tau_", "scale_", "log_"))}
     missing = set(shapes) - set(found)

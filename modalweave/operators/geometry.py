@@ -269,8 +269,8 @@ def anisotropy_of(g: Gram) -> tuple[float, float]:
     """Mean and population std of the off-diagonal cosines of n unit rows."""
     n = g.n * (g.n - 1)
     s1 = float(g.sx @ g.sx) - float(np.trace(g.sxx))
-    # each self pair contributes |x|^4, which is 1 for unit rows
-    s2 = float((g.sxx * g.sxx).sum()) - g.n
+    # each self pair contributes |x|^4: 1 for a unit row, 0 for a zero row
+    s2 = float((g.sxx * g.sxx).sum()) - float(np.trace(g.sxx))
     mean = s1 / n
     return mean, float(np.sqrt(max(0.0, s2 / n - mean * mean)))
 

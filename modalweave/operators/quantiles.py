@@ -50,9 +50,11 @@ def _select(df: DataFrame, sizes: dict, wanted: dict, bins: int, fetch: int) ->
                 ordered = sorted(values[i])
                 found[g].update({k: ordered[k - before] for k in places})
         if narrow:
-            ends = [(i, g, lo, hi) for i, (g, lo, hi, *_) in enumerate(narrow)]
-            table = F.broadcast(spark.createDataFrame(ends, f"_i int, _g {group_type}, _lo double, _hi double"))
-            place = F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
+            # the width of a range may overflow although its ends do not
+            ends = [(i, g, lo, hi, 1.0 if math.isfinite(hi - lo) else 0.5) for i, (g, lo, hi, *_) in enumerate(narrow)]
+            table = F.broadcast(spark.createDataFrame(ends, f"_i int, _g {group_type}, _lo double, _hi double, _scale double"))
+            x, lo, hi = (F.col(c) * F.col("_scale") for c in ("_x", "_lo", "_hi"))
+            place = F.floor((x - lo) / (hi - lo) * bins)
             counts = (
                 df.join(table, "_g").filter("_x between _lo and _hi")
                 .groupBy("_i", F.least(F.lit(bins - 1), place).alias("_b"))
@@ -76,19 +78,34 @@ def exact_quantiles(
 ) -> dict:
     """{group: {p: (interpolated, discrete)}}; the group is None without ``by``.
 
-    ``by`` has few values (systems, modalities).
+    ``by`` has few values (systems, modalities). Values are ordered -inf, finite,
+    inf, NaN; nulls do not count.
     """
     value = F.col(value) if isinstance(value, str) else value
     key = F.col(by) if by else F.lit("all")
     rows = df.select(key.alias("_g"), value.cast("double").alias("_x")).filter("_x is not null")
-    sizes = {
-        r["_g"]: (r["n"], r["lo"], r["hi"])
-        for r in rows.groupBy("_g").agg(
-            F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")
-        ).collect()
-    }
+    x, top = F.col("_x"), F.lit(float("inf"))
+    finite = ~F.isnan(x) & (F.abs(x) < top)
+    ends = rows.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(x == -top).alias("low"), F.count_if(finite).alias("mid"),
+        F.count_if(x == top).alias("high"),
+        F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi"),
+    ).collect()
+    sizes = {r["_g"]: (r["n"], r["lo"], r["hi"]) for r in ends}
     wanted = {g: [k for p in ps for k in _places(n, p)] for g, (n, _, _) in sizes.items()}
-    found = _select(rows, sizes, wanted, bins, fetch)
+    # only finite values are narrowed down; the places of the others follow from their counts
+    inner = {r["_g"]: (r["mid"], r["lo"], r["hi"]) for r in ends if r["mid"]}
+    shift = {r["_g"]: r["low"] for r in ends}
+    inside = {g: [k - shift[g] for k in wanted[g] if 0 <= k - shift[g] < inner[g][0]] for g in inner}
+    chosen = _select(rows.filter(finite), {g: inner[g] for g in inside if inside[g]}, inside, bins, fetch)
+    found = {}
+    for r in ends:
+        g, known = r["_g"], chosen.get(r["_g"], {})
+        over = r["low"] + r["mid"]
+        found[g] = {
+            k: float("-inf") if k < r["low"] else known[k - r["low"]] if k < over else float("inf") if k < over + r["high"] else float("nan")
+            for k in wanted[g]
+        }
     out = {}
     for g, (n, _, _) in sizes.items():
         per_p = {}

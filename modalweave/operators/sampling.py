@@ -13,6 +13,16 @@ def md5_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Inner join on equal keys where two nulls are equal too; the keys appear once."""
+    renamed = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return left.join(renamed, on).drop(*[f"_k_{k}" for k in keys])
+
+
 def md5_int(seed, *cols) -> Column:
     """First 32 bits of the md5 as a BIGINT."""
     return F.conv(F.substring(md5_key(seed, *cols), 1, 8), 16, 10).cast("long")
@@ -39,15 +49,22 @@ def shuffled_position(df: DataFrame, id_col: str, seed, keys=(), out: str = "pos
     )
     placed = keyed.withColumn("_local", F.row_number().over(in_range) - 1)
     return (
-        placed.join(offsets, [*keys, "_range"])
+        join_same(placed, offsets, [*keys, "_range"])
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("long"))
         .drop("_key", "_range", "_local", "_before")
     )
 
 
 def id_position(df: DataFrame, id_col: str, out: str = "position", width: int = 65_536) -> DataFrame:
-    """0-based place of a numeric id in id order, numbered range by range."""
-    keyed = df.withColumn("_range", F.floor(F.col(id_col) / width))
+    """0-based place of a numeric id in id order, numbered range by range.
+
+    Ranges of about ``width`` rows come from approximate quantiles of the ids,
+    however the ids are spread; at most 4096 of them are summed up in one task.
+    """
+    parts = min(4096, max(1, df.count() // width))
+    cuts = sorted(set(df.approxQuantile(id_col, [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(id_col)) if cuts else None
+    keyed = df.withColumn("_range", F.size(below) if cuts else F.lit(0))
     w = Window.partitionBy("_range").orderBy(id_col)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("_range").count().select(
@@ -62,8 +79,8 @@ def id_position(df: DataFrame, id_col: str, out: str = "position", width: int =
 
 
 def sample(df: DataFrame, n: int, seed, id_col: str = "id") -> DataFrame:
-    """``n`` rows without replacement: the first in the seeded order."""
-    return df.orderBy(md5_key(seed, id_col), id_col).limit(n)
+    """``n`` rows without replacement: the first in the seeded order, numbered range by range."""
+    return shuffled_position(df, id_col, seed, out="_place").filter(F.col("_place") < n).drop("_place")
 
 
 def stratified_split(
@@ -75,7 +92,7 @@ def stratified_split(
         F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(share))).alias("_train")
     )
     return (
-        placed.join(sizes, category)
+        join_same(placed, sizes, [category])
         .withColumn("split", F.when(F.col("_pos") < F.col("_train"), "train").otherwise("test"))
         .drop("_pos", "_train")
     )
@@ -96,7 +113,7 @@ def group_split(df: DataFrame, group: str, share: float = 0.15, seed: int = 42)
     parts = placed.select(
         group, F.when(F.col("_pos") < size, "val").otherwise("train").alias("part")
     )
-    return df.join(parts, group)
+    return join_same(df, parts, [group]).select(*df.columns, "part")
 
 
 def leakage(df: DataFrame, group: str, part: str = "part") -> DataFrame:

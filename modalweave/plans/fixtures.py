@@ -118,7 +118,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(
                 F.element_at(lines, 1).alias("description"),
                 F.transform(
-                    F.slice(lines, 2, 1_000_000),
+                    F.slice(lines, F.lit(2), F.size(lines)),
                     lambda x: F.struct(x.alias("question"), F.lit("").alias("answer")),
                 ).alias("qAndA"),
             ).alias("content_metadata"),

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The temporary folder of local sessions without a setting; the caller's settings stay as they are.
+_own: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
@@ -19,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    global _own
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -86,3 +86,31 @@ def test_pick_subset(items):
 def test_sample_is_repeatable(items):
     pick = lambda df: [r["id"] for r in W.sample(df, 10, 9).collect()]
     assert pick(items) == pick(items.repartition(6))
+
+
+def test_null_keys_stay_in_splits(spark):
+    from modalweave.operators import sampling as W
+
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"c{i % 2}") for i in range(40)], "id long, label string")
+    split = W.stratified_split(df, "label", "id")
+    assert split.count() == 40 and split.filter("label is null").select("split").distinct().count() == 2
+    assert W.group_split(df, "label").columns == ["id", "label", "part"] and W.group_split(df, "label").count() == 40
+
+
+def test_places_of_scattered_ids(spark):
+    import random
+
+    from modalweave.operators import sampling as W
+
+    ids = random.Random(1).sample(range(-(1 << 60), 1 << 60), 300)
+    got = W.id_position(spark.createDataFrame([(i,) for i in ids], "id long"), "id", width=20).collect()
+    assert {r["id"]: r["position"] for r in got} == {x: k for k, x in enumerate(sorted(ids))}
+
+
+def test_sample_takes_the_first_of_the_seeded_order(spark):
+    import hashlib
+
+    from modalweave.operators import sampling as W
+
+    got = sorted(r["id"] for r in W.sample(spark.range(100), 7, 42).collect())
+    assert got == sorted(sorted(range(100), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())[:7])
