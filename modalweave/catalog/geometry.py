@@ -270,7 +270,8 @@ def _(spark, sf):
 @query(
     "d17_noisy_pairs",
     with_(*_PP, _MARGIN, "ct AS (SELECT quantile_cont(pos, 0.1) AS cut FROM mg)") + f"""SELECT mg.id, {r6('pos', 'pos')}, {r6('max_neg', 'max_neg')},
-      gal.category, md5(substring(text, 1, 80)) AS description FROM mg JOIN gal USING (id) JOIN documents ON doc_id = mg.id, ct WHERE pos <= cut""",
+      i.category, md5(substring(i.text, 1, 80)) AS description FROM mg LEFT JOIN
+      (SELECT gal.id, gal.category, documents.text FROM gal JOIN documents ON doc_id = gal.id) i ON i.id = mg.id, ct WHERE pos <= cut""",
 )
 def _(spark, sf):
     g = X.gallery(spark, sf).select("id", "category")
