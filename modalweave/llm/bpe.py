@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterable
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import documents, per_document, pick
 
 #: Pieces and token pairs a task remembers before it starts anew.
-MEMO = 1 << 18
+MEMO = 1 << 20
+#: Bytes of a prefix that pieces share at most.
+SHARED_BYTES = 24
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -28,6 +31,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class _Pieces(dict):
+    """The tokens of pieces seen before; a new one is encoded when it is asked for."""
+
+    def __init__(self, codec: "Codec"):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.codec.piece(text)
+        if len(self) >= MEMO:
+            self.clear()
+        if len(text) <= 64:
+            self[text] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; ``pattern`` cuts a text into pieces."""
 
@@ -41,7 +60,8 @@ class Codec:
         self.find = regex.compile(pattern).finditer
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
-        self._memo: dict[str, tuple[int, ...]] = {}
+        self._shared: dict[bytes, int] = {}
+        self._memo = _Pieces(self)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte."""
@@ -82,15 +102,31 @@ class Codec:
         self._fits[left, right] = answer
         return answer
 
+    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
+        """The token that ends the encoding of data[:end], given the last tokens of the shorter prefixes."""
+        for start in range(max(0, end - self.longest), end):
+            token = self.ranks.get(data[start:end])
+            if token is not None and (start == 0 or self.fits(last[start - 1], token)):
+                return token
+        raise ValueError("a byte is missing from the vocabulary")
+
     def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """Fill ``last`` (the last token of each non-empty prefix) up to the end of ``data``."""
-        ranks, longest, fits = self.ranks, self.longest, self.fits
+        """Fill ``last`` (the last token of each non-empty prefix) up to the end of ``data``.
+
+        Pieces with a common beginning share its entries: a prefix has one last
+        token, whatever follows.
+        """
+        shared = self._shared
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (start == 0 or fits(last[start - 1], token)):
-                    last.append(token)
-                    break
+            prefix = data[:end] if end <= SHARED_BYTES else None
+            token = shared.get(prefix)
+            if token is None:
+                token = self.last_token(data, end, last)
+                if prefix is not None:
+                    if len(shared) >= MEMO:
+                        shared.clear()
+                    shared[prefix] = token
+            last.append(token)
         return last
 
     def read(self, last: list[int]) -> tuple[int, ...]:
@@ -102,23 +138,12 @@ class Codec:
         return tuple(reversed(out))
 
     def piece(self, text: str) -> tuple[int, ...]:
-        ids = self._memo.get(text)
-        if ids is None:
-            data = text.encode()
-            whole = self.ranks.get(data)
-            ids = (whole,) if whole is not None else self.read(self.extend(data, []))
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            if len(data) <= 256:
-                self._memo[text] = ids
-        return ids
+        data = text.encode()
+        whole = self.ranks.get(data)
+        return (whole,) if whole is not None else self.read(self.extend(data, []))
 
     def encode(self, text: str) -> array:
-        out, piece = array("I"), self.piece
-        memo = self._memo
-        for p in self.pieces(text):
-            out.extend(memo.get(p) or piece(p))
-        return out
+        return array("I", chain.from_iterable(map(self._memo.__getitem__, self.pieces(text))))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of the ids, which need not form whole characters."""
