@@ -5,6 +5,6 @@
 """
 
 from .common import ORACLES, QUERIES
-from . import alignment, data, evaluation, geometry, scoring, vectors  # noqa: F401  (register)
+from . import alignment, certificates, data, evaluation, geometry, scoring, vectors  # noqa: F401  (register)
 
 __all__ = ["ORACLES", "QUERIES"]

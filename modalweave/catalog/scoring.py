@@ -11,7 +11,7 @@ from ..operators import curate as C
 from ..operators import geometry as D
 from ..operators import sampling as W
 from ..operators import scoring as S
-from ..operators.blocks import CLIP_CLAP, System, angular_spaces
+from ..operators.blocks import CLIP_CLAP, Space, System, angular_spaces
 from ..operators.fusion import SINGLE, fixed_systems
 from ..plans import fixtures as X
 from .common import (
@@ -236,7 +236,52 @@ def _(spark, sf):
       {r6('sim_a', 'sim_a')} FROM ranked r JOIN sc USING (qid, id) WHERE rk <= 10""",
 )
 def _(spark, sf):
-    return S.score_top_k(X.queries(spark, sf), X.gallery(spark, sf), 10).drop("system")
+    top = S.score_top_k(X.queries(spark, sf), X.gallery(spark, sf), 10)
+    return top.select("qid", "id", "rk", "score", "sim_v", "sim_t", "sim_a")
+
+
+_METRICS = ("cosine", "angular", "neg_manhattan", "neg_euclidean")
+
+
+@query(
+    "w2_top_k_with_gaps",
+    with_(
+        HALVES, GALLERY, QUERIES_SQL,
+        """au AS (SELECT q.qid, q.truth, q.category, g.category AS g_category, g.id, q.q_clap AS x, g.audio AS y,
+          list_dot_product(q.q_clap, g.audio) AS sim FROM qry q CROSS JOIN gal g WHERE g.energy >= 0.42::DOUBLE)""",
+        fused(
+            {
+                "cosine": "sim", "angular": ang("sim"), "neg_euclidean": "-list_distance(x, y)",
+                "neg_manhattan": "-list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2])))",
+            },
+            "au",
+        ),
+        ranked(),
+    ) + f"SELECT system, qid, id, rk, {r6('s', 'score')} FROM ranked WHERE rk <= 5",
+)
+def _(spark, sf):
+    """Five best items by audio under every metric; items without an audio vector never appear."""
+    spaces = tuple(Space(m, "q_clap", "audio", m) for m in _METRICS)
+    systems = tuple(System(m, tuple(int(m == o) for o in _METRICS)) for m in _METRICS)
+    top = S.score_top_k(X.queries(spark, sf), X.gallery_with_gaps(spark, sf), 5, spaces, systems)
+    return top.select("system", "qid", "id", "rk", "score")
+
+
+@query(
+    "w4_rank_of_truth_with_gaps",
+    with_(
+        *BASE,
+        """sg AS (SELECT sc.*, g.energy >= 0.42::DOUBLE AS heard FROM sc JOIN gal g USING (id))""",
+        fused({n: f"CASE WHEN heard THEN {e} ELSE '-Infinity'::DOUBLE END" for n, e in
+               {"audio": "sim_a", "equal": EQUAL_SQL}.items()} | {"visual": "sim_v"}, "sg"),
+        ranks(),
+    ) + "SELECT system, qid, rk, n, s_truth = '-Infinity'::DOUBLE AS lost FROM ranks",
+)
+def _(spark, sf):
+    """Ranks where some items have no audio vector: behind all others under systems that weigh audio."""
+    systems = tuple(s for s in (*SINGLE, S.EQUAL) if s.name in ("audio", "visual", "equal"))
+    r = S.truth_ranks(X.queries(spark, sf), X.gallery_with_gaps(spark, sf), systems=systems)
+    return r.select("system", "qid", "rk", "n", (F.col("s_truth") == F.lit(float("-inf"))).alias("lost"))
 
 
 @query(

@@ -60,7 +60,7 @@ class Space:
     scale: float = 1.0
 
     def scores(self, q, g) -> np.ndarray:
-        """Scores of a tile; a missing vector scores zero under every metric."""
+        """Scores of a tile; zero where a vector is missing (``gaps`` names the rows that then do not compete)."""
         a, b = q[self.q], g[self.g]
         if a.shape[1] == 0 or b.shape[1] == 0:
             return np.zeros((len(a), len(b)))
@@ -82,6 +82,22 @@ class Space:
                 s[q[f"_null_{name}"]] = 0.0
         return s
 
+    def gap(self, q, g):
+        """Pairs of a tile whose gallery row lacks the vector that the query asks for; None if there is none."""
+        lacking = g.get(f"_null_{self.g}")
+        if lacking is None or not lacking.any():
+            return None
+        return self._asks(q)[:, None] & lacking[None, :]
+
+    def truth_gap(self, q):
+        """Queries whose truth lacks the vector that they ask for; None if there is none."""
+        lacking = q.get(f"_null_gt_{self.g}")
+        return None if lacking is None or not lacking.any() else self._asks(q) & lacking
+
+    def _asks(self, q):
+        empty = q.get(f"_null_{self.q}")
+        return np.ones(q["_n"], dtype=bool) if empty is None else ~empty
+
     def paired(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Row-wise scores of two equally long matrices."""
         if self.metric == "neg_manhattan":
@@ -144,7 +160,13 @@ class System:
     def columns(self) -> list[str]:
         return [w for w in self.weights if isinstance(w, str)]
 
-    def fuse(self, q, sims) -> np.ndarray:
+    def fuse(self, q, sims, gaps=()) -> np.ndarray:
+        """Weighted sum of the scores.
+
+        A gallery row without a vector that the query asks for with a weight
+        other than zero does not compete: its score is -inf, whatever the
+        metric. A query without a vector gives zero in that space to all rows.
+        """
         total = None
         for w, s in zip(self.weights, sims):
             if not isinstance(w, str) and w == 0:
@@ -153,7 +175,14 @@ class System:
                 w = q[w] if s.ndim == 1 else q[w][:, None]
             part = s if isinstance(w, (int, float)) and w == 1 else w * s
             total = part if total is None else total + part
-        return np.zeros_like(sims[0]) if total is None else total
+        total = np.zeros_like(sims[0]) if total is None else total
+        for w, gap in zip(self.weights, gaps):
+            if gap is None or (not isinstance(w, str) and w == 0):
+                continue
+            if isinstance(w, str):
+                gap = gap & ((q[w] if gap.ndim == 1 else q[w][:, None]) != 0)
+            total = np.where(gap, -np.inf, total)
+        return total
 
 
 # ---------------------------------------------------------------- Arrow blocks

@@ -15,7 +15,7 @@ from ..functions import vectors as V
 from ..session import materialize
 from .blocks import CLIP_CLAP, System, block_join
 from .fusion import WEIGHTS, truth_similarities, with_softmax_weights
-from .scoring import _fields, _gallery_columns, score_top_k
+from .scoring import _fields, _gallery_columns, _tile, score_top_k
 
 # erf on a grid; cubic Hermite steps of 1/512 keep the error below 1e-13.
 _STEP = 1.0 / 512
@@ -273,8 +273,8 @@ class SoftmaxMoments:
         return np.zeros((4, q["_n"]))
 
     def update(self, state, q, g):
-        sims = [s.scores(q, g) for s in self.spaces]
-        e = np.exp(self.system.fuse(q, sims))
+        sims, gaps = _tile(self.spaces, q, g)
+        e = np.exp(self.system.fuse(q, sims, gaps))
         state[0] += e.sum(axis=1)
         for i, s in enumerate(sims):
             state[i + 1] += (e * s).sum(axis=1)

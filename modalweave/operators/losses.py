@@ -14,10 +14,12 @@ from .scoring import (
     _fields,
     _gallery_columns,
     _query_columns,
+    _tile,
+    _truth,
     exp_sums,
     score_pairs,
     score_top_k,
-    truth_ranks,
+    truth_scores,
     unique,
 )
 from .sampling import id_position, random_negatives
@@ -37,16 +39,15 @@ def softmax_ce(queries, gallery, tau=1.0, spaces=CLIP_CLAP, systems=(EQUAL,), li
 SOFTMAX_TAUS = {"ce": 1.0, "listnet": 0.1, "listmle": 0.1, "mnrl": 0.07, "info_nce": 0.07}
 
 
-def _with_truth_score(negatives, ranks):
-    return negatives.join(ranks.select("system", "qid", "s_truth"), ["system", "qid"])
+def _with_truth_score(negatives, queries, gallery, spaces, systems):
+    return negatives.join(truth_scores(queries, gallery, spaces, systems), ["system", "qid"])
 
 
 def margin_hard(queries, gallery, margin=0.2, k=10, spaces=CLIP_CLAP, systems=(EQUAL,), limits=None):
     """(system, loss): mean max(0, margin - (s+ - s-)) over the k hardest negatives."""
     neg = score_top_k(queries, gallery, k, spaces, systems, exclude="truth", limits=limits)
-    ranks = truth_ranks(queries, gallery, spaces, systems, limits=limits)
     gap = F.col("s_truth") - F.col("score")
-    return _with_truth_score(neg, ranks).groupBy("system").agg(
+    return _with_truth_score(neg, queries, gallery, spaces, systems).groupBy("system").agg(
         F.avg(F.greatest(F.lit(0.0), F.lit(margin) - gap)).alias("loss")
     )
 
@@ -71,12 +72,14 @@ class ApproxNdcg:
         self.spaces, self.system, self.tau = spaces, system, tau
 
     def start(self, q):
-        truth = [s.truth(q) for s in self.spaces]
-        return {"truth": self.system.fuse(q, truth), "num": np.zeros(q["_n"]), "den": np.zeros(q["_n"])}
+        truth, gaps = _truth(self.spaces, q)
+        return {"truth": self.system.fuse(q, truth, gaps), "num": np.zeros(q["_n"]), "den": np.zeros(q["_n"])}
 
     def update(self, state, q, g):
-        sims = [s.scores(q, g) for s in self.spaces]
-        diff = (state["truth"][:, None] - self.system.fuse(q, sims)) / self.tau
+        sims, gaps = _tile(self.spaces, q, g)
+        with np.errstate(invalid="ignore"):
+            diff = (state["truth"][:, None] - self.system.fuse(q, sims, gaps)) / self.tau
+        diff = np.where(np.isnan(diff), 0.0, diff)  # neither competes: a tie
         place = np.broadcast_to(g["place"][None, :], diff.shape)
         own = q["truth_place"][:, None]
         j = np.where(place < own, place + 1, place)  # 1-based among the negatives
@@ -159,8 +162,7 @@ def info_nce_hard(a: DataFrame, b: DataFrame, scale: float = 20.0, margin: float
     q, g = as_queries(a), as_gallery(b)
     main = softmax_ce(q, g, 1.0, spaces, systems, limits)
     neg = score_top_k(q, g, k, spaces, systems, exclude="truth", limits=limits)
-    ranks = truth_ranks(q, g, spaces, systems, limits=limits)
-    hinge = _with_truth_score(neg, ranks).groupBy("system").agg(
+    hinge = _with_truth_score(neg, q, g, spaces, systems).groupBy("system").agg(
         F.avg(F.greatest(F.lit(0.0), F.lit(margin) + F.col("score") - F.col("s_truth"))).alias("hinge")
     )
     return main.withColumnRenamed("loss", "main").join(hinge, "system").select(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .blocks import (
@@ -16,6 +18,8 @@ from .blocks import (
     System,
     block_join,
     settle,
+    to_block,
+    with_truth,
 )
 
 EQUAL = System("equal", (1 / 3, 1 / 3, 1 / 3))
@@ -47,6 +51,15 @@ def _places_of(wanted, ids):
     return rows, order[place[rows]]
 
 
+def _tile(spaces, q, g):
+    """Scores of a tile per space, and the pairs that do not compete in it."""
+    return [s.scores(q, g) for s in spaces], [s.gap(q, g) for s in spaces]
+
+
+def _truth(spaces, q):
+    return [s.truth(q) for s in spaces], [s.truth_gap(q) for s in spaces]
+
+
 class TopK:
     """Best ``k`` gallery rows per (system, query), ordered (score desc, id asc)."""
 
@@ -58,13 +71,13 @@ class TopK:
         return [(None, None)] * len(self.systems)
 
     def update(self, state, q, g):
-        sims = [s.scores(q, g) for s in self.spaces]
+        sims, gaps = _tile(self.spaces, q, g)
         barred = None
         if self.exclude is not None:
             barred = _places_of(q[self.exclude], g["id"])
         for i, system in enumerate(self.systems):
             old, cut = state[i]
-            fused = system.fuse(q, sims)
+            fused = system.fuse(q, sims, gaps)
             if barred is not None:
                 fused = np.array(fused)
                 fused[barred] = -np.inf
@@ -166,19 +179,19 @@ class TruthRank:
         self.spaces, self.systems, self.carry = spaces, systems, carry
 
     def start(self, q):
-        truth = [s.truth(q) for s in self.spaces]
+        truth, gaps = _truth(self.spaces, q)
         return {
-            "truth": [settle(s.fuse(q, truth)) for s in self.systems],
+            "truth": [settle(s.fuse(q, truth, gaps)) for s in self.systems],
             "sims": truth,
             "better": np.zeros((len(self.systems), q["_n"]), dtype=np.int64),
             "n": 0,
         }
 
     def update(self, state, q, g):
-        sims = [s.scores(q, g) for s in self.spaces]
+        sims, gaps = _tile(self.spaces, q, g)
         own = _places_of(q["truth"], g["id"])
         for i, system in enumerate(self.systems):
-            fused = np.array(system.fuse(q, sims))
+            fused = np.array(system.fuse(q, sims, gaps))
             fused[own] = -np.inf
             truth = state["truth"][i]
             ahead = fused > truth[:, None] + SLACK
@@ -219,7 +232,9 @@ def truth_ranks(
     """(system, qid, truth, *carry, s_truth, gt_sim_*, rk, n): 1-based truth ranks.
 
     Nothing is sorted: the rank is one plus the number of rows that beat the
-    truth.  Queries whose truth is not in the gallery drop out.
+    truth.  Queries whose truth is not in the gallery drop out.  Rows that do
+    not compete for want of a vector rank behind all others, by id; a truth
+    among them has s_truth -inf.
     """
     carry = [c for c in carry if c not in ("qid", "truth")]
     q = _query_columns(queries, spaces, systems, ["truth", *carry])
@@ -246,6 +261,31 @@ def truth_ranks(
     )
 
 
+def truth_scores(
+    queries: DataFrame, gallery: DataFrame, spaces=CLIP_CLAP, systems=(EQUAL,)
+) -> DataFrame:
+    """(system, qid, s_truth) as in ``truth_ranks``, by an equi-join without scoring the gallery."""
+    q = _query_columns(queries, spaces, systems, ["truth"])
+    names = unique([s.g for s in spaces])
+    schema = StructType([StructField("system", StringType())] + _fields(q, ["qid"]) + _double("s_truth"))
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            block = to_block(batch)
+            if not block["_n"]:
+                continue
+            truth, gaps = _truth(spaces, block)
+            for system in systems:
+                score = settle(system.fuse(block, truth, gaps))
+                arrays = [[system.name] * block["_n"], block["qid"], score]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, type=f.type) for a, f in zip(arrays, arrow_schema)], schema=arrow_schema
+                )
+
+    return with_truth(q, _gallery_columns(gallery, spaces), names).mapInArrow(run, schema)
+
+
 class ScoreStats:
     """Per query and space: count, sum, sum of squares, min, max of all scores."""
 
@@ -264,11 +304,13 @@ class ScoreStats:
         }
 
     def update(self, state, q, g):
-        keep = None
+        others = None
         if self.exclude is not None:
-            keep = q[self.exclude][:, None] != g["id"][None, :]
+            others = q[self.exclude][:, None] != g["id"][None, :]
         for i, space in enumerate(self.spaces):
-            s = settle(space.scores(q, g))
+            s, gap, keep = settle(space.scores(q, g)), space.gap(q, g), others
+            if gap is not None:
+                keep = ~gap if keep is None else keep & ~gap
             if keep is None:
                 state["n"][i] += s.shape[1]
                 z = s
@@ -309,7 +351,11 @@ def score_stats(
     thresholds=(),
     limits: Limits | None = None,
 ) -> DataFrame:
-    """(space, qid, n, s1, s2, lo, hi, above_*): summary of all scores of a query."""
+    """(space, qid, n, s1, s2, lo, hi, above_*): summary of all scores of a query.
+
+    Gallery rows without a vector in the space are not counted; lo and hi are
+    NULL where n is 0.
+    """
     q = _query_columns(queries, spaces, (), [exclude] if exclude else [])
     g = _gallery_columns(gallery, spaces)
     above = [f"above_{j}" for j in range(len(thresholds))]
@@ -328,8 +374,8 @@ def score_stats(
         F.sum("n").alias("n"),
         F.sum("s1").alias("s1"),
         F.sum("s2").alias("s2"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
+        F.when(F.sum("n") > 0, F.min("lo")).alias("lo"),
+        F.when(F.sum("n") > 0, F.max("hi")).alias("hi"),
         *[F.sum(c).alias(c) for c in above],
     )
 
@@ -341,21 +387,24 @@ class ExpSum:
         self.spaces, self.systems, self.tau, self.same = spaces, systems, tau, same
 
     def start(self, q):
-        truth = [s.truth(q) for s in self.spaces]
+        truth, gaps = _truth(self.spaces, q)
         shape = (len(self.systems), q["_n"])
         return {
-            "truth": [s.fuse(q, truth) for s in self.systems],
+            "truth": [s.fuse(q, truth, gaps) for s in self.systems],
             "all": np.zeros(shape),
             "pos": np.zeros(shape),
         }
 
     def update(self, state, q, g):
-        sims = [s.scores(q, g) for s in self.spaces]
+        sims, gaps = _tile(self.spaces, q, g)
         same = None
         if self.same is not None:
             same = q[self.same][:, None] == g[self.same][None, :]
         for i, system in enumerate(self.systems):
-            e = np.exp((system.fuse(q, sims) - state["truth"][i][:, None]) / self.tau)
+            fused = system.fuse(q, sims, gaps)
+            with np.errstate(invalid="ignore"):
+                e = np.exp((fused - state["truth"][i][:, None]) / self.tau)
+            e = np.where(fused == -np.inf, 0.0, e)
             state["all"][i] += e.sum(axis=1)
             if same is not None:
                 state["pos"][i] += np.where(same, e, 0.0).sum(axis=1)
@@ -376,7 +425,8 @@ def exp_sums(
 ) -> DataFrame:
     """(system, qid, e_all, e_pos) with scores shifted by the truth's score.
 
-    ln(e_all) is then the softmax cross entropy of the truth itself.
+    ln(e_all) is then the softmax cross entropy of the truth itself; infinite
+    where the truth does not compete for want of a vector.
     """
     extra = ["truth"] + ([same] if same else [])
     q = _query_columns(queries, spaces, systems, extra)

@@ -25,20 +25,32 @@ class SweepRank:
 
     def start(self, q):
         truth = [s.truth(q) for s in self.spaces]
-        return {"truth": truth, "ahead": np.zeros((len(self.combos), q["_n"]), dtype=np.int64)}
+        lost = [s.truth_gap(q) for s in self.spaces]
+        return {"truth": truth, "lost": lost, "ahead": np.zeros((len(self.combos), q["_n"]), dtype=np.int64)}
 
     def update(self, state, q, g):
         sims = [s.scores(q, g) for s in self.spaces]
         near = np.zeros(sims[0].shape, dtype=bool)
-        for s, t in zip(sims, state["truth"]):
-            near |= s >= t[:, None] - SLACK
+        gaps = [s.gap(q, g) for s in self.spaces]
+        for s, t, gap, lost in zip(sims, state["truth"], gaps, state["lost"]):
+            close = s >= t[:, None] - SLACK
+            near |= close if gap is None else close & ~gap
+            if lost is not None:  # a truth without this vector can be beaten by any row
+                near[lost] = True
         near[_places_of(q["truth"], g["id"])] = False
         rows, cols = np.nonzero(near)
         earlier = g["id"][cols] < q["truth"][rows]
         scores = [s[rows, cols] for s in sims]
+        gaps = [None if gap is None else gap[rows, cols] for gap in gaps]
+        lost = [None if gap is None else gap[rows] for gap in state["lost"]]
         for i, w in enumerate(self.combos):
             fused = settle(sum(wi * s for wi, s in zip(w, scores)))
             gt = settle(sum(wi * t for wi, t in zip(w, state["truth"])))[rows]
+            for wi, gap, gone in zip(w, gaps, lost):
+                if wi and gap is not None:
+                    fused = np.where(gap, -np.inf, fused)
+                if wi and gone is not None:
+                    gt = np.where(gone, -np.inf, gt)
             ahead = (fused > gt) | ((fused == gt) & earlier)
             state["ahead"][i] += np.bincount(rows[ahead], minlength=q["_n"])
         return state

@@ -111,18 +111,59 @@ def test_null_vector_scores_zero(world):
 
 
 @pytest.mark.parametrize("limits", [None, PLACEMENTS["grid"]])
-def test_missing_vectors_score_zero_under_angular(world, limits):
+def test_missing_vectors_under_angular(world, limits):
     from pyspark.sql import functions as F
 
     some = F.when(F.col("qid") >= 1030, F.col("q_clap"))
     queries = world["queries"].withColumn("q_clap", some)
     gallery = world["gallery"].withColumn("audio", F.when(F.col("id") != 3, F.col("audio")))
     rows = S.score_top_k(queries, gallery, 60, angular_spaces(), limits=limits).collect()
-    assert all((r["sim_a"] == 0) == (r["qid"] < 1030 or r["id"] == 3) for r in rows)
+    assert all((r["sim_a"] == 0) == (r["qid"] < 1030) for r in rows)
+    assert {r["qid"] < 1030 for r in rows if r["id"] == 3} == {True}
     truth = S.truth_ranks(queries, gallery, angular_spaces(), limits=limits).collect()
     assert all((r["gt_sim_a"] == 0) == (r["qid"] < 1030) for r in truth) and len(truth) == 60
 
 
+GAPS = [(1, [0.9, 0.1]), (2, None), (3, [-1.0, 1.0])]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "angular", "neg_manhattan", "neg_euclidean"])
+@pytest.mark.parametrize("limits", [None, Limits(broadcast_rows=2), Limits(broadcast_rows=0, grid_rows=1)])
+def test_missing_gallery_vectors_do_not_compete(spark, metric, limits):
+    gallery = spark.createDataFrame(GAPS, "id long, g array<double>").repartition(2)
+    away = [(q, t, [-1.0, 0.0]) for q, t in ((10, 1), (11, 2), (12, 3))]
+    queries = spark.createDataFrame(away, "qid long, truth long, q array<double>")
+    space, system = (Space("s", "q", "g", metric),), (System("s", (1,)),)
+    top = S.score_top_k(queries, gallery, 3, space, system, limits=limits).collect()
+    assert sorted((r["qid"], r["rk"], r["id"]) for r in top) == [(q, k, i) for q in (10, 11, 12) for k, i in ((1, 3), (2, 1))]
+    ranks = {r["truth"]: r for r in S.truth_ranks(queries, gallery, space, system, limits=limits).collect()}
+    assert {t: r["rk"] for t, r in ranks.items()} == {3: 1, 1: 2, 2: 3} and ranks[2]["s_truth"] == -np.inf
+    want = {r["qid"]: r["s_truth"] for r in ranks.values()}
+    assert {r["qid"]: r["s_truth"] for r in S.truth_scores(queries, gallery, space, system).collect()} == want
+    stats = S.score_stats(queries, gallery, space, limits=limits).collect()
+    assert all(r["n"] == 2 and r["hi"] == want[12] and r["lo"] == want[10] for r in stats)
+    none = S.score_stats(queries, gallery.filter("id = 2"), space, limits=limits).first()
+    assert (none["n"], none["lo"], none["hi"]) == (0, None, None)
+
+
+def test_gaps_matter_only_where_they_weigh(world):
+    from pyspark.sql import functions as F
+
+    from modalweave.operators.sweeps import sweep_recall
+
+    gallery = world["gallery"].withColumn("audio", F.when(F.col("id") % 3 != 0, F.col("audio")))
+    queries = world["queries"].withColumn("w", F.when(F.col("qid") % 2 == 0, 1.0).otherwise(0.0))
+    system = (System("half", (1, 0, "w")),)
+    lists = S.score_top_k(queries, gallery, 60, systems=system).groupBy("qid").count().collect()
+    assert all(r["count"] == (40 if r["qid"] % 2 == 0 else 60) for r in lists)
+    combos = [(1.0, 0.0, 0.0), (0.5, 0.0, 0.5), (0.0, 0.0, 1.0)]
+    got = {(r["w_v"], r["w_a"]): r["r10"] for r in sweep_recall(queries, gallery, combos, spaces=CLIP_CLAP, scale_a=1.0).collect()}
+    for v, t, a in combos:
+        ranks = S.truth_ranks(queries, gallery, systems=(System("s", (v, t, a)),))
+        want = ranks.select(F.avg((F.col("rk") <= 10).cast("int"))).first()[0]
+        assert got[(v, a)] == pytest.approx(want)
+
+
 def test_unanswerable_queries_drop_out(world, spark):
     lost = world["queries"].withColumn("truth", world["queries"]["truth"] + 40)
     for limits in (None, PLACEMENTS["grid"]):

@@ -21,7 +21,7 @@ SPREAD = [
     "s1_scan_manifest", "p10_partial_match", "t1_chunk_text", "u1_encode", "v12_affine", "j3_score_angular",
     "j7_caption_max_sim_loo", "w2_top_k", "w6_random_negatives", "m7_by_category", "e7_failure_class",
     "g15_sweep_train_select", "x4_format_explanation", "x5_search", "d03_pos_neg_overlap", "d15_skew_vs_k",
-    "l10_local_scaling", "o3_approx_ndcg",
+    "l10_local_scaling", "o3_approx_ndcg", "w2_top_k_with_gaps", "w4_rank_of_truth_with_gaps", "l5_cca_reconstruction",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
