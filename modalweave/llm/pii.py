@@ -41,14 +41,40 @@ CONTEXT = {
 BONUS, WINDOW, THRESHOLD = 0.3, 40, 0.5
 
 SPAN = "struct<start:int,end:int,value:string>"
+#: Matches of a text that are collected at a time, see fold.
+STEPS = 256
 FULL_SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
 
+def fold(items: Column, element: str, step, last=lambda at, out: out) -> Column:
+    """Walk over ``items`` with a position ``at`` from 0 and a list ``out`` of ``element``; ``last`` makes the result of both.
+
+    Adding to a list copies it, so a text with very many matches would cost
+    their square. Lists grow to STEPS items here and are chained at the end.
+    """
+    empty = F.array().cast(f"array<{element}>")
+
+    def cut(held):
+        last_chunk = F.greatest(F.floor((F.size(held) - 1) / STEPS), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last_chunk), lambda i: F.slice(held, i * STEPS + 1, F.lit(STEPS)))
+
+    # a variable of a lambda is computed once, an expression inside it once per call
+    chunks = F.element_at(F.transform(F.array(items), cut), 1)
+
+    def chunk(acc, part):
+        start = F.struct(acc["at"].alias("at"), empty.alias("out"))
+        return F.aggregate(
+            part, start, step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{element}>>").alias("out"))
+    return F.aggregate(chunks, start, chunk, lambda x: last(x["at"], F.flatten(x["out"])))
+
+
 def matches(text: Column, found: Column, pattern: str) -> Column:
     """start, end (code points) and value of the regular expression's successive matches ``found`` in ``text``."""
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     steps = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + x["g"]
@@ -57,7 +83,7 @@ def matches(text: Column, found: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(steps, start, step, lambda acc: acc["out"]))
+    return F.when(F.size(found) == 0, none).otherwise(fold(steps, SPAN, step))
 
 
 def digits_of(value: Column) -> Column:
@@ -148,7 +174,6 @@ def redact(docs: DataFrame) -> DataFrame:
     held = held.withColumns(
         {f"_{k}": F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERNS[k]), F.lit(0)) for k in kinds}
     ).withColumn("_spans", _spans(kinds))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
         before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
@@ -157,10 +182,10 @@ def redact(docs: DataFrame) -> DataFrame:
         longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] < acc["at"], longer).otherwise(added)
 
-    def join(acc):
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    def join(at, out):
+        return F.concat(F.array_join(out, ""), F.substring(F.col("text"), at + 1, F.length("text")))
 
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, join)).otherwise(F.col("text"))
+    clean = F.when(F.size("_spans") > 0, fold(F.col("_spans"), "string", step, join)).otherwise(F.col("text"))
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     out = held.withColumn("text", clean).withColumn("n_chars", F.when(F.size("_spans") > 0, length).otherwise(F.col("n_chars")))
     return back(out)
