@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from conftest import texts_of
 from pyspark.sql import functions as F
@@ -120,6 +121,81 @@ def test_one_of_each_class_stays(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 8]
 
 
+def similar_brute(rows, words=5, similarity=0.8):
+    """(doc_id, component) by all pairs of distinct word sequences; spacing and the case of A-Z do not matter."""
+    nodes = {}
+    for i, t in rows:
+        nodes.setdefault(tuple(t.encode().lower().split()), []).append(i)
+    keys = list(nodes)
+    sets = [{w[k : k + words] for k in range(max(1, len(w) - words + 1))} if w else set() for w in keys]
+    holders = {}
+    for n, one in enumerate(sets):
+        for x in one:
+            holders.setdefault(x, []).append(n)
+    linked = []
+    for n, one in enumerate(sets):
+        shared = Counter(m for x in one for m in holders[x] if m < n)
+        linked += [(n, m) for m, k in shared.items() if k / (len(one) + len(sets[m]) - k) >= similarity]
+    root = roots(range(len(keys)), linked)
+    least = {}
+    for n, r in root.items():
+        ids = [i for i in nodes[keys[n]] if i is not None]
+        if ids:
+            least[r] = min([least.get(r, ids[0]), *ids])
+    return Counter((i, least.get(root[n])) for n, w in enumerate(keys) for i in nodes[w])
+
+
+def edited(groups, seed):
+    """Texts in groups of edited copies, from a few changed words to half of them; some in other case and spacing."""
+    rng, rows = random.Random(seed), []
+    for _ in range(groups):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice((3, 5, 9, 40, 200)))]
+        for _ in range(rng.randint(1, 8)):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 20))):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 9)}"
+            rows.append((len(rows), rng.choice((" ", "  ", "\n")).join(words)))
+            if rng.random() < 0.1:
+                rows.append((len(rows), rows[-1][1].upper()))
+    return rows
+
+
+def test_similar_texts_equal_brute_force(spark, docs, odd, none):
+    made = spark.createDataFrame(edited(60, 8), "doc_id long, text string")
+    for df in (docs, odd, made):
+        got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(df).collect())
+        assert got == similar_brute(texts_of(df))
+    assert simhash.similar_documents(none).count() == 0
+    with pytest.raises(ValueError):
+        simhash.similar_documents(docs, similarity=0.5)
+
+
+def test_similar_texts_in_hot_keys_and_chunks(spark):
+    """One large group of near copies in which many pairs are below the similarity: every chunk size connects the same."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(120)] = f"x{rng.randint(0, 999)}"
+        rows.append((i, " ".join(words)))
+    wanted = similar_brute(rows)
+    table = simhash.sketches(spark.createDataFrame(rows, "doc_id long, text string")).dropDuplicates(["node"]).cache()
+    node = {r["node"]: r["doc_id"] for r in table.select("node", "doc_id").collect()}
+    for chunk in (512, 40, 7):
+        edges = [(node[a], node[b]) for a, b in simhash.similar_links(table, table.select("node", "shingles"), 0.8, chunk).collect()]
+        root = roots(node.values(), edges)
+        least = {}
+        for i, r in root.items():
+            least[r] = min(least.get(r, i), i)
+        same = {rows[i][1]: least[r] for i, r in root.items()}
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(same[t], []).append(i)
+        assert Counter((i, min(g)) for g in groups.values() for i in g) == wanted, chunk
+    assert len(node) > 100
+
+
 # ------------------------------------------------------------------ suffix arrays
 
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SF, texts_of
-from test_groups import repeats_brute, simhash_brute
+from test_groups import repeats_brute, similar_brute
 from test_texts import base_pii
 
 from modalweave.llm import toxicity
@@ -93,7 +93,7 @@ def test_pipeline_stage_by_stage(spark):
     score = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet")).scorer()
     assert one.columns == columns and set(rows(one)) == {i for i, r in rows(docs).items() if score(r["text"] or "") < 0.5}
     two = near(spark, one, SF)
-    least = {i: c for i, _, c in simhash_brute([(i, r["text"]) for i, r in rows(one).items()])}
+    least = dict(list(similar_brute([(i, r["text"] or "") for i, r in rows(one).items()])))
     assert two.columns == columns and set(rows(two)) == {i for i, c in least.items() if i == c}
     three = repeated(spark, two, SF)
     before, after = rows(two), rows(three)
