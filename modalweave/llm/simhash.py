@@ -238,8 +238,10 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
     Words as in ``fingerprints``; here each distinct shingle counts once. node is
     a 128-bit digest of the words, so texts that differ in spacing or in the case
     of A-Z are one node. fingerprint is the SimHash of the distinct shingles,
-    bands hold digests of their minima under random orders, shingles their sorted
-    64-bit hashes. All three are null for a text without words.
+    bands hold digests of their minima under random orders, shingles the sorted
+    upper 32 bits of their hashes (two sets of 500 hold a false match with chance
+    0.00006, which counts only within one shingle of the threshold). All three are
+    null for a text without words.
     """
 
     def row():
@@ -267,8 +269,9 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                 ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 least = np.minimum(least, ((part[:, None] ^ flip) * odd).min(axis=0))
             value = weights[2 * ones > len(distinct)].sum(dtype=np.uint64)
+            short = np.unique((distinct >> np.uint64(32)).astype(np.uint32))
             digests = [xxhash.xxh64_intdigest(least[b * MINIMA : (b + 1) * MINIMA].tobytes(), b) for b in range(BANDS)]
-            return node, int(value.view(np.int64)), np.array(digests, np.uint64).view(np.int64).tolist(), distinct.tobytes()
+            return node, int(value.view(np.int64)), np.array(digests, np.uint64).view(np.int64).tolist(), short.tobytes()
 
         return one
 
@@ -308,7 +311,9 @@ def similar_links(texts: DataFrame, sets: DataFrame, similarity: float, chunk: i
     """
     keyed = texts.select("node", "fingerprint", F.posexplode("bands").alias("band", "bits"))
     cells = materialize(pair_cells(keyed, ["band", "bits"], "node", chunk), "similar-cells")
-    wanted = sets.join(cells.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # written, so that Spark knows its size: broadcast below its threshold, else both sides are shuffled
+    listed = materialize(cells.select("node").distinct(), "similar-wanted")
+    wanted = sets.join(listed, "node", "left_semi").dropDuplicates(["node"])
     by = ["band", "bits", "_i", "_j"]
 
     def run(frames):
@@ -321,7 +326,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, similarity: float, chunk: i
             fresh = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
             sizes = np.diff(np.r_[fresh, len(frame)])
             own, i, j = (frame[c].to_numpy() for c in ("_own", "_i", "_j"))
-            sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+            sets = [np.frombuffer(s, np.uint32) for s in frame["shingles"]]
             label = np.arange(len(frame))
             for a, b in candidates(fresh, sizes, own, i, j):
                 label = joined(sets, *near_pairs(prints, a, b, LOOSE), label, similarity)
