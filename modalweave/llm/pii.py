@@ -18,16 +18,31 @@ KINDS = [*BASE_KINDS, "iban", "ssn"]
 # A run of characters that cannot start in its own middle is entered at its
 # first character or where the last match ended; repeated groups are possessive
 # because nothing after them could use what they give back. Both keep long runs
-# linear and leave the matches as they are.
+# linear and leave the matches as they are. Of an IBAN only the first four
+# characters are matched: the run after them, perhaps with the first character
+# of a word that follows, is looked at (group 1) and its end chosen in iban().
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 
+#: Characters of an IBAN by country, as registered under ISO 13616.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_REGISTERED = {n: f"(?:{'|'.join(codes.split())})" for n, codes in IBAN_CHARS.items()}
+#: Two letters, two digits and the rest in the length of the country; 15 to 34 characters for other letters.
+IBAN_FORM = "^(?:{}|(?!{})[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})$".format(
+    "|".join(f"{codes}[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, codes in _REGISTERED.items()), "|".join(_REGISTERED.values())
+)
+
 #: Score of a confirmed match without context, and words nearby that raise it.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT = {
@@ -110,6 +125,24 @@ def mod97(value: Column) -> Column:
     return F.aggregate(moved, F.lit(0), step) == 1
 
 
+def iban(run: Column) -> Column:
+    """The IBAN that ``run`` begins with, or null.
+
+    It ends where a group ends, so a word, BIC, amount or currency after it
+    stays outside. The country gives the length; of several ends that pass under
+    letters without a registered length the last one counts.
+    """
+
+    def passes(value):
+        return F.regexp_replace(value, " ", "").rlike(IBAN_FORM) & mod97(value)
+
+    def begun(groups):
+        return F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+
+    # a longer one of two with the same beginning is the greater string
+    return F.array_max(F.filter(F.flatten(F.transform(F.array(F.split(run, " ")), begun)), passes))
+
+
 def valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -118,8 +151,6 @@ def valid(kind: str, value: Column) -> Column:
         return F.length(digits_of(value)).between(12, 19) & luhn(value)
     if kind == "phone":
         return F.length(digits_of(value)).between(9, 15)
-    if kind == "iban":
-        return mod97(value)
     if kind == "ssn":  # never issued: area 000, 666 and 9xx, group 00, number 0000
         return ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -132,17 +163,28 @@ def scan(docs: DataFrame) -> DataFrame:
     ssn only if score and context reach the threshold. A null or empty text has
     no spans, repeated rows give them again, other columns are not read.
     """
-    kinds = list(PATTERNS)
-    found = documents(docs).select(
-        "doc_id", "text", *[F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)).alias(f"_{k}") for k in kinds]
-    )
-    return found.select("doc_id", _spans(kinds).alias("spans"))
+    found = documents(docs).select("doc_id", "text", *[c.alias(n) for n, c in _found(F.col("text")).items()])
+    return found.select("doc_id", _spans(list(PATTERNS)).alias("spans"))
+
+
+def _found(text: Column) -> dict[str, Column]:
+    """Matches of each kind as _<kind>, what follows those of an IBAN as _after."""
+    found = {f"_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
+    return found | {"_after": F.regexp_extract_all(text, F.lit(PATTERNS["iban"]), F.lit(1))}
+
+
+def _ibans(heads: Column) -> Column:
+    """Spans of the IBANs that begin with ``heads``."""
+    values = F.zip_with(heads, F.col("_after"), lambda s, t: F.struct(s["start"], iban(F.concat(s["value"], t)).alias("value")))
+    spans = F.transform(values, lambda s: F.struct(s["start"], (s["start"] + F.length(s["value"])).alias("end"), s["value"]))
+    return F.filter(spans, lambda s: s["value"].isNotNull())
 
 
 def _confirmed(kind: str) -> Column:
     """Scored spans of one kind in the column text, from its matches in the column _<kind>."""
     text = F.col("text")
-    spans = F.filter(matches(text, F.col(f"_{kind}"), PATTERNS[kind]), lambda s: valid(kind, s["value"]))
+    held = matches(text, F.col(f"_{kind}"), PATTERNS[kind])
+    spans = _ibans(held) if kind == "iban" else F.filter(held, lambda s: valid(kind, s["value"]))
 
     def scored(s):
         begin = F.greatest(s["start"] - WINDOW, F.lit(0))
@@ -171,9 +213,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     kinds = list(PATTERNS)
     held, back = aside(docs, "text", "n_chars")
-    held = held.withColumns(
-        {f"_{k}": F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERNS[k]), F.lit(0)) for k in kinds}
-    ).withColumn("_spans", _spans(kinds))
+    held = held.withColumns(_found(F.coalesce("text", F.lit("")))).withColumn("_spans", _spans(kinds))
 
     def step(acc, s):
         before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])

@@ -98,6 +98,25 @@ def test_checksums_and_context_add_spans(spark, none):
     assert pii.scan(none).count() == 0
 
 
+def test_ibans_end_where_their_country_says(spark):
+    cases = [
+        ("DE89370400440532013000 The rest", ["DE89370400440532013000"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        ("to GB82 WEST 1234 5698 7654 32 USD 500", ["GB82 WEST 1234 5698 7654 32"]),
+        ("DE89370400440532013000 12.50 EUR", ["DE89370400440532013000"]),
+        ("NO93 8601 1117 947 NOK 7 AND MT84 MALT 0110 0001 2345 MTLC AST0 01S", ["NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]),
+        ("REF AB12 DE89 3704 0044 0532 0130 00 GB82WEST12345698765432", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]),
+        ("DE89370400440532013000", ["DE89370400440532013000"]), ("é😀 DE89370400440532013000😀", ["DE89370400440532013000"]),
+        ("DE89370400440532013000The", []), ("XDE89370400440532013000 EUR", []), ("DE89 3704 0044 0532 0130 01 EUR", []),
+        ("ZZ59 1234 5678 9012 3456 THE", ["ZZ59 1234 5678 9012 3456"]),
+    ]
+    df = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(cases)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: [cases[r["doc_id"]][0][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in pii.scan(df).collect()}
+    assert got == {i: found for i, (_, found) in enumerate(cases)}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert masked[1] == "IBAN <IBAN> BIC COBADEFFXXX" and masked[3] == "<IBAN> 12.50 EUR"
+
+
 def test_redaction_masks_spans_and_nothing_else(spark, docs, none):
     out = {r["doc_id"]: r for r in pii.redact(docs).collect()}
     for r in docs.collect():
