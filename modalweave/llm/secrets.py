@@ -2,12 +2,14 @@
 
 Natural words and names cost few tokens per character under a BPE vocabulary;
 random keys cost many. A candidate string with few characters per token is
-reported unless it is a known digest or an identifier.
+reported unless it is a known digest or an identifier made of parts that are
+natural by the same measure.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -32,16 +34,24 @@ HEXADECIMAL = re.compile(r"[0-9A-Fa-f]+")
 NUMBER = re.compile(r"[0-9+/=_-]+")
 #: Letters joined by -, _ or /, perhaps with a short number at the end.
 NAME = re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*(?:[-_]?[0-9]{1,4})?")
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
-def known(candidate: str) -> bool:
-    """A digest, a UUID, a number or an identifier (words of four letters and more on average)."""
+def natural(part: str, tokens: Callable[[str], int], max_ratio: float) -> bool:
+    """One token, or more than ``max_ratio`` characters per token; in lower case or after a space counts too, as in prose."""
+    low = part.lower()
+    fewest = min(map(tokens, (part, low, f" {low}")))
+    return fewest == 1 or len(part) > max_ratio * fewest
+
+
+def known(candidate: str, word_like: Callable[[str], bool]) -> bool:
+    """A digest, a UUID, a number or an identifier (word-like parts of four letters and more on average)."""
     if HEXADECIMAL.fullmatch(candidate) and len(candidate) in DIGEST_CHARS:
         return True
     if UUID.fullmatch(candidate) or NUMBER.fullmatch(candidate):
         return True
-    return bool(NAME.fullmatch(candidate)) and len(candidate) >= 4 * len(WORD.findall(candidate))
+    parts = WORD.findall(candidate) if NAME.fullmatch(candidate) else []
+    return bool(parts) and len(candidate) >= 4 * len(parts) and all(map(word_like, parts))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -68,6 +78,12 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float = 2.2,
 
         own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(vocabulary), special_tokens={})
 
+        def tokens(value):
+            return len(own.encode_ordinary(value))
+
+        def word_like(part):
+            return natural(part, tokens, max_ratio)
+
         def one(text):
             spans = [(k, s, e, None) for k, s, e in base_spans(text)]
             taken = sorted((s, e) for _, s, e, _ in spans)
@@ -78,10 +94,8 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float = 2.2,
                     at += 1
                 if any(a < e and b > s for a, b in taken[at : at + 3]):
                     continue
-                if known(m.group()):
-                    continue
-                ratio = (e - s) / max(1, len(own.encode_ordinary(m.group())))
-                if ratio <= max_ratio:
+                ratio = (e - s) / max(1, tokens(m.group()))
+                if ratio <= max_ratio and not known(m.group(), word_like):
                     spans.append(("random", s, e, ratio))
             spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
             return ([{"kind": k, "start": s, "end": e, "chars_per_token": r} for k, s, e, r in spans],)

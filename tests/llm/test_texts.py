@@ -80,6 +80,19 @@ def test_random_strings_are_found_and_known_forms_left(spark, none, tokens):
     assert secrets.scan(none, *tokens).count() == 0
 
 
+def test_random_strings_of_one_case_are_found(spark, tokens):
+    rng = random.Random(4)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = [draw(letters, 40) for letters in (lower, upper) for _ in range(100)]
+    keys += [draw(lower, 36) + "2024" for _ in range(20)] + ["-".join(draw(upper, 12) for _ in range(4)) for _ in range(20)]
+    kept = ["CONFIGURATION_DIRECTORY_PATH_NAME", "my_list-of-items-in-order", "HTTPServerConnectionFactory", "donaudampfschifffahrtsgesellschaft"]
+    df = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys + kept)], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(df, *tokens).collect()}
+    assert all(found[i] == [("random", 4, 4 + len(k))] for i, k in enumerate(keys))
+    assert not any(found[len(keys) + i] for i in range(len(kept)))
+
+
 def test_base_pii_as_specified(spark, docs, odd):
     made = spark.createDataFrame(scattered(PII_BITS, 600, 2), "doc_id long, text string")
     for df in (docs, odd, made):
