@@ -160,7 +160,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): kind, start, end, score of all personal data, by start, then kind.
 
     email, ip, card and phone are reported whenever their check holds; iban and
-    ssn only if score and context reach the threshold. A null or empty text has
+    ssn only if score and context reach the threshold. Context is looked for in
+    the WINDOW code points on either side, not in the match itself. A null or empty text has
     no spans, repeated rows give them again, other columns are not read.
     """
     found = documents(docs).select("doc_id", "text", *[c.alias(n) for n, c in _found(F.col("text")).items()])
@@ -188,7 +189,8 @@ def _confirmed(kind: str) -> Column:
 
     def scored(s):
         begin = F.greatest(s["start"] - WINDOW, F.lit(0))
-        near = F.lower(F.substring(text, begin + 1, s["start"] - begin))
+        around = F.substring(text, begin + 1, s["start"] - begin), F.substring(text, s["end"] + 1, F.lit(WINDOW))
+        near = F.lower(F.concat_ws("\n", *around))
         score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), BONUS).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score")

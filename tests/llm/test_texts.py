@@ -111,6 +111,19 @@ def test_checksums_and_context_add_spans(spark, none):
     assert pii.scan(none).count() == 0
 
 
+def test_context_counts_on_both_sides(spark):
+    cases = [
+        ("078-05-1120 (SSN)", 1), ("é😀 078-05-1120 is my social security number", 1), ("SSN 078-05-1120", 1),
+        ("078-05-1120 in stock", 0), ("078-05-1120" + " " * 60 + "ssn", 0), ("social 078-05-1120 security", 0),
+    ]
+    df = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(cases)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: sum(s["kind"] == "ssn" for s in r["spans"]) for r in pii.scan(df).collect()}
+    assert got == {i: n for i, (_, n) in enumerate(cases)}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[0] == "<SSN> (SSN)"
+    mail = spark.createDataFrame([(1, "x@mail.com"), (2, "x@here.com is my mail")], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"][0]["score"] for r in pii.scan(mail).collect()} == {1: 0.9, 2: 1.0}
+
+
 def test_ibans_end_where_their_country_says(spark):
     cases = [
         ("DE89370400440532013000 The rest", ["DE89370400440532013000"]),
