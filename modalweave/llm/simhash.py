@@ -31,8 +31,6 @@ PIVOTS = 12
 CHUNK = 2048
 #: Keys of a text by the minima of its shingles, and minima in a key: a pair of similarity 0.8 has none in common with chance 0.0002.
 BANDS, MINIMA = 16, 4
-#: Bits that may differ between the fingerprints of similar texts: 9.7 on average at 0.8, with a spread of 2.9.
-LOOSE = 20
 #: Rows of a chunk where whole shingle sets travel.
 SET_CHUNK = 512
 
@@ -233,14 +231,13 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, node, fingerprint, bands, shingles) of each whole text.
+    """(doc_id, node, bands, shingles) of each whole text.
 
     Words as in ``fingerprints``; here each distinct shingle counts once. node is
     a 128-bit digest of the words, so texts that differ in spacing or in the case
-    of A-Z are one node. fingerprint is the SimHash of the distinct shingles,
-    bands hold digests of their minima under random orders, shingles the sorted
+    of A-Z are one node. bands hold digests of their minima under random orders, shingles the sorted
     upper 32 bits of their hashes (two sets of 500 hold a false match with chance
-    0.00006, which counts only within one shingle of the threshold). All three are
+    0.00006, which counts only within one shingle of the threshold). Both are
     null for a text without words.
     """
 
@@ -253,35 +250,37 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
         rng = np.random.default_rng(21)
         flip = rng.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64)
         odd = rng.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
-        weights, block = np.uint64(1) << np.arange(64, dtype=np.uint64), 4096
+        block = 4096
 
         def one(text):
             split = text.encode().lower().split()
             node = xxhash.xxh3_128_hexdigest(b" ".join(split))
             if not split:
-                return node, None, None, None
+                return node, None, None
             n = max(1, len(split) - words + 1)
             parts = zip(*(split[i:] for i in range(words))) if len(split) >= words else [split]
             distinct = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(42)), np.uint64, n))
-            ones, least = np.zeros(64, np.int64), np.full(len(odd), (1 << 64) - 1, np.uint64)
+            least = np.full(len(odd), (1 << 64) - 1, np.uint64)
             for i in range(0, len(distinct), block):
                 part = distinct[i : i + block]
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 least = np.minimum(least, ((part[:, None] ^ flip) * odd).min(axis=0))
-            value = weights[2 * ones > len(distinct)].sum(dtype=np.uint64)
             short = np.unique((distinct >> np.uint64(32)).astype(np.uint32))
             digests = [xxhash.xxh64_intdigest(least[b * MINIMA : (b + 1) * MINIMA].tobytes(), b) for b in range(BANDS)]
-            return node, int(value.view(np.int64)), np.array(digests, np.uint64).view(np.int64).tolist(), short.tobytes()
+            return node, np.array(digests, np.uint64).view(np.int64).tolist(), short.tobytes()
 
         return one
 
-    return per_document(documents(docs), "node string, fingerprint bigint, bands array<bigint>, shingles binary", row)
+    return per_document(documents(docs), "node string, bands array<bigint>, shingles binary", row)
 
 
 def joined(sets: list, left, right, label, similarity: float):
     """label after joining the candidate pairs that reach the similarity; pairs already joined are not compared."""
     import numpy as np
 
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    # no pair whose sizes differ this much can reach it
+    keep = np.minimum(size[left], size[right]) / np.maximum(size[left], size[right]) >= similarity
+    left, right = left[keep], right[keep]
     while True:
         keep = label[left] != label[right]
         left, right = left[keep], right[keep]
@@ -291,8 +290,6 @@ def joined(sets: list, left, right, label, similarity: float):
             if label[a] == label[b]:
                 continue
             one, two = sets[a], sets[b]
-            if min(len(one), len(two)) / max(len(one), len(two)) < similarity:
-                continue
             both = np.concatenate((one, two))
             both.sort(kind="stable")  # two sorted runs: a merge
             shared = np.count_nonzero(both[1:] == both[:-1])
@@ -304,12 +301,11 @@ def joined(sets: list, left, right, label, similarity: float):
 def similar_links(texts: DataFrame, sets: DataFrame, similarity: float, chunk: int = SET_CHUNK) -> DataFrame:
     """(a, b): edges that connect what candidate pairs of at least the similarity connect.
 
-    texts (node, fingerprint, bands), one row per node; sets (node, shingles),
-    any number of equal rows per node. Candidates share a band; pivot distances
-    and then fingerprints discard those further apart than LOOSE bits; the shingle
-    sets decide. Sets are looked up only for nodes that share a band with another.
+    texts (node, bands), one row per node; sets (node, shingles), any number of
+    equal rows per node. Candidates share a band; the shingle sets of all of them
+    decide. Sets are looked up only for nodes that share a band with another.
     """
-    keyed = texts.select("node", "fingerprint", F.posexplode("bands").alias("band", "bits"))
+    keyed = texts.select("node", F.posexplode("bands").alias("band", "bits"))
     cells = materialize(pair_cells(keyed, ["band", "bits"], "node", chunk), "similar-cells")
     # written, so that Spark knows its size: broadcast below its threshold, else both sides are shuffled
     listed = materialize(cells.select("node").distinct(), "similar-wanted")
@@ -321,7 +317,6 @@ def similar_links(texts: DataFrame, sets: DataFrame, similarity: float, chunk: i
         import pandas as pd
 
         for frame in grouped(frames, by):
-            prints = frame["fingerprint"].to_numpy(np.int64).view(np.uint64)
             group, ids = frame[by].to_numpy(), frame["node"].to_numpy()
             fresh = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
             sizes = np.diff(np.r_[fresh, len(frame)])
@@ -329,11 +324,11 @@ def similar_links(texts: DataFrame, sets: DataFrame, similarity: float, chunk: i
             sets = [np.frombuffer(s, np.uint32) for s in frame["shingles"]]
             label = np.arange(len(frame))
             for a, b in candidates(fresh, sizes, own, i, j):
-                label = joined(sets, *near_pairs(prints, a, b, LOOSE), label, similarity)
+                label = joined(sets, a, b, label, similarity)
             moved = np.flatnonzero(label != np.arange(len(frame)))
             yield pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
 
-    full = cells.join(wanted, "node").select("node", "fingerprint", "shingles", "_own", *by)
+    full = cells.join(wanted, "node").select("node", "shingles", "_own", *by)
     return full.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, "a string, b string").where("a != b")
 
 
@@ -344,17 +339,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     null and empty texts are equal too. A text of fewer words than a shingle is
     one shingle. component_id as in ``near_duplicates``: the least doc_id
     reachable, null where a class has no id. A pair is missed only if it shares no
-    band or if its fingerprints lie more than LOOSE bits apart (see there);
-    no pair below the similarity is linked. similarity 0.8 or more suits the bands.
+    band (see there); no pair below the similarity is linked. similarity 0.8 or
+    more suits the bands.
     """
     if similarity < 0.8:
-        raise ValueError("bands and radius are laid out for similarities from 0.8 on")
+        raise ValueError("bands are laid out for similarities from 0.8 on")
     marked = materialize(sketches(docs, words), "similar")
-    nodes = marked.groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")
-    )
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "similar-nodes")
-    edges = similar_links(nodes.select("node", "fingerprint", "bands"), marked.select("node", "shingles"), similarity)
+    edges = similar_links(nodes.select("node", "bands"), marked.select("node", "shingles"), similarity)
     classes = nodes.join(connected(edges, "similar-links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id")

@@ -170,6 +170,14 @@ def test_similar_texts_equal_brute_force(spark, docs, odd, none):
         simhash.similar_documents(docs, similarity=0.5)
 
 
+def test_similar_short_texts_with_distant_fingerprints(spark):
+    """Texts of eight and nine words (similarity 0.8) whose fingerprints differ in more than 20 of 64 bits."""
+    words = {k: [f"w{k}x{i}" for i in range(9)] for k in (294, 308, 357, 895, 928, 995, 1079, 1332, 1400, 1511)}
+    rows = [(2 * k + n, " ".join(w[: 9 - n])) for k, w in words.items() for n in (0, 1)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {2 * k + n: 2 * k for k in words for n in (0, 1)}
+
+
 def test_similar_texts_in_hot_keys_and_chunks(spark):
     """One large group of near copies in which many pairs are below the similarity: every chunk size connects the same."""
     rng = random.Random(9)
