@@ -806,6 +806,7 @@ def _(spark, sf):
 
 @query("g17_fit_constant_gate")
 def _(spark, sf):
+    """The loss of the first eight steps and the weights after them; the number of steps is fixed, without a convergence test."""
     neg = N.negatives_table(X.queries(spark, sf), X.gallery(spark, sf), 10)
     fit = N.fit_constant_gate(neg, steps=8, lr=2.0, reg=0.1, target=(0.30, 0.69, 0.01))
     rows = [(i, float(l)) for i, l in enumerate(fit["history"])]
@@ -817,6 +818,7 @@ def _(spark, sf):
 
 @query("g18_fit_linear_gate")
 def _(spark, sf):
+    """The loss of the first three steps, each a pass over all pairs; the number of steps is fixed, without a convergence test."""
     fit = N.fit_linear_gate(X.queries(spark, sf), X.gallery(spark, sf), lr=2.0, steps=3)
     rows = [(i, float(l)) for i, l in enumerate(fit["history"])]
     return spark.createDataFrame(rows, "step int, loss double")
