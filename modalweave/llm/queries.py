@@ -11,6 +11,8 @@ from . import bpe, chat, embed, imatch, packing, pii, secrets, simhash, suffix,
 from .common import hex_digest, of_kinds, span_string
 
 QUERIES: dict = {}
+#: DuckDB SQL of the queries that SQL can express.
+ORACLES: dict = {}
 
 
 def query(fn):

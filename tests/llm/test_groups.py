@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from conftest import texts_of
+from llm_helpers import texts_of
 from pyspark.sql import functions as F
 
 from modalweave.llm import chat, components, embed, imatch, packing, simhash, suffix

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SF, texts_of
+from llm_helpers import SF, texts_of
 from test_groups import repeats_brute, similar_brute
 from test_texts import base_pii
 
@@ -125,6 +125,25 @@ def test_rest_works_without_these_folders(tmp_path):
     assert done.returncode == 0, done.stderr[-1500:]
 
 
+def test_executors_need_no_installed_package(tmp_path):
+    """Every operator and the pipeline run from a folder that cannot import the package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+spec = importlib.util.spec_from_file_location("entry", {os.path.join(root, '__spark_entry__.py')!r})
+m = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(m)
+for name, query in m.queries().items():
+    if name == "pipeline" or name.startswith("op"):
+        query(spark, {SF!r}).write.format("noop").mode("overwrite").save()
+print("done")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=900)
+    assert done.stdout.strip().endswith("done"), done.stderr[-2000:]
+
+
 def test_stages_leave_other_columns_alone(spark):
     """Columns named like what the stages use inside, or differing in case only."""
     import corpus_pipeline as pipeline

@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import ODD_TEXTS, texts_of  # noqa: F401
+from llm_helpers import ODD_TEXTS, texts_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from modalweave.llm import bpe, pii, secrets
