@@ -185,7 +185,13 @@ class CandidateGate(System):
             w = w / w.sum(axis=-1, keepdims=True)
         return w
 
-    def fuse(self, q, sims):
+    def fuse(self, q, sims, gaps=()):
+        """Weighted sum of the scores with weights of the pair's own.
+
+        All scores of a pair feed the gate and a softmax weight is never zero,
+        so a gallery row without a vector that the query asks for in any space
+        does not compete: its score is -inf.
+        """
         paired = sims[0].ndim == 1
         stack = np.stack(sims, axis=-1)
         if paired:
@@ -196,7 +202,11 @@ class CandidateGate(System):
             part = stack[lo : lo + step]
             w = self.candidate_weights(q[self.query_col][lo : lo + step], part)
             out[lo : lo + step] = (w * part).sum(axis=-1)
-        return out[:, 0] if paired else out
+        out = out[:, 0] if paired else out
+        for gap in gaps:
+            if gap is not None:
+                out = np.where(gap, -np.inf, out)
+        return out
 
 
 # ------------------------------------------------------------------ small fits

@@ -4,6 +4,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from helpers import unit
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,11 +30,6 @@ def spark():
     session.stop()
 
 
-def unit(rng, n, d):
-    m = rng.normal(size=(n, d))
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
 @pytest.fixture(scope="session")
 def world(spark):
     """A small random gallery with queries near their truths, as numpy and DataFrames."""

@@ -5,7 +5,7 @@ from modalweave.operators import captions as K
 from modalweave.operators import errors as E
 from modalweave.operators.blocks import Limits
 
-from conftest import unit
+from helpers import unit
 
 GRID = Limits(broadcast_rows=0, grid_rows=20, query_tile=5, gallery_tile=6)
 

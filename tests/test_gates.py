@@ -84,6 +84,24 @@ def test_candidate_gate_step_by_step(world):
             assert r["rk"] == 1 + (np.delete(scores[i], i) > scores[i, i]).sum()
 
 
+def test_candidate_gate_with_missing_vectors(spark):
+    p = N.seeded_parameters(N.candidate_gate_shapes(2, 4), 5)
+    gate = N.CandidateGate("pc", G.WEIGHTS, p, "q_clip", 0.1)
+    gallery = spark.createDataFrame(
+        [(0, [1.0, 0.0], [1.0, 0.0], [1.0, 0.0]), (1, [1.0, 0.0], [1.0, 0.0], None), (2, [0.0, 1.0], [0.0, 1.0], [0.0, 1.0])],
+        "id long, visual array<double>, caption array<double>, audio array<double>",
+    )
+    asked = spark.createDataFrame(
+        [(10, 0, [1.0, 0.0], [1.0, 0.0]), (11, 1, [1.0, 0.0], [1.0, 0.0]), (12, 1, [1.0, 0.0], None)],
+        "qid long, truth long, q_clip array<double>, q_clap array<double>",
+    )
+    for limits in (None, GRID):
+        got = {r["qid"]: r for r in S.truth_ranks(asked, gallery, systems=(gate,), limits=limits).collect()}
+        assert got[10]["rk"] == 1
+        assert got[11]["rk"] == 3 and got[11]["s_truth"] == -np.inf  # the query asks for sound, the truth has none
+        assert np.isfinite(got[12]["s_truth"]) and got[12]["rk"] <= 2  # no sound asked for: the row competes
+
+
 def test_mask_cases(spark):
     rows = [(1, [1.0], [1.0]), (2, [1.0], None), (3, None, [1.0])]
     q = spark.createDataFrame(rows, "qid int, q_clip array<double>, q_clap array<double>")

@@ -6,7 +6,7 @@ from modalweave.operators import geometry as D
 from modalweave.operators import scoring as S
 from modalweave.operators.blocks import Limits
 
-from conftest import unit
+from helpers import unit
 
 GRID = Limits(broadcast_rows=0, grid_rows=20)
 

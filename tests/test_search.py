@@ -72,7 +72,7 @@ def test_audio_only_query_bypasses_the_gate(spark, index, gate):
 
 
 def test_empty_query_is_rejected(spark, gate):
-    with pytest.raises(Exception, match="no embedding"):
+    with pytest.raises(Exception, match="neither of its two vectors"):
         weigh(ask(spark), gate).collect()
     assert weigh(ask(spark), gate, on_empty="drop").count() == 0
 
