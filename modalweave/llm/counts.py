@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import documents, per_document
 
 #: Pieces and token pairs a task remembers before it starts anew.
-MEMO = 1 << 17
+MEMO = 1 << 19
 #: A piece of more characters is counted anew each time it occurs.
 LONG = 48
 #: Pieces of at most so many characters may be split anew when they are cut (contractions).
@@ -62,6 +62,22 @@ class Vocabulary:
         self.special = {a["content"]: a["id"] for a in held["added_tokens"]}
 
 
+class _Pieces(dict):
+    """Piece -> its tokens; a piece not seen before is counted when it is asked for."""
+
+    def __init__(self, table):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, text: str) -> int:
+        count = self.table(text.encode())[-1]
+        if len(text) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[text] = count
+        return count
+
+
 class TokenCounter:
     """Counts tokens of texts under one vocabulary; ``pattern`` cuts a text into pieces."""
 
@@ -75,7 +91,7 @@ class TokenCounter:
         self.marks = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
         self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._apart: dict[tuple[int, int], bool] = {}
-        self._memo: dict[str, int] = {}
+        self.pieces = _Pieces(self.table)
         # every token that ends at a byte, read off in one walk over the bytes
         self.ends = ahocorasick.Automaton()
         for token, data in vocabulary.bytes_of.items():
@@ -124,40 +140,33 @@ class TokenCounter:
         return not self.crossed(left, right, rank) and self.whole(left) and self.whole(right)
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether BPE keeps the two tokens apart when they are neighbours."""
-        known = self._apart.get((left, right))
-        if known is None:
-            if len(self._apart) >= MEMO:
-                self._apart.clear()
-            known = self._apart[left, right] = not self.crossed(left, right, NEVER)
+        """Whether BPE keeps the two tokens apart when they are neighbours; remembered."""
+        if len(self._apart) >= MEMO:
+            self._apart.clear()
+        known = self._apart[left, right] = not self.crossed(left, right, NEVER)
         return known
 
     def table(self, data: bytes) -> list[int]:
         """Token counts of data[:0], data[:1], ..., data."""
         counts, last = [0] * (len(data) + 1), [-1] * (len(data) + 1)
-        apart, done = self.apart, 0
+        known, apart, done = self._apart.get, self.apart, -1
         for end, (token, size) in self.ends.iter(data.decode("latin-1")):
-            end += 1
             if end == done:
                 continue  # a prefix has one encoding, so one token fits
-            before = end - size
-            if before == 0 or apart(last[before], token):
-                counts[end], last[end], done = counts[before] + 1, token, end
+            before = end + 1 - size
+            if before:
+                fits = known((last[before], token))
+                if fits is None:
+                    fits = apart(last[before], token)
+                if not fits:
+                    continue
+            done = end
+            counts[end + 1], last[end + 1] = counts[before] + 1, token
         return counts
 
-    def piece(self, text: str) -> int:
-        known = self._memo.get(text)
-        if known is None:
-            known = self.table(text.encode())[-1]
-            if len(text) <= LONG:
-                if len(self._memo) >= MEMO:
-                    self._memo.clear()
-                self._memo[text] = known
-        return known
-
     def plain(self, text: str) -> int:
         """Tokens of a text without special tokens."""
-        return sum(map(self.piece, self.cut(text)))
+        return sum(map(self.pieces.__getitem__, self.cut(text)))
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
@@ -187,7 +196,7 @@ class Prefixes:
             for p in counter.split(text[at:stop]):
                 self.starts.append(at + p.start())
                 self.marked.append(False)
-                sizes.append(counter.piece(p.group()))
+                sizes.append(counter.pieces[p.group()])
             if m:
                 self.starts.append(stop)
                 self.marked.append(True)

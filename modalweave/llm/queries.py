@@ -126,7 +126,7 @@ def op10_toxicity(spark, sf_dir):
 
 @query
 def op11_crosstok(spark, sf_dir):
-    return crosstok.align_documents(read(spark, sf_dir, "documents"), byte_level(), pieces())
+    return crosstok.align_documents(read(spark, sf_dir, "documents"), byte_level(), pieces(), tokenizer()[1])
 
 
 @query

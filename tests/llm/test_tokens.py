@@ -10,7 +10,7 @@ from llm_helpers import ODD_TEXTS, texts_of
 
 from modalweave.llm import counts, crosstok
 
-BITS = ["it's", "'re", "'ll", "'l", "'v", " ", "  ", "\n", "\t", "a", "ing", "the", " the", "<|endoftext|>", "<|endo", "é", "😀", "日本語", "123", "!!", "'", "x" * 50, "\x1c", "\x85", "　", "#", "<", "|>", "\r\n", "▁", "<0x41>", "<s>", "\x00", "ſ"]
+BITS = ["it's", "'re", "'ll", "'l", "'v", " ", "  ", "\n", "\t", "a", "ing", "the", " the", "<|endoftext|>", "<|endo", "é", "😀", "日本語", "123", "!!", "'", "x" * 50, "\x1c", "\x85", "　", "#", "<", "|>", "\r\n", "▁", " \n ", "  \t \t", "\n\n ", "<0x41>", "<s>", "\x00", "ſ"]
 
 
 def made(n, seed):
@@ -139,26 +139,49 @@ def rows(df):
 
 def test_alignment_equals_brute_force(spark, docs, odd, none, files):
     for df in (docs, odd, spark.createDataFrame(made(300, 4), "doc_id long, text string")):
-        assert rows(crosstok.align_documents(df, *files[:2])) == brute_alignment(texts_of(df), files)
-    assert crosstok.align_documents(none, *files[:2]).count() == 0
+        assert rows(crosstok.align_documents(df, *files)) == brute_alignment(texts_of(df), files)
+    assert crosstok.align_documents(none, *files).count() == 0
 
 
 @pytest.mark.parametrize("frequent", [1, 40])
 def test_rare_and_frequent_pairs_meet_their_counts(spark, docs, files, frequent, monkeypatch):
     """Few or no pairs are broadcast; memories and slices are small."""
-    for name, value in (("FREQUENT", frequent), ("MEMO", 5), ("LONG", 2), ("AT_ONCE", 500)):
+    for name, value in (("FREQUENT", frequent), ("MEMO", 5), ("AT_ONCE", 500)):
         monkeypatch.setattr(crosstok, name, value)
     some = docs.limit(60).cache()
-    assert rows(crosstok.align_documents(some, *files[:2])) == brute_alignment(texts_of(some), files)
+    assert rows(crosstok.align_documents(some, *files)) == brute_alignment(texts_of(some), files)
 
 
 def test_windows_are_cut_at_shared_ends_before_spaces(files):
-    made_ = crosstok.Aligner(crosstok.Tokens(*files[:2]))
-    (a, b), = made_.tokens.encode(["one two  three\nfour"])
-    left, right = made_.cuts(a, b)
-    assert left[-1] == len(a) and right[-1] == len(b) and len(left) >= 3
-    for i, j in zip(left[:-1], right[:-1]):
-        assert b"".join(made_.tokens.a_bytes[x] for x in a[:i]) == b"".join(made_.tokens.b_bytes[x] for x in b[:j])
-        assert made_.tokens.a_bytes[a[i]][:1] == made_.tokens.b_bytes[b[j]][:1] == b" "
-    before = made_.align(a, b)
-    assert made_.memo and made_.align(a, b) == before
+    tokens = crosstok.Tokens(*files)
+    windows = crosstok.Windows(tokens)
+    (a, b), = tokens.encode(["one two  three\nfour"])
+    left, right = crosstok.anchors(tokens, a, b)
+    assert len(left) == len(right) >= 2
+    for i, j in zip(left, right):
+        assert b"".join(tokens.a_bytes[x] for x in a[:i]) == b"".join(tokens.b_bytes[x] for x in b[:j])
+        assert tokens.a_bytes[a[i]][:1] == tokens.b_bytes[b[j]][:1] == b" "
+    before, = crosstok.align(tokens, windows, [(a, b)])
+    after, = crosstok.align(tokens, windows, [(a, b)])
+    assert len(windows.memory.known) == len(left) + 1 and before[:2] == after[:2] and (before[2] == after[2]).all()
+
+
+def test_ids_are_those_of_the_library(files):
+    """Ids of both sides against the libraries on whole texts, over code points and odd strings."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(files[0])
+    own.encode_special_tokens = True
+    tokens = crosstok.Tokens(*files)
+    rng = random.Random(6)
+    texts = [t for _, t in made(1500, 5)] + ["".join(rng.choices("ab ", k=rng.randint(1, 200))) for _ in range(300)]
+    texts += [f"a{chr(c)}1 {chr(c)}{chr(c)} b" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(texts), 10_000):
+        part = texts[start : start + 10_000]
+        for text, want in zip(part, own.encode_batch(part, add_special_tokens=False)):
+            assert tokens.a.encode_ordinary(text) == want.ids, text
+    plain = [t for t in texts if t and "▁" not in t]
+    for start in range(0, len(plain), 10_000):
+        part = plain[start : start + 10_000]
+        for (a, b), t, want in zip(tokens.encode(part), part, own.encode_batch([" " + t for t in part], add_special_tokens=False)):
+            assert a.tolist() == want.ids and b.tolist() == tokens.b.encode(t), t
