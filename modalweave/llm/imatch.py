@@ -19,8 +19,10 @@ SUBSETS = ((1 / 2, 1), (1 / 4, 2), (1 / 8, 5), (1 / 16, 8), (1 / 32, 8), (1 / 64
 RATES = tuple(rate for rate, count in SUBSETS for _ in range(count))
 #: A term of the lexicon occurs in at least one of RARE documents and at most the share COMMON of all.
 RARE, COMMON = 5_000, 0.2
-#: Documents of a range that one task puts in order, about.
-SHARE = 2_000
+#: Terms of a lexicon that is broadcast at most; two longs each.
+LEXICON = 1 << 21
+#: Documents of a range that one task puts in order, about, and most quantiles that part the ranges.
+SHARE, QUANTILES = 2_000, 1_024
 
 
 def words(text: Column) -> Column:
@@ -41,44 +43,43 @@ def lexicon(texts: DataFrame, column: str = "text", rare: int = RARE, common: fl
     return counted.where((F.col("df") >= n / rare) & (F.col("df") <= max(1.0, common * n)))
 
 
-def subset_of(term: Column) -> Column:
-    """Numbers of the subsets that keep a term; subset i with its rate, by a hash of term and i."""
-    flags = [
-        F.when(F.pmod(F.xxhash64(term, F.lit(101 + i)), F.lit(1 << 20)) < int(RATES[i] * (1 << 20)), F.lit(i))
-        for i in range(len(RATES))
-    ]
-    return F.array_compact(F.array(*flags))
+def subsets_of(term: Column) -> Column:
+    """The subsets that keep a term as bits of a long; subset i with its rate, by a hash of term and i."""
+    bits = F.lit(0).cast("long")
+    for i, rate in enumerate(RATES):
+        kept = F.pmod(F.xxhash64(term, F.lit(101 + i)), F.lit(1 << 20)) < int(rate * (1 << 20))
+        bit = F.lit((1 << i) if i < 63 else -(1 << 63)).cast("long")
+        bits = bits.bitwiseOR(F.when(kept, bit).otherwise(F.lit(0).cast("long")))
+    return bits
 
 
 def in_order(docs: DataFrame) -> DataFrame:
     """(_range, _row, doc_id, text, next_text, _own): every row with the text of the next by doc_id; the last meets the first.
 
-    Ranges of doc_id come from approximate quantiles, so they hold about SHARE
-    rows each whatever the ids are, and each is put in order by one task. The
+    Ranges of doc_id come from approximate quantiles and steps between them, so
+    they hold about SHARE rows each, and each is put in order by one task. The
     first row of a range is also handed to the range before (_own false).
     Rows of one doc_id follow by text; null ids come first.
     """
     held = pick(docs, "doc_id", "text").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("_at")
     )
-    n = held.count()
-    parts = max(1, min(4096, n // SHARE))
+    n, low, high = held.select(F.count("*"), *[f(F.when(F.col("doc_id").isNotNull(), F.col("_at"))) for f in (F.min, F.max)]).first()
+    parts = max(1, min(QUANTILES, n // SHARE))
     cuts = held.where("doc_id IS NOT NULL").approxQuantile("_at", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
     cuts = sorted(set(cuts))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
     place = F.lit(0)
     if cuts:
-        # binary search over the sorted cuts
-        def bisect(low, high):
-            if low == high:
-                return F.lit(low)
-            middle = (low + high) // 2
-            return F.when(F.col("_at") < cuts[middle], bisect(low, middle)).otherwise(bisect(middle + 1, high))
-
-        place = F.size(F.filter(edges, lambda c: c <= F.col("_at"))) if len(cuts) > 64 else bisect(0, len(cuts))
+        # between two quantiles, steps of equal width keep the ranges small in a table of any size
+        steps = -(-(n // SHARE) // (len(cuts) + 1))
+        bounds = F.array(*[F.lit(c) for c in [low, *cuts, max(high, cuts[-1]) + 1]])
+        at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_at")))
+        left, right = F.element_at(bounds, at + 1), F.element_at(bounds, at + 2)
+        step = F.floor((F.col("_at") - left) / F.nullif(right - left, F.lit(0.0)) * steps)
+        place = at * steps + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(steps - 1), step)), F.lit(0))
     ranged = held.withColumn("_range", place.cast("int"))
     firsts = ranged.groupBy("_range").agg(F.min(F.struct(F.col("doc_id"), F.col("text"))).alias("_f"))
-    # at most 4096 first rows; each goes to the nearest range before that holds rows, the very first to the last
+    # one row a range; each goes to the nearest range before that holds rows, the very first to the last
     line = Window.orderBy("_range")
     before = firsts.select("_f", F.lag("_range").over(line).alias("_b"), F.max("_range").over(Window.partitionBy()).alias("_last"))
     guests = before.select(
@@ -93,10 +94,15 @@ def in_order(docs: DataFrame) -> DataFrame:
     )
 
 
-def signature(by_subset: Column) -> Column:
-    """The hashes in order of the subsets; null where the document has no term of a subset."""
+def signature(entries: Column) -> Column:
+    """One hash per subset over its terms in order; null for a subset without terms. entries: sorted (which, term, mask)."""
     every = F.sequence(F.lit(0), F.lit(len(RATES) - 1))
-    return F.transform(every, lambda i: F.try_element_at(by_subset, i))
+
+    def of(i: Column) -> Column:
+        mine = F.filter(entries, lambda e: F.call_function("shiftright", e["mask"], i).bitwiseAND(F.lit(1).cast("long")) == 1)
+        return F.when(F.size(mine) > 0, F.xxhash64(F.transform(mine, lambda e: e["term"])))
+
+    return F.transform(every, of)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,36 +116,33 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(rows: DataFrame, key: list[str], texts: dict[str, Column], carry: Column, terms_in_band: DataFrame) -> DataFrame:
     """key, carried, and for each named text ``<name>``: one hash per subset over the sorted terms inside the band.
 
-    Terms outside the lexicon are dropped in place; the lexicon's size has a
-    bound (see ``lexicon``), so it is broadcast. Where rows are already
-    partitioned by a part of the key nothing is shuffled. ``carry`` travels with
-    one marked entry per row, which also keeps rows without any term.
+    A term brings the bits of its subsets along, so it is one row per text, and
+    all hashes come from one sorted list per row of the key. The lexicon is
+    broadcast while it has at most LEXICON terms; a larger one is joined by a
+    shuffle, in which no term is in more than the band's share of all
+    documents. Where rows are already partitioned by a part of the key nothing
+    else is shuffled. ``carry`` travels in one entry per row, which also keeps
+    rows without any term.
     """
-    listed = terms_in_band.select("term", subset_of(F.col("term")).alias("subsets")).where(F.size("subsets") > 0)
-    mark = rows.sparkSession.range(1).select(F.lit(None).cast("long").alias("term"), F.array(F.lit(-1)).alias("subsets"))
+    listed = terms_in_band.select("term", subsets_of(F.col("term")).alias("mask")).where("mask <> 0")
     nothing = F.lit(None)
 
     def entries(k: int, text: Column) -> Column:
         return F.transform(words(text), lambda w: F.struct(F.lit(k).alias("which"), w.alias("term"), nothing.alias("carry")))
 
     each = [entries(k, t) for k, t in enumerate(texts.values())]
-    held = F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("long").alias("term"), carry.alias("carry")))
-    spread = rows.select(*key, F.explode(F.concat(held, *each)).alias("_t"))
-    lists = F.broadcast(listed.unionByName(mark))
-    kept = spread.join(lists, F.col("_t.term").eqNullSafe(lists["term"])).select(
-        *key, "_t.which", "_t.carry", lists["term"].alias("term"), F.explode("subsets").alias("subset")
-    )
-    hashed = kept.groupBy(*key, "which", "subset").agg(
-        F.xxhash64(F.array_sort(F.collect_list("term"))).alias("h"), F.first("carry", True).alias("carry")
-    )
-    table = hashed.groupBy(*key).agg(
+    # this entry meets no term; its key is a hash of the row's, so that such entries spread
+    held = F.array(F.struct(F.lit(-1).alias("which"), F.xxhash64(*key).alias("term"), carry.alias("carry")))
+    spread = rows.select(*key, F.explode(F.concat(held, *each)).alias("_t")).select(*key, "_t.*")
+    joined = spread.join(F.broadcast(listed) if terms_in_band.count() <= LEXICON else listed, "term", "left")
+    kept = joined.where("mask IS NOT NULL OR which < 0")
+    table = kept.groupBy(*key).agg(
         F.first("carry", True).alias("carried"),
-        *[
-            F.map_from_entries(F.collect_list(F.when(F.col("which") == k, F.struct("subset", "h")))).alias(name)
-            for k, name in enumerate(texts)
-        ],
+        F.array_sort(F.collect_list(F.when(F.col("which") >= 0, F.struct("which", "term", "mask")))).alias("_terms"),
     )
-    return table.select(*key, "carried", *[signature(F.col(n)).alias(n) for n in texts])
+    of = lambda k: F.filter("_terms", lambda e: e["which"] == k)
+    lists = table.select(*key, "carried", *[of(k).alias(n) for k, n in enumerate(texts)])
+    return lists.select(*key, "carried", *[signature(F.col(n)).alias(n) for n in texts])
 
 
 def as_text(hashes: Column) -> Column:

@@ -488,8 +488,10 @@ def test_imatch_neighbours_and_likeness(spark, docs, odd, none):
     assert imatch.match(none).count() == 0
 
 
-def test_imatch_order_over_many_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("quantiles", [1024, 4])
+def test_imatch_order_over_many_ranges(spark, monkeypatch, quantiles):
     monkeypatch.setattr(imatch, "SHARE", 3)
+    monkeypatch.setattr(imatch, "QUANTILES", quantiles)
     ids = random.Random(9).sample(range(-(1 << 60), 1 << 60), 90)
     df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
     rows = imatch.in_order(df).where("_own").collect()
@@ -503,3 +505,64 @@ def test_imatch_hashes_follow_the_band(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     kept = {r["term"]: r["df"] for r in imatch.lexicon(df, rare=10, common=0.2).collect()}
     assert sorted(kept.values()) == [8] * 5
+
+
+def xx(value, seed):
+    """Spark's 64-bit hash of a string, or of a whole number of the given width."""
+    data = value.encode() if isinstance(value, str) else value
+    return xxhash.xxh64(data, seed=seed).intdigest()
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def imatch_brute(rows, rare=5_000, common=0.2):
+    """(doc_id, fingerprint, edited fingerprint, likeness to it, likeness to the next) by plain Python."""
+    import regex
+
+    def words(text):
+        return {signed(xx(w, 42)) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+    df = Counter(w for _, t in rows for w in words(t))
+    n, mask = len(rows), (1 << 64) - 1
+    band = {w for w, k in df.items() if n / rare <= k <= max(1.0, common * n)}
+    pack = lambda x: (x & mask).to_bytes(8, "little")
+    subsets = {
+        w: {i for i, rate in enumerate(imatch.RATES) if signed(xx((101 + i).to_bytes(4, "little"), xx(pack(w), 42))) % (1 << 20) < int(rate * (1 << 20))}
+        for w in band
+    }
+
+    def hashes(text):
+        kept = sorted(words(text) & band)
+        out = []
+        for i in range(len(imatch.RATES)):
+            h, mine = 42, [w for w in kept if i in subsets[w]]
+            for w in mine:
+                h = xx(pack(w), h)
+            out.append(h if mine else None)
+        return out
+
+    def alike(a, b):
+        used = [(x, y) for x, y in zip(a, b) if x is not None or y is not None]
+        return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+    show = lambda hs: ".".join("-" if h is None else f"{h & 0xFFFFFFFF:08x}" for h in hs)
+    prints = [hashes(t) for _, t in rows]
+    for k, (i, t) in enumerate(rows):
+        after, half = rows[(k + 1) % n][1], len(t) // 2
+        edited = hashes(t[: len(t) - half] + after[:half])
+        yield i, show(prints[k]), show(edited), alike(prints[k], edited), alike(prints[k], prints[(k + 1) % n])
+
+
+@pytest.mark.parametrize("lexicon", [1 << 21, 0])
+def test_imatch_equals_brute_force(spark, docs, monkeypatch, lexicon):
+    """Every hash and likeness, with the lexicon broadcast and with it joined by a shuffle."""
+    monkeypatch.setattr(imatch, "LEXICON", lexicon)
+    monkeypatch.setattr(imatch, "SHARE", 30)
+    got = sorted(
+        (r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 12), round(r["near_next"], 12))
+        for r in imatch.match(docs).collect()
+    )
+    want = sorted((*x[:3], round(x[3], 12), round(x[4], 12)) for x in imatch_brute(sorted(texts_of(docs))))
+    assert got == want
