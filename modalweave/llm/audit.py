@@ -30,6 +30,8 @@ LEAST_DOCS = 10
 AT_ONCE, HELD = 1 << 22, 400_000
 #: Merged rows of a shard and sources of a block, about; cells of a table that a shard compares at once.
 SHARD, BLOCK, CELLS = 250_000, 256, 1 << 20
+#: Shares of a language or source in a join of its terms.
+SALTS = 64
 #: Frequencies are in parts of this.
 SCALE = 1_000_000_000
 
@@ -152,9 +154,16 @@ def totals(counts: DataFrame) -> DataFrame:
     )
 
 
+def beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Join term rows with one row per key, with each key in SALTS shares: a key with most rows is as many tasks."""
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("term", F.lit(13)), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 def top_terms(counts: DataFrame, groups: DataFrame, ranks: int = 10) -> DataFrame:
     """The ``ranks`` kept terms of each group that are over the language's share most; ties by term."""
-    given = counts.where("term IS NOT NULL AND count > 0").join(groups, ["lang", "source"])
+    given = beside(counts.where("term IS NOT NULL AND count > 0"), groups, ["lang", "source"])
     p = share(F.col("count"), F.col("total"), F.col("kept"))
     q = share(F.col("lang_count"), F.col("lang_total"), F.col("kept"))
     over = given.select("lang", "source", F.col("term").alias("item"), p.alias("_p"), q.alias("_q")).where("_p > _q")
@@ -246,7 +255,7 @@ def source_pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
         return held.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
 
     shard = F.pmod(F.xxhash64("term", F.lit(9)), F.col("_shards")).cast("int")
-    left = cells(there.join(plan, "lang").withColumn("_shard", shard)).select("lang", "_shard", "_i", "_j", "source", "term", "count")
+    left = cells(beside(there, plan, ["lang"]).withColumn("_shard", shard)).select("lang", "_shard", "_i", "_j", "source", "term", "count")
     every = groups.join(plan, "lang").withColumn("_shard", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)))
     right = cells(every).select("lang", "_shard", "_i", "_j", "_own", "source", "total", "kept")
     keys = ["lang", "_shard", "_i", "_j"]
