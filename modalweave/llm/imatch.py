@@ -7,6 +7,8 @@ alike as the share of subsets on which their hashes agree.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +97,26 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def signature(entries: Column) -> Column:
-    """One hash per subset over its terms in order; null for a subset without terms. entries: sorted (which, term, mask)."""
-    every = F.sequence(F.lit(0), F.lit(len(RATES) - 1))
+    """One hash per subset over its terms in order; null for a subset without terms. entries: sorted (which, term, mask).
+
+    Subsets of one rate first share a list of the terms that any of them keeps:
+    most terms are in no small subset. Lists pass through a lambda variable, so
+    that each is made once and not anew for every subset.
+    """
+
+    def of_rate(bits: list[int]) -> Column:
+        any_of, each = F.lit(sum(bits)).cast("long"), F.array(*[F.lit(x).cast("long") for x in bits])
+        mine = F.filter(entries, lambda e: e["mask"].bitwiseAND(any_of) != 0)
+
+        def hashes(held: Column) -> Column:
+            lists = F.transform(each, lambda x: F.filter(held, lambda e: e["mask"].bitwiseAND(x) != 0))
+            return F.transform(lists, lambda m: F.when(F.size(m) > 0, F.xxhash64(F.transform(m, lambda e: e["term"]))))
 
-    def of(i: Column) -> Column:
-        mine = F.filter(entries, lambda e: F.call_function("shiftright", e["mask"], i).bitwiseAND(F.lit(1).cast("long")) == 1)
-        return F.when(F.size(mine) > 0, F.xxhash64(F.transform(mine, lambda e: e["term"])))
+        return F.transform(F.array(mine), hashes)[0]
 
-    return F.transform(every, of)
+    bits = [1 << i if i < 63 else -(1 << 63) for i in range(len(RATES))]
+    stops = list(accumulate(count for _, count in SUBSETS))
+    return F.concat(*[of_rate(bits[start:stop]) for start, stop in zip([0, *stops], stops)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -138,7 +152,7 @@ def fingerprints(rows: DataFrame, key: list[str], texts: dict[str, Column], carr
     kept = joined.where("mask IS NOT NULL OR which < 0")
     table = kept.groupBy(*key).agg(
         F.first("carry", True).alias("carried"),
-        F.array_sort(F.collect_list(F.when(F.col("which") >= 0, F.struct("which", "term", "mask")))).alias("_terms"),
+        F.sort_array(F.collect_list(F.when(F.col("which") >= 0, F.struct("which", "term", "mask")))).alias("_terms"),
     )
     of = lambda k: F.filter("_terms", lambda e: e["which"] == k)
     lists = table.select(*key, "carried", *[of(k).alias(n) for k, n in enumerate(texts)])
