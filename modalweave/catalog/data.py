@@ -130,15 +130,15 @@ def _(spark, sf):
 
 
 def _frame_paths(spark, sf):
-    """A listing with one frame per 250 characters, at most 16 per document."""
+    """A listing with one frame per 250 characters; long documents have too many frames."""
     docs = X.table(spark, sf, "documents")
-    n = F.least(F.lit(16), F.floor(F.col("n_chars") / 250)).cast("int")
+    n = F.floor(F.col("n_chars") / 250).cast("int")
     return docs.filter(n > 0).select(
         F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "doc_id"
     ).select(F.format_string("/frames/%s/frame_%04d.jpg", F.col("doc_id"), F.col("i")).alias("path"))
 
 
-_FRAMES = """fr AS (SELECT doc_id::VARCHAR AS video_id, least(16, floor(n_chars / 250))::BIGINT AS n
+_FRAMES = """fr AS (SELECT doc_id::VARCHAR AS video_id, floor(n_chars / 250)::BIGINT AS n
   FROM documents WHERE floor(n_chars / 250) > 0)"""
 
 

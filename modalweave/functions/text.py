@@ -59,39 +59,37 @@ def chunk_text(text, budget: int = 72) -> Column:
     """Greedy packing of words into chunks of at most ``budget`` estimated tokens.
 
     A word costs len // 4 + 1 and one more for its separator; the word that
-    opens a later chunk does not pay the separator.
+    opens a later chunk does not pay the separator. One walk over the words
+    notes where chunks begin, then each chunk is cut once, so the time follows
+    the length of the text. Null stays null, a text without words has none.
     """
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.array().cast("array<string>").alias("open"),
-        F.lit(0).alias("cost"),
-    )
 
-    def step(acc, w):
+    def begins(acc, w):
         cost = F.floor(F.length(w) / 4).cast("int") + 1
-        full = (acc["cost"] + cost + 1 > budget) & (F.size(acc["open"]) > 0)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(acc["done"], F.array(F.concat_ws(" ", acc["open"]))).alias("done"),
-                F.array(w).alias("open"),
-                cost.alias("cost"),
-            ),
-        ).otherwise(
-            F.struct(
-                acc["done"].alias("done"),
-                F.concat(acc["open"], F.array(w)).alias("open"),
-                (acc["cost"] + cost + 1).alias("cost"),
-            )
+        at = acc["at"] + 1
+        over = (acc["cost"] + cost + 1 > budget) & (acc["at"] > 0)
+        return F.struct(
+            F.when(over, F.concat(acc["starts"], F.lit(","), at.cast("string"))).otherwise(acc["starts"]).alias("starts"),
+            at.alias("at"),
+            F.when(over, cost).otherwise(acc["cost"] + cost + 1).alias("cost"),
         )
 
-    def finish(acc):
-        return F.when(
-            F.size(acc["open"]) > 0,
-            F.concat(acc["done"], F.array(F.concat_ws(" ", acc["open"]))),
-        ).otherwise(acc["done"])
+    def cut(held):
+        # beginnings are kept as text: an array in the state would be copied at every word
+        none = F.struct(F.lit("1").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("cost"))
+        starts = F.aggregate(held, none, begins, lambda acc: F.split(acc["starts"], ",").cast("array<int>"))
+
+        def chunks(first):
+            # a line break before a word that opens a chunk, a space before the others; words hold neither
+            size = lambda s, i: F.coalesce(F.try_element_at(first, i + 2), F.size(held) + 1) - s
+            line = lambda s, i: F.concat(F.array(F.lit("\n")), F.array_repeat(F.lit(" "), size(s, i) - 1))
+            joined = F.array_join(F.zip_with(F.flatten(F.transform(first, line)), held, lambda x, w: F.concat(x, w)), "")
+            return F.when(F.size(held) > 0, F.split(F.substr(joined, F.lit(2)), "\n")).otherwise(F.array().cast("array<string>"))
+
+        # words and starts pass through a lambda variable, so that each is worked out once
+        return F.transform(F.array(starts), chunks)[0]
 
-    return F.aggregate(words(text), start, step, finish)
+    return F.transform(F.array(words(text)), cut)[0]
 
 
 def prompt_variants(df: DataFrame, text: str, prompts=PROMPTS) -> DataFrame:
