@@ -10,6 +10,12 @@ Three placements, picked by checked size:
 * the gallery fits the bound       -> queries stream past it, no shuffle;
 * neither fits                     -> both sides are hashed into bounded blocks
   and co-grouped on (query block, gallery block).
+
+Reductions are merged in two levels. With broadcast queries a task first folds
+all the gallery splits dealt to it into one state, so that the partial rows
+grow with the tasks of the stage (``Limits.partials``) and not with the splits
+of the gallery; these rows are then merged by one aggregate that knows a query
+by its row number. Columns that are only carried along join its result.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 SCORE_DECIMALS = 12  # scores closer than this are ties, broken by id
 SLACK = 10.0**-SCORE_DECIMALS
@@ -43,6 +49,8 @@ class Limits:
     gallery_tile: int = 8_192
     grid_rows: int = 65_536
     grid_bytes: int = 256 << 20
+    #: tasks of a broadcast-query pass and so partial rows per query; None: four per core or shuffle partition
+    partials: int | None = None
 
 
 DEFAULT_LIMITS = Limits()
@@ -306,6 +314,43 @@ def _grid(queries: DataFrame, gallery: DataFrame, limits: Limits) -> tuple[int,
     return blocks[0], blocks[1]
 
 
+ROW = "_row"  # place of a query in the broadcast table
+
+
+@dataclass(frozen=True)
+class Merge:
+    """How the partial rows of a query become one: an aggregate per value column.
+
+    ``groups`` are columns that the kernel adds (system, space), ``keyed`` are
+    columns of the queries that it hands on (the id first), ``values`` maps
+    every other column to "sum", "min" or "max".
+    """
+
+    groups: tuple
+    keyed: tuple
+    values: dict
+
+    def partial(self, schema: StructType) -> StructType:
+        """What leaves a task if queries are known by their row number."""
+        kept = [f for f in schema if f.name not in self.keyed]
+        return StructType([*kept, StructField(ROW, LongType())])
+
+    def aggregate(self, partial: DataFrame, by) -> DataFrame:
+        return partial.groupBy(*by).agg(*[getattr(F, how)(c).alias(c) for c, how in self.values.items()])
+
+
+def _tasks(sc, queries: DataFrame, limits: Limits) -> int:
+    """Tasks of a broadcast-query pass.
+
+    Shuffle partitions count as well as cores, for a cluster may still be
+    adding executors when the plan is made.
+    """
+    if limits.partials:
+        return limits.partials
+    shuffle = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 4 * max(sc.defaultParallelism, shuffle)
+
+
 def block_join(
     queries: DataFrame,
     gallery: DataFrame,
@@ -315,20 +360,22 @@ def block_join(
     q_key: list[str],
     g_key: list[str],
     truth=(),
+    merge: Merge | None = None,
     limits: Limits | None = None,
 ) -> DataFrame:
-    """Run ``kernel`` over all query/gallery tiles; returns its partial rows.
+    """Run ``kernel`` over all query/gallery tiles; returns its rows.
 
     ``kernel`` offers ``start(q)``, ``update(state, q, g)`` and
-    ``finish(state, q) -> dict``; partial rows of one query may come from
-    several tasks and have to be merged by an aggregate.  ``truth`` names
-    gallery columns the kernel needs of each query's truth, as gt_* columns;
-    queries whose truth is not in the gallery then drop out.
+    ``finish(state, q) -> dict``.  Without ``merge`` partial rows of one query
+    may come from several tasks and the caller has to merge them; with it every
+    query has one row per group, as ``Merge`` says.  ``truth`` names gallery
+    columns the kernel needs of each query's truth, as gt_* columns; queries
+    whose truth is not in the gallery then drop out.
     """
     limits = limits or DEFAULT_LIMITS
     arrow_schema = to_arrow_schema(schema)
 
-    def emit(kernel_out):
+    def emit(kernel_out, arrow_schema=arrow_schema):
         arrays = [
             pa.array(kernel_out[f.name], type=f.type, from_pandas=False)
             for f in arrow_schema
@@ -339,9 +386,13 @@ def block_join(
     small = _collect_bounded(queries, limits)
     if small is not None:
         block = to_block(small)
+        if merge:
+            block[ROW] = np.arange(block["_n"], dtype=np.int64)
         if truth and block["_n"]:
             block = _attach_truth(block, small, gallery, truth)
         q_blocks = sc.broadcast(split_block(block, limits.query_tile))
+        partial_schema = merge.partial(schema) if merge else schema
+        partial_arrow = to_arrow_schema(partial_schema)
 
         def past_gallery(batches):
             blocks = q_blocks.value
@@ -354,9 +405,17 @@ def block_join(
                         states[i] = kernel.update(states[i], q, g)
             if seen:
                 for state, q in zip(states, blocks):
-                    yield emit(kernel.finish(state, q))
-
-        return gallery.mapInArrow(past_gallery, schema)
+                    yield emit(kernel.finish(state, q), partial_arrow)
+
+        partial = gallery.coalesce(_tasks(sc, queries, limits)).mapInArrow(past_gallery, partial_schema)
+        if merge is None:
+            return partial
+        merged = merge.aggregate(partial, [*merge.groups, ROW])
+        columns = pa.table({ROW: np.arange(small.num_rows, dtype=np.int64)} | {c: small.column(c) for c in merge.keyed})
+        typed = StructType([StructField(ROW, LongType()), *[queries.schema[c] for c in merge.keyed]])
+        # a selection of the columns that were just proven to fit the bound
+        columns = F.broadcast(queries.sparkSession.createDataFrame(columns, typed))
+        return merged.join(columns, ROW).select(*schema.names)
 
     if truth:
         queries = with_truth(queries, gallery, truth)
@@ -372,6 +431,7 @@ def block_join(
                         state = kernel.update(state, q, g)
                     yield emit(kernel.finish(state, q))
 
+        # a query meets the whole gallery in one task, its rows need no merge
         return queries.mapInArrow(past_queries, schema)
 
     n_q, n_g = _grid(queries, gallery, limits)
@@ -398,8 +458,11 @@ def block_join(
 
     # fresh column identities: both sides may stem from the same table
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    return (
+    partial = (
         left.groupBy("_bq", "_bg")
         .cogroup(right.groupBy("_bq", "_bg"))
         .applyInArrow(one_cell, schema)
     )
+    if merge is None:
+        return partial
+    return merge.aggregate(partial, [*merge.groups, *merge.keyed]).select(*schema.names)

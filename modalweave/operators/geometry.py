@@ -64,7 +64,7 @@ class ExpPotential:
         return state
 
     def finish(self, state, q):
-        return {"qid": q["qid"], "potential": state}
+        return {"potential": state.sum(keepdims=True)}
 
 
 def uniformity(store: DataFrame, t: float = 2.0, include_self: bool = True, limits=None) -> DataFrame:
@@ -73,12 +73,12 @@ def uniformity(store: DataFrame, t: float = 2.0, include_self: bool = True, limi
     Self pairs (potential 1 each) count unless ``include_self`` is off.
     """
     q = as_queries(store).select("qid", "q")
-    schema = StructType(_fields(q, ["qid"]) + [StructField("potential", DoubleType())])
+    schema = StructType([StructField("potential", DoubleType())])
     partial = block_join(
         q, as_gallery(store), ExpPotential(t), schema, q_key=["qid"], g_key=["id"], limits=limits
     )
-    n = F.countDistinct("qid")
-    total = F.sum("potential")
+    rows = store.count()
+    n, total = F.lit(rows), F.sum("potential")
     mean = total / (n * n) if include_self else (total - n) / (n * (n - 1))
     return partial.agg(n.alias("n"), F.ln(mean).alias("uniformity"))
 

@@ -13,7 +13,9 @@ from .blocks import (
     CLIP_CLAP,
     SCORE_DECIMALS,
     SLACK,
+    ROW,
     Limits,
+    Merge,
     Space,
     System,
     block_join,
@@ -51,6 +53,11 @@ def _places_of(wanted, ids):
     return rows, order[place[rows]]
 
 
+def _tiled(q, names, m) -> dict:
+    """Query columns, and their row numbers where there are any, once per system or space."""
+    return {name: np.tile(q[name], m) for name in [*names, ROW] if name in q}
+
+
 def _tile(spaces, q, g):
     """Scores of a tile per space, and the pairs that do not compete in it."""
     return [s.scores(q, g) for s in spaces], [s.gap(q, g) for s in spaces]
@@ -211,8 +218,7 @@ class TruthRank:
     def finish(self, state, q):
         m, n = len(self.systems), q["_n"]
         out = {"system": np.repeat([s.name for s in self.systems], n).astype(object)}
-        for name in ["qid", "truth", *self.carry]:
-            out[name] = np.tile(q[name], m)
+        out |= _tiled(q, ["qid", "truth", *self.carry], m)
         out["s_truth"] = np.concatenate(state["truth"])
         for space, s in zip(self.spaces, state["sims"]):
             out[f"gt_sim_{space.name}"] = np.tile(s, m)
@@ -246,18 +252,15 @@ def truth_ranks(
         + _double("s_truth", *gt_sims)
         + _long("better", "seen")
     )
-    partial = block_join(
+    values = {"s_truth": "max", **{c: "max" for c in gt_sims}, "better": "sum", "seen": "sum"}
+    merged = block_join(
         q, g, TruthRank(spaces, systems, carry), schema,
-        q_key=["qid"], g_key=["id"], truth=unique([s.g for s in spaces]), limits=limits,
+        q_key=["qid"], g_key=["id"], truth=unique([s.g for s in spaces]),
+        merge=Merge(("system",), ("qid", "truth", *carry), values), limits=limits,
     )
-    return (
-        partial.groupBy("system", "qid", "truth", *carry)
-        .agg(
-            F.max("s_truth").alias("s_truth"),
-            *[F.max(c).alias(c) for c in gt_sims],
-            (F.sum("better") + 1).alias("rk"),
-            F.sum("seen").alias("n"),
-        )
+    return merged.select(
+        "system", "qid", "truth", *carry, "s_truth", *gt_sims,
+        (F.col("better") + 1).alias("rk"), F.col("seen").alias("n"),
     )
 
 
@@ -332,10 +335,8 @@ class ScoreStats:
 
     def finish(self, state, q):
         m, n = len(self.spaces), q["_n"]
-        out = {
-            "space": np.repeat([s.name for s in self.spaces], n).astype(object),
-            "qid": np.tile(q["qid"], m),
-        }
+        out = {"space": np.repeat([s.name for s in self.spaces], n).astype(object)}
+        out |= _tiled(q, ["qid"], m)
         for name in ("n", "s1", "s2", "lo", "hi"):
             out[name] = state[name].reshape(-1)
         for j in range(len(self.thresholds)):
@@ -366,17 +367,14 @@ def score_stats(
         + _double("s1", "s2", "lo", "hi")
         + _long(*above)
     )
-    partial = block_join(
+    values = {"n": "sum", "s1": "sum", "s2": "sum", "lo": "min", "hi": "max", **{c: "sum" for c in above}}
+    merged = block_join(
         q, g, ScoreStats(spaces, exclude, tuple(thresholds)), schema,
-        q_key=["qid"], g_key=["id"], limits=limits,
+        q_key=["qid"], g_key=["id"], merge=Merge(("space",), ("qid",), values), limits=limits,
     )
-    return partial.groupBy("space", "qid").agg(
-        F.sum("n").alias("n"),
-        F.sum("s1").alias("s1"),
-        F.sum("s2").alias("s2"),
-        F.when(F.sum("n") > 0, F.min("lo")).alias("lo"),
-        F.when(F.sum("n") > 0, F.max("hi")).alias("hi"),
-        *[F.sum(c).alias(c) for c in above],
+    return merged.select(
+        "space", "qid", "n", "s1", "s2",
+        *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("lo", "hi")], *above,
     )
 
 
@@ -414,10 +412,9 @@ class ExpSum:
         m, n = len(self.systems), q["_n"]
         return {
             "system": np.repeat([s.name for s in self.systems], n).astype(object),
-            "qid": np.tile(q["qid"], m),
             "e_all": state["all"].reshape(-1),
             "e_pos": state["pos"].reshape(-1),
-        }
+        } | _tiled(q, ["qid"], m)
 
 
 def exp_sums(
@@ -436,12 +433,10 @@ def exp_sums(
         + _fields(q, ["qid"])
         + _double("e_all", "e_pos")
     )
-    partial = block_join(
+    return block_join(
         q, g, ExpSum(spaces, systems, tau, same), schema,
-        q_key=["qid"], g_key=["id"], truth=unique([s.g for s in spaces]), limits=limits,
-    )
-    return partial.groupBy("system", "qid").agg(
-        F.sum("e_all").alias("e_all"), F.sum("e_pos").alias("e_pos")
+        q_key=["qid"], g_key=["id"], truth=unique([s.g for s in spaces]),
+        merge=Merge(("system",), ("qid",), {"e_all": "sum", "e_pos": "sum"}), limits=limits,
     )
 
 

@@ -11,6 +11,7 @@ from ..operators.curate import complete_ids
 from ..operators.fusion import GATED, constant_gate, mask_and_renormalize
 from ..operators.gates import gate_mlp
 from ..operators.scoring import score_top_k
+from ..session import materialize
 
 # Logits of the constant gate used when none is given.
 EQUAL_LOGITS = (0.0, 0.0, 0.0)
@@ -44,11 +45,13 @@ def search(
 ) -> dict[str, DataFrame]:
     """Results, contributions, gate decisions and rank differences of every query.
 
+    The index is scored once: the k hits of every query are written, and all
+    results but the weights and decisions start from that table.
     The kind of a query only decides which of its vectors are NULL; the metric
     is that of ``spaces``, the same in tuning and in serving.
     """
     weighted = weigh(queries, gate, on_empty)
-    top = score_top_k(weighted, index, k, spaces, (GATED,), limits=limits)
+    top = materialize(score_top_k(weighted, index, k, spaces, (GATED,), limits=limits), "hits")
     contrib = explain.contributions(top, weighted)
     return {
         "weights": weighted,

@@ -198,3 +198,65 @@ def test_pair_scores_match_tiles(world, spark):
     pairs = S.score_pairs(top.select("qid", "id"), world["queries"], world["gallery"])
     j = pairs.join(top.select("qid", "id", top["sim_v"].alias("w")), ["qid", "id"]).collect()
     assert len(j) == 240 and all(abs(r["sim_v"] - r["w"]) < 1e-9 for r in j)
+
+
+def test_partial_rows_grow_with_tasks_not_with_splits(world):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from modalweave.operators.blocks import block_join
+
+    class CountRows:
+        """One row per query and task."""
+
+        def start(self, q):
+            return 0
+
+        def update(self, state, q, g):
+            return state + g["_n"]
+
+        def finish(self, state, q):
+            return {"qid": q["qid"], "n": np.full(q["_n"], state)}
+
+    gallery = world["gallery"].repartition(30, "id").select("id", "visual")
+    schema = StructType([StructField("qid", LongType()), StructField("n", LongType())])
+    run = lambda tasks: block_join(
+        world["queries"].select("qid", "q_clip"), gallery, CountRows(), schema,
+        q_key=["qid"], g_key=["id"], limits=Limits(partials=tasks),
+    ).collect()
+    for tasks in (1, 3):
+        rows = run(tasks)
+        assert len(rows) == tasks * world["n"]
+        seen = {}
+        for r in rows:
+            seen[r["qid"]] = seen.get(r["qid"], 0) + r["n"]
+        assert set(seen.values()) == {world["n"]} and len(seen) == world["n"]
+
+
+def test_carried_columns_join_the_merged_rows(spark, world):
+    """Nulls in them and repeated (qid, truth) rows with other carried values included."""
+    from pyspark.sql import functions as F
+
+    queries = world["queries"].withColumn("tags", F.when(F.col("truth") % 2 == 0, F.concat(F.lit("t"), "truth")))
+    other = queries.filter("truth < 3").withColumn("tags", F.lit("other"))
+    both = queries.unionByName(other)
+    gallery = world["gallery"].repartition(12, "id")
+    want = {r["qid"]: (r["rk"], r["n"]) for r in S.truth_ranks(world["queries"], world["gallery"]).collect()}
+    got = S.truth_ranks(both, gallery, carry=["tags"], limits=Limits(partials=5, query_tile=7))
+    assert got.columns[:4] == ["system", "qid", "truth", "tags"]
+    rows = got.collect()
+    assert len(rows) == world["n"] + 3
+    for r in rows:
+        assert (r["rk"], r["n"]) == want[r["qid"]]
+        t = r["truth"]
+        assert r["tags"] in [f"t{t}" if t % 2 == 0 else None] + (["other"] if t < 3 else [])
+
+
+def test_partial_rows_hold_no_carried_column():
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from modalweave.operators.blocks import Merge
+
+    names = ["system", "qid", "truth", "category", "better"]
+    schema = StructType([StructField(n, StringType()) for n in names])
+    partial = Merge(("system",), ("qid", "truth", "category"), {"better": "sum"}).partial(schema)
+    assert partial.names == ["system", "better", "_row"]
