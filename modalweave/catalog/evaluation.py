@@ -258,9 +258,27 @@ def _(spark, sf):
     return M.bootstrap_ci(S.truth_ranks(X.queries(spark, sf), X.gallery(spark, sf)))
 
 
-@query("w12_bootstrap_ci_large")
+_BINOMIAL_SQL = (
+    """pt AS (SELECT k, n, hits, hits / n AS p, CASE WHEN hits > 0 AND hits < n THEN ceil(12 * sqrt(hits * (1 - hits / n))) + 24 ELSE 0 END::BIGINT AS w
+      FROM (SELECT k, count(*) AS n, count(*) FILTER (rk <= k) AS hits FROM ranks, (SELECT unnest([1, 5, 10]) AS k) GROUP BY k))""",
+    "js AS (SELECT k, n, hits, unnest(range(greatest(0, hits - w), least(n, hits + w) + 1)) AS j FROM pt)",
+    """lg AS (SELECT k, n, j, sum(step) OVER (PARTITION BY k ORDER BY j) AS l FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY j) = 1
+      THEN 0.0::DOUBLE ELSE ln((n - j + 1) / j * (hits / (n - hits))) END AS step FROM js))""",
+    "ma AS (SELECT k, n, j, exp(l - max(l) OVER (PARTITION BY k)) AS m FROM lg)",
+    "cd AS (SELECT k, n, j, sum(m) OVER (PARTITION BY k ORDER BY j) / sum(m) OVER (PARTITION BY k) AS c FROM ma)",
+    """un AS (SELECT k, b, (('0x' || substr(md5('42:' || k || ':' || b), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u
+      FROM range(1, 1001) r(b), (SELECT unnest([1, 5, 10]) AS k))""",
+    "dw AS (SELECT un.k, b, min(j) / any_value(n) AS recall FROM un JOIN cd ON cd.k = un.k AND c >= u GROUP BY un.k, b)",
+)
+
+
+@query(
+    "w12_bootstrap_ci_large",
+    with_(*BASE, fused({"equal": EQUAL_SQL}), ranks(), *_BINOMIAL_SQL)
+    + f"""SELECT 'equal' AS system, k, {r6('quantile_cont(recall, 0.025)', 'lo')}, {r6('quantile_cont(recall, 0.975)', 'hi')}
+      FROM dw GROUP BY k""",
+)
 def _(spark, sf):
-    """The same interval from binomial draws; the draws have no SQL form."""
     return M.bootstrap_ci_large(S.truth_ranks(X.queries(spark, sf), X.gallery(spark, sf)))
 
 

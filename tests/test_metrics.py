@@ -76,6 +76,39 @@ def test_bootstrap_interval(ranks):
         assert a[(s, 1)]["hi"] == pytest.approx(b[(s, 1)]["hi"], abs=0.03)
 
 
+def test_binomial_draws_against_the_exact_distribution(spark):
+    import hashlib
+    import math
+
+    cases = {"some": (150, 31), "few": (150, 1), "none": (150, 0), "all": (7, 7), "one": (1, 1), "many": (400_000, 123_456)}
+    counts = spark.createDataFrame([(s, 5, n, h) for s, (n, h) in cases.items()], "system string, k int, n long, hits long")
+    got = {(r["system"], r["b"]): r["hits"] for r in M.binomial_draws(counts, ["system", "k"], 200).collect()}
+    assert len(got) == 200 * len(cases)
+    for s, (n, h) in cases.items():
+        total, j, cdf = 0.0, -1, []
+        for j in range(n + 1):
+            if 0 < h < n:
+                p = h / n
+                lp = math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
+                total += math.exp(lp)
+            else:
+                total = float(j >= h)
+            cdf.append(total)
+        cdf = np.array(cdf)
+        for b in range(1, 201):
+            u = (int(hashlib.md5(f"42:5:{b}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+            assert got[(s, b)] == int(np.searchsorted(cdf, u)), (s, b)
+
+
+def test_large_bootstrap_does_not_grow_with_the_queries(spark):
+    """A hundred million queries, known by their counts only."""
+    counts = spark.createDataFrame([("a", 1, 100_000_000, 50_000_000)], "system string, k int, n long, hits long")
+    rows = M.binomial_draws(counts, ["system", "k"], 500).collect()
+    mean = np.mean([r["hits"] for r in rows])
+    assert len(rows) == 500 and abs(mean - 5e7) < 5 * 5000 / np.sqrt(500)
+    assert np.std([r["hits"] for r in rows]) == pytest.approx(5000, rel=0.15)
+
+
 def test_agreement_and_change(ranks):
     v, t = of(ranks, "visual"), of(ranks, "text")
     got = {r["outcome"]: r["n"] for r in E.agreement(ranks, "visual", "text").collect()}
