@@ -66,17 +66,34 @@ class Space:
     metric: str = "cosine"
     tau: float = 1.0
     scale: float = 1.0
+    factor: str | None = None  # gallery column whose value multiplies the scores of its row
 
-    def scores(self, q, g) -> np.ndarray:
-        """Scores of a tile; zero where a vector is missing (``gaps`` names the rows that then do not compete)."""
+    @property
+    def gallery_columns(self) -> list[str]:
+        return [self.g, self.factor] if self.factor else [self.g]
+
+    def scores(self, q, g, known: dict | None = None) -> np.ndarray:
+        """Scores of a tile; zero where a vector is missing (``gaps`` names the rows that then do not compete).
+
+        ``known`` keeps the plain scores of the tile for spaces that differ in scaling only.
+        """
         a, b = q[self.q], g[self.g]
         if a.shape[1] == 0 or b.shape[1] == 0:
             return np.zeros((len(a), len(b)))
-        s = self._scaled(_metric(self.metric, a, b))
-        if f"_null_{self.q}" in q:
-            s[q[f"_null_{self.q}"]] = 0.0
-        if f"_null_{self.g}" in g:
-            s[:, g[f"_null_{self.g}"]] = 0.0
+        known = {} if known is None else known
+        pair = (self.metric, self.q, self.g)
+        if pair not in known:
+            known[pair] = _metric(self.metric, a, b)
+        s = self._scaled(known[pair])
+        if self.factor:
+            s = s * g[self.factor][None, :]
+        empty_q, empty_g = q.get(f"_null_{self.q}"), g.get(f"_null_{self.g}")
+        if s is known[pair] and not (empty_q is None and empty_g is None):
+            s = s.copy()
+        if empty_q is not None:
+            s[empty_q] = 0.0
+        if empty_g is not None:
+            s[:, empty_g] = 0.0
         return s
 
     def truth(self, q) -> np.ndarray:
@@ -85,6 +102,8 @@ class Space:
         if a.shape[1] == 0 or b.shape[1] == 0:
             return np.zeros(len(a))
         s = self.paired(a, b)
+        if self.factor:
+            s = s * q[f"gt_{self.factor}"]
         for name in (self.q, f"gt_{self.g}"):
             if f"_null_{name}" in q:
                 s[q[f"_null_{name}"]] = 0.0

@@ -414,6 +414,11 @@ def mutual_knn(a: DataFrame, b: DataFrame, k: int = 5, limits=None) -> DataFrame
     """
     forward = score_top_k(as_queries(a), as_gallery(b), k, PAIR, (ONE,), limits=limits)
     back = score_top_k(as_queries(b), as_gallery(a), k, PAIR, (ONE,), limits=limits)
+    return mutual_edges(forward, back)
+
+
+def mutual_edges(forward: DataFrame, back: DataFrame) -> DataFrame:
+    """The edges of ``mutual_knn`` from the top lists of both directions."""
     edges = back.select(F.col("id").alias("qid"), F.col("qid").alias("id"), F.lit(True).alias("_m"))
     joined = forward.select("qid", "id", "score", "rk").join(edges, ["qid", "id"], "left")
     mutual = F.coalesce("_m", F.lit(False))

@@ -20,7 +20,7 @@ from .scoring import (
     score_pairs,
     score_top_k,
     truth_scores,
-    unique,
+    vectors_of,
 )
 from .sampling import id_position, random_negatives
 
@@ -103,7 +103,7 @@ def approx_ndcg(queries, gallery, tau=0.1, spaces=CLIP_CLAP, system=EQUAL, limit
     )
     partial = block_join(
         q, g, ApproxNdcg(spaces, system, tau), schema, q_key=["qid"], g_key=["id"],
-        truth=unique([s.g for s in spaces]), limits=limits,
+        truth=vectors_of(spaces), limits=limits,
     )
     per_q = partial.groupBy("qid").agg((F.sum("num") / F.sum("den")).alias("l"))
     return per_q.agg(F.avg("l").alias("loss"))

@@ -60,7 +60,8 @@ def _tiled(q, names, m) -> dict:
 
 def _tile(spaces, q, g):
     """Scores of a tile per space, and the pairs that do not compete in it."""
-    return [s.scores(q, g) for s in spaces], [s.gap(q, g) for s in spaces]
+    known = {}
+    return [s.scores(q, g, known) for s in spaces], [s.gap(q, g) for s in spaces]
 
 
 def _truth(spaces, q):
@@ -138,8 +139,13 @@ def _query_columns(queries, spaces, systems, extra=()):
     return queries.select(*names)
 
 
+def vectors_of(spaces) -> list[str]:
+    """What the spaces read of a gallery row."""
+    return unique([c for s in spaces for c in s.gallery_columns])
+
+
 def _gallery_columns(gallery, spaces, extra=()):
-    return gallery.select(*unique(["id", *extra, *[s.g for s in spaces]]))
+    return gallery.select(*unique(["id", *extra, *vectors_of(spaces)]))
 
 
 def score_top_k(
@@ -255,7 +261,7 @@ def truth_ranks(
     values = {"s_truth": "max", **{c: "max" for c in gt_sims}, "better": "sum", "seen": "sum"}
     merged = block_join(
         q, g, TruthRank(spaces, systems, carry), schema,
-        q_key=["qid"], g_key=["id"], truth=unique([s.g for s in spaces]),
+        q_key=["qid"], g_key=["id"], truth=vectors_of(spaces),
         merge=Merge(("system",), ("qid", "truth", *carry), values), limits=limits,
     )
     return merged.select(
@@ -269,7 +275,7 @@ def truth_scores(
 ) -> DataFrame:
     """(system, qid, s_truth) as in ``truth_ranks``, by an equi-join without scoring the gallery."""
     q = _query_columns(queries, spaces, systems, ["truth"])
-    names = unique([s.g for s in spaces])
+    names = vectors_of(spaces)
     schema = StructType([StructField("system", StringType())] + _fields(q, ["qid"]) + _double("s_truth"))
     arrow_schema = to_arrow_schema(schema)
 
@@ -435,7 +441,7 @@ def exp_sums(
     )
     return block_join(
         q, g, ExpSum(spaces, systems, tau, same), schema,
-        q_key=["qid"], g_key=["id"], truth=unique([s.g for s in spaces]),
+        q_key=["qid"], g_key=["id"], truth=vectors_of(spaces),
         merge=Merge(("system",), ("qid",), {"e_all": "sum", "e_pos": "sum"}), limits=limits,
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .blocks import SLACK, angular_spaces, block_join, settle
-from .scoring import _fields, _gallery_columns, _places_of, _query_columns, unique
+from .scoring import _fields, _gallery_columns, _places_of, _query_columns, vectors_of
 
 
 class SweepRank:
@@ -78,7 +78,7 @@ def sweep_recall(
     )
     partial = block_join(
         q, g, SweepRank(spaces, scaled), schema, q_key=["qid"], g_key=["id"],
-        truth=unique([s.g for s in spaces]), limits=limits,
+        truth=vectors_of(spaces), limits=limits,
     )
     ranks = partial.groupBy("combo", "qid").agg((F.sum("ahead") + 1).alias("rk"))
     by_combo = ranks.groupBy("combo").agg(
