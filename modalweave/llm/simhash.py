@@ -12,7 +12,7 @@ their word shingles from a threshold on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
@@ -200,13 +200,15 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents linked by fingerprints within ``radius`` bits.
+    """(doc_id, fingerprint, component_id, node, component): documents linked by fingerprints within ``radius`` bits.
 
     component_id is the least doc_id reachable, the document itself included.
     Equal fingerprints (exact copies, empty texts) are one node, so copies cost
     nothing beyond one row. A repeated doc_id joins the components of its rows
     only through their fingerprints; a document with a null doc_id takes part,
     and its class bears the least id that is not null (null if there is none).
+    node is the fingerprint again and component the least node of the class, a
+    name that classes without an id have as well.
     """
     marked = materialize(fingerprints(docs, words), "simhash")
     nodes = materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "simhash-nodes")
@@ -215,19 +217,53 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     found = connected(links(numbered.select("node", "fingerprint")), "simhash-links")
     classes = numbered.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "component").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = classes.join(least, "component").select("fingerprint", "component_id", "component")
+    return marked.join(named, "fingerprint").select(
+        "doc_id", "fingerprint", "component_id", F.col("fingerprint").alias("node"), "component"
+    )
 
 
-def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns as they are: of each class those with the least doc_id.
+def words_digest(df: DataFrame) -> DataFrame:
+    """(doc_id, node) of (doc_id, text): the node of ``sketches`` alone."""
 
-    found: the result of near_duplicates. Rows with a null doc_id stay where
-    their class has no other id.
+    def row():
+        import xxhash
+
+        return lambda text: (xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split())),)
+
+    return per_document(df, "node string", row)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, marks: Callable[[DataFrame], DataFrame] = words_digest) -> DataFrame:
+    """The rows of docs that stay, all columns as they are: one row of each class, one with its least doc_id.
+
+    found (doc_id, component_id, node, component): the classes of docs, from
+    ``near_duplicates`` or ``similar_documents``; marks: the function that gave
+    each (doc_id, text) its node (``fingerprints``, or ``words_digest`` for ``similar_documents``). Of a class
+    without any id one row stays. Rows that share their doc_id (or have none) are
+    told apart by the node of their text; of equal ones an arbitrary row stays.
     """
-    held, back = aside(docs, "doc_id")
-    stay = found.where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_stay")).distinct()
-    return back(held.join(stay, held["doc_id"].eqNullSafe(stay["_stay"]), "left_semi"))
+    held, back = aside(docs, "doc_id", "text")
+    first = materialize(found.where("doc_id <=> component_id").groupBy("doc_id", "node", "component").count(), "first")
+    several = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_again"))
+    several = materialize(several, "repeated-ids")
+    if several.isEmpty():
+        stay = first.select(F.col("doc_id").alias("_stay"))
+        return back(held.join(stay, held["doc_id"] == stay["_stay"], "left_semi"))
+    again = held["doc_id"].eqNullSafe(several["_again"])
+    stay = first.select(F.col("doc_id").alias("_stay"))
+    stay = stay.join(several, stay["_stay"].eqNullSafe(several["_again"]), "left_anti")
+    alone = held.join(stay, held["doc_id"] == stay["_stay"], "left_semi")
+    # few rows as a rule: each gets the node of its text anew and is looked up by it
+    shared = held.join(several, again, "left_semi")
+    whole = F.struct(*[F.col(c) for c in held.columns]).alias("doc_id")
+    noted = marks(shared.select(whole, F.coalesce("text", F.lit("")).alias("text")))
+    noted = noted.select(F.col("doc_id").alias("_row"), F.col(noted.columns[1]).alias("_node"))
+    led = first.select(F.col("doc_id").alias("_stay"), F.col("node").alias("_lead"), F.col("component").alias("_class"))
+    met = noted["_row"]["doc_id"].eqNullSafe(led["_stay"]) & (noted["_node"] == led["_lead"])
+    # one row of each class: the partial results of a task hold one row per class
+    one = noted.join(led, met).groupBy("_class").agg(F.first("_row").alias("_row")).select("_row.*")
+    return back(alone.unionByName(one))
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -333,12 +369,12 @@ def similar_links(texts: DataFrame, sets: DataFrame, similarity: float, chunk: i
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents linked by a Jaccard similarity of their distinct word shingles.
+    """(doc_id, component_id, node, component): documents linked by a Jaccard similarity of their distinct word shingles.
 
     Texts of equal words are one node, whatever their spacing or the case of A-Z;
     null and empty texts are equal too. A text of fewer words than a shingle is
-    one shingle. component_id as in ``near_duplicates``: the least doc_id
-    reachable, null where a class has no id. A pair is missed only if it shares no
+    one shingle. component_id and component as in ``near_duplicates``: the least doc_id
+    reachable, null where a class has no id, and the class itself. A pair is missed only if it shares no
     band (see there); no pair below the similarity is linked. similarity 0.8 or
     more suits the bands.
     """
@@ -350,5 +386,5 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     edges = similar_links(nodes.select("node", "bands"), marked.select("node", "shingles"), similarity)
     classes = nodes.join(connected(edges, "similar-links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "component").select("node", "component_id")
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    named = classes.join(least, "component").select("node", "component_id", "component")
+    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id", "node", "component")

@@ -117,10 +117,26 @@ def test_links_in_hot_keys_and_chunks(spark):
 def test_one_of_each_class_stays(spark):
     rows = [(3, "same words in here", "a"), (1, "same words in here", "b"), (2, "something else entirely now", "c"), (9, None, "d"), (8, "", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    kept = simhash.keep_first(df, simhash.near_duplicates(df))
+    kept = simhash.keep_first(df, simhash.near_duplicates(df), simhash.fingerprints)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 8]
 
 
+@pytest.mark.parametrize("classes, marks", [(simhash.near_duplicates, simhash.fingerprints), (simhash.similar_documents, simhash.words_digest)])
+def test_rows_of_one_id_are_told_apart(spark, odd, none, classes, marks):
+    """Of each class one row stays; a repeated id neither saves nor takes along its other rows."""
+    a, b, c = ("%s one two three four five six seven" % w for w in ("alpha", "beta beta beta", "gamma delta"))
+    rows = [(3, a), (14, a), (14, b), (30, c), (30, c), (None, "no id at all here"), (None, "no id at all here"), (None, "another lone one of its own"), (None, a)]
+    df = spark.createDataFrame([(i, t, [1], {"k": 2}) for i, t in rows], "doc_id long, text string, Text array<int>, _row map<string,int>")
+    kept = simhash.keep_first(df, classes(df), marks)
+    wanted = [(3, a), (14, b), (30, c), (None, "no id at all here"), (None, "another lone one of its own")]
+    assert kept.columns == df.columns and kept.schema == df.schema
+    assert Counter((r[0], r[1]) for r in kept.collect()) == Counter(wanted)
+    assert all(r[2] == [1] and r[3] == {"k": 2} for r in kept.collect())
+    assert simhash.keep_first(none, classes(none), marks).count() == 0
+    found = classes(odd)
+    assert simhash.keep_first(odd, found, marks).count() == found.select("component").distinct().count()
+
+
 def similar_brute(rows, words=5, similarity=0.8):
     """(doc_id, component) by all pairs of distinct word sequences; spacing and the case of A-Z do not matter."""
     nodes = {}
@@ -377,6 +393,33 @@ def test_borders_are_optimal():
     assert packing.borders([], 4) == []
 
 
+def test_borders_of_many_lengths_equal_the_plain_recurrence():
+    """Lengths far apart and in the thousands, against the quadratic recurrence."""
+    rng = np.random.default_rng(9)
+    for m, k in ((700, 12), (300, 2), (5, 9)):
+        top = np.sort(rng.choice(np.unique((rng.lognormal(6, 2, 5000)).astype(np.int64)), m, replace=False))
+        n = rng.integers(1, 10**6, m)
+        rows = np.stack([top, n, n * top], axis=1)
+        cost = [0] + [None] * m
+        for _ in range(min(k, m)):
+            new = [None] * (m + 1)
+            for j in range(1, m + 1):
+                took = [cost[i] + int((n[i:j] * (top[j - 1] - top[i:j])).sum()) for i in range(j) if cost[i] is not None]
+                new[j] = min(took, default=None)
+            cost = new
+        got = np.array(packing.borders(rng.permutation(rows), k))
+        assert int((n * (got[np.searchsorted(got, top)] - top)).sum()) == cost[m]
+
+
+def test_long_lengths_are_packed_exactly(spark):
+    """Lengths beyond the grid's exact part: no padding where there are as many buckets as lengths."""
+    rows = [(i, n) for i, n in enumerate([70_001, 70_003, 9_999, 5_000_001, None, 0, 4_097])]
+    sized = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    exact = packing.pack(sized, buckets=7).collect()
+    assert len(exact) == 7 and all(r["padded_length"] == (r["n_tokens"] or 0) for r in exact)
+    assert all(r["padded_length"] >= (r["n_tokens"] or 0) for r in packing.pack(sized, buckets=7, grid=True).collect())
+
+
 def test_batches_hold_every_row_within_budget(spark, odd, docs, none, tokens, monkeypatch):
     monkeypatch.setattr(packing, "SHARE", 5)
     for df in (odd, docs):
