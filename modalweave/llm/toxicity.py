@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
 Voters are words and word beginnings that occur significantly more often in
-toxic training documents, and a few written patterns. A generative model of
-their votes (a latent class, one rate per voter and class, fitted by EM) gives
-every training document a posterior label; voters that agree too often to be
-independent are joined first. A linear classifier trained on the posteriors
-scores all documents.
+toxic training documents, and a few written patterns. Voters that nearly always
+agree are joined. A generative model of the votes, fitted by EM, has a latent
+class, a rate per voter and class, and correlations: given the class a voter
+depends on at most one other, along the tree of the strongest significant
+dependences. Its posterior labels train a linear classifier that scores all
+documents.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     voters: list[list[str]] = field(default_factory=list)
     rates: list[tuple[float, float]] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
 
     def scorer(self):
         from math import exp
@@ -117,7 +119,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 counts[1 if toxic else 0].update(features(text))
-                if len(counts[0]) > 200_000:
+                if len(counts[0]) + len(counts[1]) > 200_000:
                     yield flush()
         yield flush()
 
@@ -145,11 +147,15 @@ def independent(votes, limit: float = 0.5) -> list[list[int]]:
     return groups
 
 
-def label_model(votes, start, prior: float, rounds: int = 50):
-    """EM over a latent class: (posterior of each row, rates per voter given toxic and clean)."""
+def label_model(votes, start, prior: float, rounds: int = 50, weight=None):
+    """EM over a latent class with independent voters: (posterior of each row, rates per voter given toxic and clean).
+
+    weight: how many training rows each row of votes stands for (one by default).
+    """
     import numpy as np
 
-    n = len(votes)
+    weight = np.ones(len(votes)) if weight is None else weight
+    n = weight.sum()
     rates, posterior = np.clip(start, 1e-4, 1 - 1e-4), None
     for _ in range(rounds):
         on = np.log(rates[:, 0] / rates[:, 1])
@@ -159,22 +165,111 @@ def label_model(votes, start, prior: float, rounds: int = 50):
         if posterior is not None and np.abs(new - posterior).max() < 1e-6:
             break
         posterior = new
-        prior = float(np.clip(new.mean(), 1 / (n + 2), 1 - 1 / (n + 2)))
-        rates = np.stack(
-            [(votes.T @ new + 0.1) / (new.sum() + 1), (votes.T @ (1 - new) + 0.1) / ((1 - new).sum() + 1)], axis=1
-        )
+        toxic, clean = weight * new, weight * (1 - new)
+        prior = float(np.clip(toxic.sum() / n, 1 / (n + 2), 1 - 1 / (n + 2)))
+        rates = np.stack([(votes.T @ toxic + 0.1) / (toxic.sum() + 1), (votes.T @ clean + 0.1) / (clean.sum() + 1)], axis=1)
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
     return posterior, rates
 
 
+def dependence(votes, posterior, weight):
+    """2 n x the mutual information of each two voters given the class: about chi-square with two degrees of freedom if they are independent."""
+    import numpy as np
+
+    found = np.zeros((votes.shape[1],) * 2)
+    for share in (weight * posterior, weight * (1 - posterior)):
+        n, ones = share.sum(), votes.T @ share
+        both = votes.T @ (votes * share[:, None])
+        for seen, one, two in (
+            (both, ones[:, None], ones[None, :]),
+            (ones[:, None] - both, ones[:, None], n - ones[None, :]),
+            (ones[None, :] - both, n - ones[:, None], ones[None, :]),
+            (n - ones[:, None] - ones[None, :] + both, n - ones[:, None], n - ones[None, :]),
+        ):
+            seen = np.maximum(seen, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found += 2 * np.nan_to_num(seen * np.log(seen * n / (one * two)), nan=0.0, posinf=0.0, neginf=0.0)
+    np.fill_diagonal(found, 0)
+    return found
+
+
+def strongest_tree(strength, level: float = 0.05) -> list[int]:
+    """The parent of each voter (-1: none) in the forest of greatest total strength over the significant pairs.
+
+    A pair is significant if chance reaches its strength with probability below
+    level / number of pairs (exp(-x / 2) for two degrees of freedom). Equal
+    strengths go to the first voter.
+    """
+    import numpy as np
+
+    n = len(strength)
+    least = 2 * np.log(max(1, n * (n - 1) // 2) / level)
+    usable = np.where(strength >= least, strength, 0.0)
+    parent, best, left = np.full(n, -1), np.zeros(n), np.ones(n, bool)
+    for _ in range(n):
+        at = int(np.argmax(np.where(left, best, -1.0)))
+        left[at] = False
+        closer = left & (usable[at] > best)
+        best[closer], parent[closer] = usable[at][closer], at
+    return parent.tolist()
+
+
+def log_loss(posterior, marked, weight) -> float:
+    import numpy as np
+
+    p = np.clip(posterior, 1e-9, 1 - 1e-9)
+    return float(-(weight * (marked * np.log(p) + (1 - marked) * np.log(1 - p))).sum())
+
+
+def correlated_model(votes, posterior, parents, weight=None, rounds: int = 50, marked=None):
+    """EM over a latent class in which a voter depends on its parent as well, from the given posterior.
+
+    marked: the labels of the training rows, where known. Rounds then end with
+    the last one that brought the posterior nearer to them (log loss), as a latent
+    class with free correlations may turn into some other grouping of the texts.
+
+    (posterior of each row, rates[class, vote of the parent, voter]; class 0 is
+    toxic). A rate given a vote of the parent is drawn to the rate without it by
+    the weight of one row, as few rows may show that vote.
+    """
+    import numpy as np
+
+    weight = np.ones(len(votes)) if weight is None else weight
+    parents = np.asarray(parents)
+    led = np.where(parents >= 0, votes[:, parents], 0)
+    rates = np.empty((2, 2, votes.shape[1]))
+    for _ in range(rounds):
+        odds, n = 0.0, weight.sum()
+        for c, share in enumerate((weight * posterior, weight * (1 - posterior))):
+            total, ones = share.sum(), votes.T @ share
+            alone = (ones + 0.1) / (total + 1)
+            with_parent, both = led.T @ share, (votes * led).T @ share
+            rates[c, 0] = (ones - both + alone) / (total - with_parent + 1)
+            rates[c, 1] = (both + alone) / (with_parent + 1)
+            low, high = np.clip(rates[c], 1e-5, 1 - 1e-5)
+            fact = (
+                np.log(1 - low).sum() + votes @ (np.log(low) - np.log(1 - low)) + led @ (np.log(1 - high) - np.log(1 - low))
+                + (votes * led) @ (np.log(high) - np.log(1 - high) - np.log(low) + np.log(1 - low))
+            )
+            odds = odds + (1 - 2 * c) * (np.log(np.clip(total / n, 1 / (n + 2), 1)) + fact)
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        if marked is not None and log_loss(new, marked, weight) >= log_loss(posterior, marked, weight):
+            break
+        moved = np.abs(new - posterior).max()
+        posterior = new
+        if moved < 1e-6:
+            break
+    return posterior, rates
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_voters: int = 400) -> Model:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold, with at most ``max_voters`` mined voters.
 
     labels (doc_id, toxic): null labels are left out, of several labels of one
     document the highest counts. Without toxic or without clean rows the model
     has no voters and every score is below one half. What reaches the driver is
-    bounded by the two parameters: the voters and, per training row with a vote,
-    the numbers of its voters.
+    bounded by the two parameters: the voters and, per training row, the numbers of
+    its voters.
     """
     import numpy as np
 
@@ -202,26 +297,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_voters
 
         for batch in batches:
             hits = [sorted(place[t] for t in features(x) if t in place) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"hits": pa.array([h for h in hits if h], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"hits": pa.array(hits, pa.list_(pa.int32())), "toxic": batch.column("toxic")})
 
-    patterns = rows.select("text").mapInArrow(run, "hits array<int>").groupBy("hits").count().collect()
-    hit = [(list(p["hits"]), p["count"]) for p in patterns]
-    voted = sum(c for _, c in hit)
-    hit.append(([], toxic + clean - voted))
+    patterns = rows.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(run, "hits array<int>, toxic boolean")
+    hit = patterns.groupBy("hits", "toxic").count().collect()
     table = np.zeros((len(hit), len(names)))
-    for i, (h, _) in enumerate(hit):
-        table[i, h] = 1
-    weight = np.array([c for _, c in hit], dtype=float)
+    for i, h in enumerate(hit):
+        table[i, h["hits"]] = 1
+    weight = np.array([h["count"] for h in hit], dtype=float)
+    marked = np.array([h["toxic"] for h in hit], dtype=float)
     groups = independent(table * np.sqrt(weight)[:, None])
     joint = np.stack([table[:, g].max(axis=1) for g in groups], axis=1)
     mined_rate = np.array([[v["toxic"] / toxic, (v["clean"] + 0.1) / clean] for v in voters])
     start = np.stack([mined_rate[g].max(axis=0) for g in groups])
-    expanded = np.repeat(np.arange(len(hit)), weight.astype(int))
-    posterior, rates = label_model(joint[expanded], start, toxic / (toxic + clean))
-    soft = np.zeros(len(hit))
-    soft[expanded] = posterior
+    # dependence is judged given the labels: a free latent class would take two dependent voters for the class itself
+    parents = strongest_tree(dependence(joint, marked, weight))
+    first, _ = label_model(joint, start, toxic / (toxic + clean), rounds=1, weight=weight)
+    soft, _ = correlated_model(joint, first, parents, weight, marked=marked)
+    rates = np.stack([joint.T @ (weight * w) / max((weight * w).sum(), 1e-9) for w in (soft, 1 - soft)], axis=1)
     bias, learnt = linear(table, soft, weight)
-    return Model(bias, dict(zip(names, learnt.tolist())), [[names[j] for j in g] for g in groups], [tuple(r) for r in rates.tolist()])
+    return Model(
+        bias, dict(zip(names, learnt.tolist())), [[names[j] for j in g] for g in groups], [tuple(r) for r in rates.tolist()], parents
+    )
 
 
 def linear(table, target, weight, penalty: float = 0.02, rounds: int = 60):

@@ -28,6 +28,63 @@ def test_label_model_recovers_rates():
     assert np.abs(learnt - rates).max() < 0.1
 
 
+def test_dependent_voters_are_found_and_not_counted_twice():
+    """Voter 1 repeats voter 0 in most rows of either class: its rates given voter 0 are found, the posterior is that of the true model."""
+    rng = np.random.default_rng(2)
+    n = 20_000
+    truth = rng.random(n) < 0.3
+    draw = lambda yes, no: rng.random(n) < np.where(truth, yes, no)
+    votes = np.stack([draw(0.6, 0.2), draw(0, 0), draw(0.5, 0.1), draw(0.7, 0.15), draw(0.6, 0.1)], axis=1)
+    votes[:, 1] = rng.random(n) < np.where(votes[:, 0], 0.8, 0.05)  # says nothing about the class that voter 0 did not
+    votes = votes.astype(float)
+    rates = np.array([[0.6, 0.2], [0.5, 0.2], [0.5, 0.1], [0.7, 0.15], [0.6, 0.1]])
+    alone, _ = toxicity.label_model(votes, rates, 0.3)
+    parents = toxicity.strongest_tree(toxicity.dependence(votes, truth.astype(float), np.ones(n)))
+    assert parents == [-1, 0, -1, -1, -1]
+    first, _ = toxicity.label_model(votes, rates, 0.3, rounds=1)
+    posterior, learnt = toxicity.correlated_model(votes, first, parents, rounds=300)
+    assert np.abs(learnt[:, 1, 1] - 0.8).max() < 0.05 and np.abs(learnt[:, 0, 1] - 0.05).max() < 0.03
+    odds = np.log(0.3 / 0.7) + sum(
+        np.where(votes[:, i] > 0, np.log(rates[i, 0] / rates[i, 1]), np.log((1 - rates[i, 0]) / (1 - rates[i, 1]))) for i in (0, 2, 3, 4)
+    )
+    true = 1 / (1 + np.exp(-odds))
+    assert np.abs(posterior - true).mean() < np.abs(alone - true).mean() / 2
+    # with labels the rounds end where the posterior is nearest to them, and never behind the start
+    label = truth.astype(float)
+    held, _ = toxicity.correlated_model(votes, first, parents, marked=label)
+    assert toxicity.log_loss(held, label, np.ones(n)) <= toxicity.log_loss(first, label, np.ones(n))
+    # independent voters: no tree, and the same posterior as without correlations
+    lone = np.stack([draw(0.6, 0.2), draw(0.5, 0.1), draw(0.7, 0.15)], axis=1).astype(float)
+    assert toxicity.strongest_tree(toxicity.dependence(lone, truth.astype(float), np.ones(n))) == [-1, -1, -1]
+    # a row that stands for three equals three rows
+    few, three = votes[:50], np.repeat(votes[:50], 3, axis=0)
+    one, _ = toxicity.correlated_model(few, alone[:50], parents, np.full(50, 3.0))
+    many, _ = toxicity.correlated_model(three, np.repeat(alone[:50], 3), parents)
+    assert np.allclose(np.repeat(one, 3), many)
+
+
+def test_tree_is_the_strongest_of_all():
+    """Against every forest over four voters."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        s = np.triu(rng.integers(0, 60, (4, 4)).astype(float), 1)
+        s = s + s.T
+        least = 2 * np.log(6 / 0.05)
+        edges = [(i, j) for i, j in combinations(range(4), 2) if s[i, j] >= least]
+        best = 0
+        for k in range(4):
+            for chosen in combinations(edges, k):
+                group = list(range(4))
+                for i, j in chosen:
+                    group = [group[i] if g == group[j] else g for g in group]
+                if len(set(group)) == 4 - k:
+                    best = max(best, sum(s[e] for e in chosen))
+        parents = toxicity.strongest_tree(s)
+        assert sum(s[i, p] for i, p in enumerate(parents) if p >= 0) == best
+
+
 def test_voters_that_agree_are_joined():
     votes = np.zeros((100, 3))
     votes[:20, 0] = votes[:19, 1] = 1
