@@ -22,8 +22,9 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, component): the least node reachable, for every node that has an edge.
 
     edges (a, b) may repeat and point either way; loops and nulls add nothing.
-    A round is a few joins on one row per node and minima that combine before
-    the shuffle, so a node with a third of all edges costs one row per task.
+    Minima combine before the shuffle, so a node costs them one row per task. The
+    joins with the minima do bring all edges of a node to one task, unless Spark
+    splits it as skewed; callers hand on stars to a least node and not all pairs.
     Each round is written to the shared folder; rounds grow with the logarithm
     of the longest chain. Only a count and a checksum reach the driver.
     """
