@@ -34,6 +34,12 @@ def test_alignment_and_uniformity(world, stores):
     assert other == pytest.approx(np.log((e.sum() - n) / (n * (n - 1))))
 
 
+def test_uniformity_of_more_pairs_than_an_integer_counts(spark):
+    store = spark.range(46_400).selectExpr("id", "array(1.0D) as vec")
+    row = D.uniformity(store).first()
+    assert row["n"] == 46_400 and row["uniformity"] == pytest.approx(0.0)
+
+
 def test_closed_forms_equal_pair_statistics(world):
     s = off_diagonal(world["a"])
     r = D.anisotropy(world["gallery"], ["audio"]).first()
