@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 from ..session import materialize
-from .blocks import CLIP_CLAP, System, block_join
+from .blocks import CLIP_CLAP, SLACK, System, block_join
 from .fusion import WEIGHTS, truth_similarities, with_softmax_weights
 from .scoring import _fields, _gallery_columns, _tile, score_top_k
 
@@ -161,24 +161,48 @@ class CandidateGate(System):
     query_col: str = "q_clip"
     min_weight: float = 0.0
     pairs_at_once: int = 65_536
+    sums = False
 
     def columns(self):
         return [self.query_col]
 
-    def candidate_weights(self, q: np.ndarray, sims: np.ndarray) -> np.ndarray:
-        """[n, m, 3] weights for queries [n, d] and scores [n, m, 3]."""
+    def bars(self, spaces, q, sims, truth):
+        """The weights of a pair add up to one, so a score that reaches the truth's has a part that does."""
+        out = np.repeat((truth - 4 * SLACK)[None, :], len(spaces), axis=0)
+        for i, space in enumerate(spaces):  # without a vector all rows score zero
+            out[i, ~space._asks(q)] = np.inf
+        nothing = np.logical_or.reduce([~space._asks(q) for space in spaces]) & (truth <= 4 * SLACK)
+        out[0, nothing | ~np.isfinite(truth)] = -np.inf
+        return out
+
+    def pair_columns(self, q, rows):
+        """What ``fuse`` needs of the queries of pairs: their part of the logits, made once per query."""
+        kept = f"_logits_{self.name}"
+        if kept not in q:
+            q[kept] = self.query_logits(q[self.query_col])
+        return {"_logits": q[kept][rows]}
+
+    def query_logits(self, q: np.ndarray) -> np.ndarray:
+        """[n, 3]: what the query adds to the logits of all its candidates."""
         p = self.params
         feat = layer_norm(linear(q, p["query_fc.weight"], p["query_fc.bias"]),
                           p["query_ln.weight"], p["query_ln.bias"])
         feat = gelu(feat)
+        return feat @ p["fusion_fc.weight"][:, : feat.shape[1]].T + p["fusion_fc.bias"]
+
+    def candidate_weights(self, q: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """[n, m, 3] weights for queries [n, d] and scores [n, m, 3]."""
+        return self._weights(self.query_logits(q), sims)
+
+    def _weights(self, of_query: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        p = self.params
         x = layer_norm(sims, p["sim_ln.weight"], p["sim_ln.bias"])
         h = gelu(layer_norm(linear(x, p["sim_fc1.weight"], p["sim_fc1.bias"]),
                             p["sim_ln1.weight"], p["sim_ln1.bias"]))
         h = gelu(layer_norm(linear(h, p["sim_fc2.weight"], p["sim_fc2.bias"]),
                             p["sim_ln2.weight"], p["sim_ln2.bias"]))
-        wide = feat.shape[1]
-        head = p["fusion_fc.weight"]
-        logits = h @ head[:, wide:].T + (feat @ head[:, :wide].T + p["fusion_fc.bias"])[:, None, :]
+        wide = len(p["query_fc.weight"])
+        logits = h @ p["fusion_fc.weight"][:, wide:].T + of_query[:, None, :]
         w = softmax(logits)
         if self.min_weight > 0:
             w = np.maximum(w, self.min_weight)
@@ -197,10 +221,11 @@ class CandidateGate(System):
         if paired:
             stack = stack[:, None, :]
         out = np.empty(stack.shape[:2])
+        of_query = q["_logits"] if "_logits" in q else self.query_logits(q[self.query_col])
         step = max(1, self.pairs_at_once // max(1, stack.shape[1]))
         for lo in range(0, len(stack), step):
             part = stack[lo : lo + step]
-            w = self.candidate_weights(q[self.query_col][lo : lo + step], part)
+            w = self._weights(of_query[lo : lo + step], part)
             out[lo : lo + step] = (w * part).sum(axis=-1)
         out = out[:, 0] if paired else out
         for gap in gaps:
