@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from ..session import materialize
+from . import sieve
 from .blocks import SLACK, angular_spaces, block_join, settle
 from .scoring import _fields, _gallery_columns, _places_of, _query_columns, vectors_of
 
@@ -18,17 +22,99 @@ class SweepRank:
     behind it under any combination; only the other rows are compared.
     """
 
-    def __init__(self, spaces, combos):
-        self.spaces, self.combos = spaces, np.asarray(combos, dtype=float)
+    def __init__(self, spaces, combos, most: int = 10):
+        self.spaces, self.combos, self.most = spaces, np.asarray(combos, dtype=float), most
+        if most > 255:
+            raise ValueError("counts of more than 255 do not fit a byte")
         if (self.combos < 0).any():
             raise ValueError("fusion weights must not be negative")
 
     def start(self, q):
         truth = [s.truth(q) for s in self.spaces]
         lost = [s.truth_gap(q) for s in self.spaces]
-        return {"truth": truth, "lost": lost, "ahead": np.zeros((len(self.combos), q["_n"]), dtype=np.int64)}
+        bars = None
+        if sieve.suits(self.spaces):
+            least = np.where(self.combos > 0, self.combos, np.inf).min(axis=0)
+            bars = np.full((len(self.spaces), q["_n"]), np.inf)
+            for bar, s, t, w in zip(bars, self.spaces, truth, least):
+                used = s._asks(q) & (w < np.inf)
+                bar[used] = t[used] - sieve.TIE / w
+            # a combination may leave only spaces in which all rows tie
+            asked = np.stack([s._asks(q) for s in self.spaces])
+            idle = ((self.combos > 0).astype(float) @ asked == 0).any(axis=0)
+            gone = np.logical_or.reduce([x for x in lost if x is not None], initial=False)
+            bars[0, idle | gone | ~np.isfinite(np.stack(truth)).all(axis=0)] = -np.inf
+        return {
+            "truth": truth, "lost": lost, "bars": bars,
+            "ahead": np.zeros((len(self.combos), q["_n"]), dtype=np.int64),
+        }
 
     def update(self, state, q, g):
+        """Combinations are taken in groups of near ones.
+
+        The weights of a group lie in a box, which bounds the lead of a row over the
+        truth for all of them; only rows whose lead may change its sign within the
+        box are compared combination by combination.
+        """
+        found = None if state["bars"] is None else sieve.sift(q, g, self.spaces, state["bars"])
+        if found is None:
+            return self._all_pairs(state, q, g)
+        rows, cols, values, errors = found
+        other = g["id"][cols] != q["truth"][rows]
+        rows, cols, values = rows[other], cols[other], [v[other] for v in values]
+        sims, slips = sieve.rough(self.spaces, q, g, rows, cols, values, errors)
+        least, most = self.combos.min(axis=0), self.combos.max(axis=0)
+        lead = [s - t[rows] for s, t in zip(sims, state["truth"])]
+        reach = sum(np.maximum(lo * d, hi * d) + hi * e for lo, hi, d, e in zip(least, most, lead, slips))
+        free = self._free(state, q, g, rows, cols)
+        may = np.flatnonzero((reach >= -sieve.TIE) | free)
+        rows, cols, free = rows[may], cols[may], free[may]
+        sims = sieve.exact(self.spaces, q, g, rows, cols)
+        gaps = sieve.gaps_of(self.spaces, q, g, rows, cols)
+        lead = [s - t[rows] for s, t in zip(sims, state["truth"])]
+        for group in self._groups():
+            least, most = self.combos[group].min(axis=0), self.combos[group].max(axis=0)
+            top = sum(np.maximum(lo * d, hi * d) for lo, hi, d in zip(least, most, lead))
+            low = sum(np.minimum(lo * d, hi * d) for lo, hi, d in zip(least, most, lead))
+            always = (low > sieve.TIE) & ~free
+            state["ahead"][group] += np.bincount(rows[always], minlength=q["_n"])
+            open_ = np.flatnonzero(((top >= -sieve.TIE) & ~always) | free)
+            part = [None if gap is None else gap[open_] for gap in gaps]
+            self._compare(state, q, g, group, rows[open_], cols[open_], [s[open_] for s in sims], part)
+        return state
+
+    def _free(self, state, q, g, rows, cols):
+        """Pairs that no box decides: a vector is missing, or a score is not a number."""
+        free = ~np.isfinite(np.stack(state["truth"])).all(axis=0)[rows]
+        for gap in sieve.gaps_of(self.spaces, q, g, rows, cols):
+            if gap is not None:
+                free |= gap
+        for gone in state["lost"]:
+            if gone is not None:
+                free |= gone[rows]
+        return free
+
+    def _groups(self):
+        order = np.lexsort((self.combos[:, 0], self.combos[:, 2]))
+        return [order[lo : lo + 16] for lo in range(0, len(order), 16)]
+
+    def _compare(self, state, q, g, group, rows, cols, scores, gaps):
+        """Count the pairs ahead of the truth, for each combination of the group."""
+        earlier = g["id"][cols] < q["truth"][rows]
+        lost = [None if gap is None else gap[rows] for gap in state["lost"]]
+        own = [t[rows] for t in state["truth"]]
+        for i, w in zip(group, self.combos[group]):
+            fused = settle(sum(wi * s for wi, s in zip(w, scores)))
+            gt = settle(sum(wi * t for wi, t in zip(w, own)))
+            for wi, gap, gone in zip(w, gaps, lost):
+                if wi and gap is not None:
+                    fused = np.where(gap, -np.inf, fused)
+                if wi and gone is not None:
+                    gt = np.where(gone, -np.inf, gt)
+            ahead = (fused > gt) | ((fused == gt) & earlier)
+            state["ahead"][i] += np.bincount(rows[ahead], minlength=q["_n"])
+
+    def _all_pairs(self, state, q, g):
         sims = [s.scores(q, g) for s in self.spaces]
         near = np.zeros(sims[0].shape, dtype=bool)
         gaps = [s.gap(q, g) for s in self.spaces]
@@ -39,29 +125,56 @@ class SweepRank:
                 near[lost] = True
         near[_places_of(q["truth"], g["id"])] = False
         rows, cols = np.nonzero(near)
-        earlier = g["id"][cols] < q["truth"][rows]
         scores = [s[rows, cols] for s in sims]
         gaps = [None if gap is None else gap[rows, cols] for gap in gaps]
-        lost = [None if gap is None else gap[rows] for gap in state["lost"]]
-        for i, w in enumerate(self.combos):
-            fused = settle(sum(wi * s for wi, s in zip(w, scores)))
-            gt = settle(sum(wi * t for wi, t in zip(w, state["truth"])))[rows]
-            for wi, gap, gone in zip(w, gaps, lost):
-                if wi and gap is not None:
-                    fused = np.where(gap, -np.inf, fused)
-                if wi and gone is not None:
-                    gt = np.where(gone, -np.inf, gt)
-            ahead = (fused > gt) | ((fused == gt) & earlier)
-            state["ahead"][i] += np.bincount(rows[ahead], minlength=q["_n"])
+        self._compare(state, q, g, np.arange(len(self.combos)), rows, cols, scores, gaps)
         return state
 
     def finish(self, state, q):
-        c, n = state["ahead"].shape
-        return {
-            "combo": np.repeat(np.arange(c, dtype=np.int64), n),
-            "qid": np.tile(q["qid"], c),
-            "ahead": state["ahead"].reshape(-1),
-        }
+        """One row per query: its counts of all combinations, a byte each, as no more than ``most`` matter."""
+        counts = np.minimum(state["ahead"].T, self.most).astype(np.uint8)
+        return {"qid": q["qid"], "ahead": [row.tobytes() for row in np.ascontiguousarray(counts)]}
+
+
+def _hits(partial: DataFrame, combos: int, ks) -> DataFrame:
+    """(combo, n, r*): over all queries, how many have their truth among the first k.
+
+    ``partial`` has one row per query and cell. A task adds the counts of its
+    queries in order of their ids and hands on one row per combination.
+    """
+    schema = StructType([StructField(n, LongType()) for n in ("combo", "n", *[f"r{k}" for k in ks])])
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        hits, n, last, held = np.zeros((len(ks), combos), dtype=np.int64), 0, None, None
+
+        def settled(ahead):
+            for hit, k in zip(hits, ks):
+                hit += (ahead < k).sum(axis=0)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_pylist()
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), combos)
+            starts = [i for i, x in enumerate(ids) if i == 0 or x != ids[i - 1]]
+            sums = np.add.reduceat(rows, starts, axis=0, dtype=np.int64)
+            if held is not None and ids[0] == last:
+                sums[0] += held
+            elif held is not None:
+                settled(held[None, :])
+                n += 1
+            settled(sums[:-1])
+            n += len(sums) - 1
+            last, held = ids[-1], sums[-1]
+        if held is not None:
+            settled(held[None, :])
+            n += 1
+            columns = [np.arange(combos), np.full(combos, n), *hits]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow_schema)
+
+    dealt = partial.repartition("qid").sortWithinPartitions("qid").select("qid", "ahead")
+    return dealt.mapInArrow(run, schema).groupBy("combo").agg(*[F.sum(c).alias(c) for c in schema.names[1:]])
 
 
 def sweep_recall(
@@ -73,17 +186,12 @@ def sweep_recall(
     scaled = [(v, t, a * scale_a) for v, t, a in combos]
     q = _query_columns(queries, spaces, (), ["truth"])
     g = _gallery_columns(gallery, spaces)
-    schema = StructType(
-        [StructField("combo", LongType())] + _fields(q, ["qid"]) + [StructField("ahead", LongType())]
-    )
+    schema = StructType(_fields(q, ["qid"]) + [StructField("ahead", BinaryType())])
     partial = block_join(
-        q, g, SweepRank(spaces, scaled), schema, q_key=["qid"], g_key=["id"],
+        q, g, SweepRank(spaces, scaled, max(ks)), schema, q_key=["qid"], g_key=["id"],
         truth=vectors_of(spaces), limits=limits,
     )
-    ranks = partial.groupBy("combo", "qid").agg((F.sum("ahead") + 1).alias("rk"))
-    by_combo = ranks.groupBy("combo").agg(
-        *[F.avg((F.col("rk") <= k).cast("int")).alias(f"r{k}") for k in ks]
-    )
+    by_combo = _hits(partial, len(combos), ks).select("combo", *[(F.col(f"r{k}") / F.col("n")).alias(f"r{k}") for k in ks])
     weights = [F.lit([float(c[i]) for c in combos]) for i in range(3)]
     at = (F.col("combo") + 1).cast("int")
     named = [F.element_at(w, at).alias(n) for w, n in zip(weights, ("w_v", "w_t", "w_a"))]
@@ -144,7 +252,8 @@ def weight_sweep(queries: DataFrame, gallery: DataFrame, limits=None) -> DataFra
     Selecting on the queries that are also reported overstates the result;
     ``sweep_train_select`` is the sound form.
     """
-    coarse = sweep_recall(queries, gallery, coarse_grid(), limits=limits)
+    # read twice, a row per combination
+    coarse = materialize(sweep_recall(queries, gallery, coarse_grid(), limits=limits), "coarse")
     best3 = _weights(best_first(coarse).limit(3).collect())
     fine = sweep_recall(queries, gallery, fine_grid(best3), limits=limits)
     return coarse.withColumn("stage", F.lit("coarse")).unionByName(

@@ -6,6 +6,7 @@ from helpers import unit
 
 from modalweave.operators import scoring as S
 from modalweave.operators import sieve
+from modalweave.operators import sweeps as Z
 from modalweave.operators.blocks import CLIP_CLAP, System, angular_spaces
 from modalweave.operators.gates import CandidateGate, candidate_gate_shapes, seeded_parameters
 
@@ -71,3 +72,27 @@ def test_few_pairs_are_fused(monkeypatch):
     kernel = S.TruthRank(CLIP_CLAP, (SYSTEMS[2],), [])
     kernel.update(kernel.start(q), q, g)
     assert sum(seen) < 0.2 * 400 * 8000
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+@pytest.mark.parametrize("spaces", [CLIP_CLAP, angular_spaces()], ids=["cosine", "angular"])
+def test_sweeps_count_as_over_all_pairs(gaps, spaces):
+    q, g = tile(gaps=gaps)
+    combos = [(v, t, a * 0.8) for v, t, a in Z.coarse_grid()] + [(0, 0, 1), (0.5, 0.5, 0)]
+    kernel = Z.SweepRank(spaces, combos)
+    found = kernel.update(kernel.start(q), q, g)
+    assert found["bars"] is not None
+    rows, cols = np.nonzero(q["truth"][:, None] != g["id"][None, :])
+    every = kernel.start(q)  # copies of the truth tie with it only by the same sums
+    args = [f(spaces, q, g, rows, cols) for f in (sieve.exact, sieve.gaps_of)]
+    kernel._compare(every, q, g, np.arange(len(combos)), rows, cols, *args)
+    assert (found["ahead"] == every["ahead"]).all()
+
+
+def test_a_sweep_compares_few_pairs_by_combination(monkeypatch):
+    q, g = tile(400, 8000)
+    seen, compare = [], Z.SweepRank._compare
+    monkeypatch.setattr(Z.SweepRank, "_compare", lambda self, *a: seen.append(len(a[3]) * len(a[4])) or compare(self, *a))
+    kernel = Z.SweepRank(angular_spaces(), Z.coarse_grid())
+    kernel.update(kernel.start(q), q, g)
+    assert sum(seen) < 0.02 * 400 * 8000 * len(kernel.combos)
