@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import vectors as V
+from ..session import materialize
 from .blocks import CLIP_CLAP, System
 from .quantiles import exact_quantiles, lookup
-from .scoring import score_stats, truth_ranks
+from .scoring import best_scores, score_stats, truth_ranks
 
 WEIGHTS = ("w_v", "w_t", "w_a")
 MODALITY_NAMES = ("visual", "caption", "audio")
@@ -63,8 +64,9 @@ def scaled_audio(df: DataFrame, scale_a: float = 0.8) -> DataFrame:
 
 def max_confidence(queries, gallery, tau: float = 1.0, spaces=CLIP_CLAP, limits=None) -> DataFrame:
     """Weights = softmax of each modality's best score for the query."""
-    stats = score_stats(queries, gallery, spaces, limits=limits)
-    best = stats.groupBy("qid").pivot("space", [s.name for s in spaces]).agg(F.first("hi"))
+    stats = best_scores(queries, gallery, spaces, limits=limits)
+    # a pass over all pairs, while the weights are read several times
+    best = materialize(stats.groupBy("qid").pivot("space", [s.name for s in spaces]).agg(F.first("hi")), "best-scores")
     joined = queries.join(best, "qid")
     return with_softmax_weights(joined, [F.col(s.name) / tau for s in spaces]).drop(
         *[s.name for s in spaces]
@@ -85,7 +87,7 @@ def mean_confidence(queries, gallery, tau: float = 1.0, spaces=CLIP_CLAP, limits
         return with_softmax_weights(queries, [m / tau for m in means])
     stats = score_stats(queries, gallery, spaces, limits=limits)
     mean = stats.withColumn("m", F.col("s1") / F.col("n"))
-    wide = mean.groupBy("qid").pivot("space", [s.name for s in spaces]).agg(F.first("m"))
+    wide = materialize(mean.groupBy("qid").pivot("space", [s.name for s in spaces]).agg(F.first("m")), "mean-scores")
     joined = queries.join(wide, "qid")
     return with_softmax_weights(joined, [F.col(s.name) / tau for s in spaces]).drop(
         *[s.name for s in spaces]
@@ -251,7 +253,7 @@ def routing_table(queries: DataFrame, gallery: DataFrame, spaces=CLIP_CLAP, limi
     """Per query: weights, dominant modality, spread, best score per modality, fused best."""
     from .scoring import score_top_k
 
-    stats = score_stats(queries, gallery, spaces, limits=limits)
+    stats = best_scores(queries, gallery, spaces, limits=limits)
     best = stats.groupBy("qid").pivot("space", [s.name for s in spaces]).agg(F.first("hi"))
     best = best.select("qid", *[F.col(s.name).alias(f"max_sim_{s.name}") for s in spaces])
     top = score_top_k(queries, gallery, 1, spaces, (GATED,), limits=limits)

@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 from helpers import unit
 
+from modalweave.operators import fusion as G
 from modalweave.operators import scoring as S
 from modalweave.operators import sieve
 from modalweave.operators import sweeps as Z
-from modalweave.operators.blocks import CLIP_CLAP, System, angular_spaces
+from modalweave.operators.blocks import CLIP_CLAP, Space, System, angular_spaces
 from modalweave.operators.gates import CandidateGate, candidate_gate_shapes, seeded_parameters
+from modalweave.session import materialize
 
 D = 8
 SYSTEMS = (
@@ -96,3 +98,58 @@ def test_a_sweep_compares_few_pairs_by_combination(monkeypatch):
     kernel = Z.SweepRank(angular_spaces(), Z.coarse_grid())
     kernel.update(kernel.start(q), q, g)
     assert sum(seen) < 0.02 * 400 * 8000 * len(kernel.combos)
+
+
+METRICS = tuple(Space(m, "q_clap", "audio", m) for m in ("cosine", "angular", "neg_euclidean", "neg_manhattan"))
+ALONE = tuple(System(s.name, tuple(float(i == j) for j in range(4))) for i, s in enumerate(METRICS))
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+@pytest.mark.parametrize("spaces,systems", [(METRICS, ALONE), (CLIP_CLAP, SYSTEMS[:4])], ids=["metrics", "sums"])
+def test_top_lists_are_those_of_all_pairs(gaps, spaces, systems):
+    q, g = tile(m=2000, gaps=gaps)
+    kernel = S.TopK(5, spaces, systems, "truth")
+    found = kernel.finish(kernel.update(kernel.start(q), q, g), q)
+    kept = [i for i, w in enumerate(found["system"]) if w != "own" or q["w_v"][found["qid"][i]] > 0]
+    rows, cols = np.nonzero(q["truth"][:, None] != g["id"][None, :])
+    sims, lost = (f(spaces, q, g, rows, cols) for f in (sieve.exact, sieve.gaps_of))
+    want = []
+    for system in systems:
+        score = S.settle(system.fuse(system.pair_columns(q, rows), sims, lost))
+        order = np.lexsort((g["id"][cols], -score, rows))
+        order = order[score[order] > -np.inf]
+        place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+        want += [(system.name, rows[i], g["id"][cols[i]], score[i]) for i in order[place < 5]]
+    want = [w for w in want if w[0] != "own" or q["w_v"][w[1]] > 0]
+    got = [(found["system"][i], found["qid"][i], found["id"][i], found["score"][i]) for i in kept]
+    assert [w[:3] for w in got] == [w[:3] for w in want]
+    assert np.allclose([w[3] for w in got], [w[3] for w in want], atol=1e-11)
+
+
+def test_top_lists_score_few_pairs_exactly(monkeypatch):
+    q, g = tile(400, 8000)
+    seen, fuse = [], System.fuse
+    monkeypatch.setattr(System, "fuse", lambda self, q, sims, gaps=(): seen.append(sims[0].size) or fuse(self, q, sims, gaps))
+    kernel = S.TopK(5, CLIP_CLAP, (SYSTEMS[2],))
+    kernel.update(kernel.start(q), q, g)
+    assert sum(seen) < 0.2 * 400 * 8000
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+@pytest.mark.parametrize("spaces", [CLIP_CLAP, angular_spaces()], ids=["cosine", "angular"])
+def test_best_scores_are_those_of_all_pairs(gaps, spaces):
+    q, g = tile(m=2000, gaps=gaps)
+    kernel = S.BestScore(spaces)
+    found = kernel.update(kernel.start(q), q, g)
+    every = kernel.start(q)
+    kernel._all_pairs(every, q, g, spaces)
+    assert np.allclose(found, every, atol=2e-12)
+
+
+def test_confidences_are_made_once(spark, world, monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    q = G.max_confidence(world["queries"], world["gallery"], 1.0, angular_spaces())
+    q = G.mean_confidence(q.drop(*G.WEIGHTS), world["gallery"], 1.0, angular_spaces())
+    assert made == ["best-scores", "mean-scores"]
+    assert q.count() == world["n"] and q.filter("abs(w_v + w_t + w_a - 1) > 1e-9").count() == 0
