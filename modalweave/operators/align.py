@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import vectors as V
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -260,6 +261,7 @@ def local_scaling(gallery: DataFrame, queries: DataFrame, q_col: str, g_col: str
 
     def rescaled(df, key, col):
         sigma = kth_neighbor_sim(df.select(F.col(key).alias("id"), F.col(col).alias("vec")), k, limits)
+        sigma = materialize(sigma, "neighbours")  # a pass over all pairs, read several times
         factor = 1.0 / F.sqrt(F.greatest(F.col("sigma"), F.lit(1e-3)))
         return (
             df.join(sigma.withColumnRenamed("id", key), key)
