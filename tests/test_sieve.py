@@ -153,3 +153,16 @@ def test_confidences_are_made_once(spark, world, monkeypatch):
     q = G.mean_confidence(q.drop(*G.WEIGHTS), world["gallery"], 1.0, angular_spaces())
     assert made == ["best-scores", "mean-scores"]
     assert q.count() == world["n"] and q.filter("abs(w_v + w_t + w_a - 1) > 1e-9").count() == 0
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_exponential_sums_are_made_in_small_tiles(gaps, monkeypatch):
+    q, g = tile(gaps=gaps)
+    kernel = S.ExpSum(CLIP_CLAP, SYSTEMS[1:3], 0.1)
+    whole = kernel.start(q)
+    kernel._add(whole, q, g)
+    sizes, add = [], S.ExpSum._add
+    monkeypatch.setattr(S.ExpSum, "_add", lambda self, s, q, g: sizes.append(q["_n"] * g["_n"]) or add(self, s, q, g))
+    found = kernel.update(kernel.start(q), q, g)
+    assert max(sizes) <= sieve.ROWS * sieve.COLUMNS
+    assert np.allclose(found["all"], whole["all"], rtol=1e-12)
