@@ -20,7 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike (five-word shingles, similarity of 0.8 or more) one row with the least doc_id stays."""
+    """Of each group of texts alike (five-word shingles, similarity of 0.8 or more) one row with the least doc_id stays.
+
+    SimHash classes (pivots, popcount) are searched first, bands of shingle minima bring what lies beyond three bits; shingle sets decide.
+    """
     return simhash.keep_first(docs, simhash.similar_documents(docs))
 
 

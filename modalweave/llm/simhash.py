@@ -7,7 +7,8 @@ radius at any pivot is discarded without being compared.
 
 Two measures of likeness are offered: ``near_duplicates`` links fingerprints
 within three bits, ``similar_documents`` links texts with a Jaccard similarity of
-their word shingles from a threshold on.
+their word shingles from a threshold on: the classes of near fingerprints are
+searched first, keys of shingle minima bring in what lies beyond three bits.
 """
 
 from __future__ import annotations
@@ -50,28 +51,30 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         import numpy as np
         import xxhash
 
-        digest, weights = xxhash.xxh64_intdigest, np.uint64(1) << np.arange(64, dtype=np.uint64)
-        block = 1 << 16
-
         def one(text):
             split = text.encode().lower().split()
             if not split:
                 return (0,)
             n = max(1, len(split) - words + 1)
             parts = zip(*(split[i:] for i in range(words))) if len(split) >= words else [split]
-            hashes = np.fromiter(map(digest, map(b" ".join, parts), repeat(42)), np.uint64, n)
-            ones = np.zeros(64, np.int64)
-            for i in range(0, n, block):  # bounded memory for a very long text
-                bits = np.unpackbits(hashes[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones += bits.sum(axis=0, dtype=np.int64)
-            value = int(weights[2 * ones > n].sum()) if (2 * ones > n).any() else 0
-            return (value - (1 << 64) if value >= 1 << 63 else value,)
+            return (majority(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(42)), np.uint64, n)),)
 
         return one
 
     return per_document(documents(docs), "fingerprint bigint", row)
 
 
+def majority(hashes, block: int = 1 << 16) -> int:
+    """The fingerprint of a text's shingle hashes, as a signed 64-bit integer: a bit is 1 if set in over half of them."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), block):  # bounded memory for a very long text
+        bits = np.unpackbits(hashes[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def pivots(seed: int = 20):
     import numpy as np
 
@@ -211,11 +214,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     name that classes without an id have as well.
     """
     marked = materialize(fingerprints(docs, words), "simhash")
-    nodes = materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    # rows of one doc_id with different texts: give each fingerprint a node of its own
-    numbered = nodes.select("fingerprint", F.col("fingerprint").alias("node"), F.col("node").alias("least"))
-    found = connected(links(numbered.select("node", "fingerprint")), "simhash-links")
-    classes = numbered.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    classes = nodes.join(near_classes(nodes.select("fingerprint"), radius), "fingerprint")
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("fingerprint", "component_id", "component")
     return marked.join(named, "fingerprint").select(
@@ -223,6 +223,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     )
 
 
+def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, component) of distinct fingerprints: the least one reachable by steps within the radius."""
+    # rows of one doc_id may have different texts: each fingerprint is a node of its own
+    numbered = prints.select(F.col("fingerprint").alias("node"), "fingerprint")
+    found = connected(links(numbered, radius), "simhash-links")
+    return numbered.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
+
+
 def words_digest(df: DataFrame) -> DataFrame:
     """(doc_id, node) of (doc_id, text): the node of ``sketches`` alone."""
 
@@ -267,13 +275,13 @@ def keep_first(docs: DataFrame, found: DataFrame, marks: Callable[[DataFrame], D
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, node, bands, shingles) of each whole text.
+    """(doc_id, node, bands, shingles, fingerprint) of each whole text.
 
-    Words as in ``fingerprints``; here each distinct shingle counts once. node is
+    fingerprint and words as in ``fingerprints``; elsewhere each distinct shingle counts once. node is
     a 128-bit digest of the words, so texts that differ in spacing or in the case
     of A-Z are one node. bands hold digests of their minima under random orders, shingles the sorted
     upper 32 bits of their hashes (two sets of 500 hold a false match with chance
-    0.00006, which counts only within one shingle of the threshold). Both are
+    0.00006, which counts only within one shingle of the threshold). All three are
     null for a text without words.
     """
 
@@ -292,21 +300,22 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
             split = text.encode().lower().split()
             node = xxhash.xxh3_128_hexdigest(b" ".join(split))
             if not split:
-                return node, None, None
+                return node, None, None, None
             n = max(1, len(split) - words + 1)
             parts = zip(*(split[i:] for i in range(words))) if len(split) >= words else [split]
-            distinct = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(42)), np.uint64, n))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(42)), np.uint64, n)
+            distinct = np.unique(hashes)
             least = np.full(len(odd), (1 << 64) - 1, np.uint64)
             for i in range(0, len(distinct), block):
                 part = distinct[i : i + block]
                 least = np.minimum(least, ((part[:, None] ^ flip) * odd).min(axis=0))
             short = np.unique((distinct >> np.uint64(32)).astype(np.uint32))
             digests = [xxhash.xxh64_intdigest(least[b * MINIMA : (b + 1) * MINIMA].tobytes(), b) for b in range(BANDS)]
-            return node, np.array(digests, np.uint64).view(np.int64).tolist(), short.tobytes()
+            return node, np.array(digests, np.uint64).view(np.int64).tolist(), short.tobytes(), majority(hashes)
 
         return one
 
-    return per_document(documents(docs), "node string, bands array<bigint>, shingles binary", row)
+    return per_document(documents(docs), "node string, bands array<bigint>, shingles binary, fingerprint bigint", row)
 
 
 def joined(sets: list, left, right, label, similarity: float):
@@ -334,14 +343,30 @@ def joined(sets: list, left, right, label, similarity: float):
         left, right = left[128:], right[128:]
 
 
-def similar_links(texts: DataFrame, sets: DataFrame, similarity: float, chunk: int = SET_CHUNK) -> DataFrame:
-    """(a, b): edges that connect what candidate pairs of at least the similarity connect.
+def similar_links(
+    texts: DataFrame, sets: DataFrame, similarity: float, chunk: int = SET_CHUNK, found: DataFrame | None = None
+) -> DataFrame:
+    """``set_links`` of the texts (node, bands), one row per node, that share a band.
 
-    texts (node, bands), one row per node; sets (node, shingles), any number of
-    equal rows per node. Candidates share a band; the shingle sets of all of them
-    decide. Sets are looked up only for nodes that share a band with another.
+    Bands all of whose texts found (node, component) has in one component are left out.
     """
     keyed = texts.select("node", F.posexplode("bands").alias("band", "bits"))
+    if found is not None:
+        named = texts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = named.select("node", "component", F.posexplode("bands").alias("band", "bits"))
+        ends = named.groupBy("band", "bits").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+        several = named.join(ends.where("_least != _most"), ["band", "bits"], "left_semi")
+        keyed = materialize(several.select("node", "band", "bits"), "similar-open")
+    return set_links(keyed, sets, similarity, chunk)
+
+
+def set_links(keyed: DataFrame, sets: DataFrame, similarity: float, chunk: int = SET_CHUNK) -> DataFrame:
+    """(a, b): edges that connect what candidate pairs of at least the similarity connect.
+
+    keyed (node, band, bits): candidates agree in band and bits; sets (node, shingles), any number of
+    equal rows per node. The shingle sets of all candidates decide. Sets are looked up only for nodes
+    that share a key with another.
+    """
     cells = materialize(pair_cells(keyed, ["band", "bits"], "node", chunk), "similar-cells")
     # written, so that Spark knows its size: broadcast below its threshold, else both sides are shuffled
     listed = materialize(cells.select("node").distinct(), "similar-wanted")
@@ -374,16 +399,28 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     Texts of equal words are one node, whatever their spacing or the case of A-Z;
     null and empty texts are equal too. A text of fewer words than a shingle is
     one shingle. component_id and component as in ``near_duplicates``: the least doc_id
-    reachable, null where a class has no id, and the class itself. A pair is missed only if it shares no
+    reachable, null where a class has no id, and the class itself.
+
+    The classes of ``near_classes`` (fingerprints within three bits, by blocks, pivots and
+    popcount) are searched first: their shingle sets are compared and what reaches the similarity
+    is linked. Most pairs at 0.8 differ in more bits, so texts that share a band of minima
+    are searched next, but for bands whose texts the first search has already joined. A
+    pair is missed only if its fingerprints are in different classes and it shares no
     band (see there); no pair below the similarity is linked. similarity 0.8 or
     more suits the bands.
     """
     if similarity < 0.8:
         raise ValueError("bands are laid out for similarities from 0.8 on")
     marked = materialize(sketches(docs, words), "similar")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "similar-nodes")
-    edges = similar_links(nodes.select("node", "bands"), marked.select("node", "shingles"), similarity)
+    firsts = [F.first(c).alias(c) for c in ("bands", "fingerprint")]
+    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts), "similar-nodes")
+    sets = marked.select("node", "shingles")
+    near = near_classes(nodes.where("fingerprint IS NOT NULL").select("fingerprint").distinct())
+    near = nodes.select("node", "fingerprint").join(near, "fingerprint")
+    near = set_links(near.select("node", F.lit(-1).alias("band"), F.col("component").alias("bits")), sets, similarity)
+    near = materialize(near, "similar-near")
+    beyond = similar_links(nodes.select("node", "bands"), sets, similarity, found=connected(near, "similar-near"))
+    edges = near.unionByName(beyond)
     classes = nodes.join(connected(edges, "similar-links"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id", "component")

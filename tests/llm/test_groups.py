@@ -194,6 +194,35 @@ def test_similar_short_texts_with_distant_fingerprints(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {2 * k + n: 2 * k for k in words for n in (0, 1)}
 
 
+def test_near_fingerprints_are_searched_before_the_bands(spark, monkeypatch):
+    """Classes of fingerprints within three bits give their links without any band, and leave settled bands out of the second search."""
+    rng, rows = random.Random(11), []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(400)]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(3):
+            words = list(words)
+            words[rng.randrange(400)] = "x"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, left = simhash.similar_links, []
+
+    def no_bands(texts, sets, similarity, **given):
+        left.append(plain(texts, sets, similarity, **given).count())
+        return texts.selectExpr("node AS a", "node AS b").limit(0)
+
+    monkeypatch.setattr(simhash, "similar_links", no_bands)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.fingerprints(df, 5).collect()}
+    root = roots(prints, [(x, y) for x in prints for y in range(x) if ((prints[x] ^ prints[y]) & (1 << 64) - 1).bit_count() <= 3])
+    assert got == root and len(set(root.values())) < 40
+    # a group that is one class by its fingerprints has no band left to search
+    whole = [4 * k for k in range(12) if len({root[4 * k + n] for n in range(4)}) == 1]
+    assert whole
+    one = df.where(F.col("doc_id").between(whole[0], whole[0] + 3))
+    assert {r["component_id"] for r in simhash.similar_documents(one).collect()} == {whole[0]} and left[1] == 0 < left[0]
+
+
 def test_similar_texts_in_hot_keys_and_chunks(spark):
     """One large group of near copies in which many pairs are below the similarity: every chunk size connects the same."""
     rng = random.Random(9)
