@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 from ..session import materialize
+from . import sieve
 from .blocks import CLIP_CLAP, SLACK, System, block_join
 from .fusion import WEIGHTS, truth_similarities, with_softmax_weights
 from .scoring import _fields, _gallery_columns, _tile, score_top_k
@@ -333,6 +335,170 @@ def softmax_moments(queries, gallery, spaces=CLIP_CLAP, limits=None) -> DataFram
     return partial.groupBy("qid").agg(*[F.sum(c).alias(c) for c in ("z", "z_v", "z_t", "z_a")])
 
 
+#: Powers of the two free weights in the expansion of a query's sum, lowest degree first; the third weight is one minus both.
+DEGREE = 4
+TERMS = [(n - j, j) for n in range(DEGREE + 1) for j in range(n + 1)]
+Z_TERMS = [f"z{i}{j}" for i, j in TERMS]
+#: Relative error of a sum from which a new expansion is made.
+EXPANSION_ERROR = 1e-8
+#: Rows and columns of a tile that stays in a core's cache.
+EXPANSION_ROWS, EXPANSION_COLUMNS = 128, 512
+
+
+def _cubic_rest(degree: int = 6) -> np.ndarray:
+    """Coefficients of (e^s - 1 - s - s^2/2) / s^3 between -1 and 1, to 1e-8."""
+    series = lambda s: sum(s**k / math.factorial(k + 3) for k in range(20))
+    fit = np.polynomial.chebyshev.chebinterpolate(series, degree)
+    return np.polynomial.chebyshev.cheb2poly(fit).astype(np.float32)
+
+
+_REST = _cubic_rest()
+
+
+class WeightExpansion:
+    """Per query: the sum of e^s over the gallery as a polynomial in its weights, around those in WEIGHTS.
+
+    s = w_v s_v + w_t s_t + w_a s_a with weights that add up to one, so with u = (s_v - s_a, s_t - s_a)
+    and a step d of the first two weights the sum is that of e^s (d.u)^n / n!. Of e^s the part
+    1 + s + s^2/2 is summed in double precision by sums and Gram matrices, without pairs; what is left
+    (s^3/6 and beyond, e^s from the third power of u on) is small and goes through all pairs in single precision.
+    For plain cosine spaces and vectors up to length one.
+    """
+
+    def __init__(self, spaces):
+        self.spaces = spaces
+
+    def start(self, q):
+        return np.zeros((len(TERMS), q["_n"]))
+
+    def update(self, state, q, g):
+        self._low(state, q, g)
+        self._rest(state, q, g)
+        return state
+
+    def _low(self, state, q, g):
+        if "_sums" not in g:
+            names = [s.g for s in self.spaces]
+            g["_sums"] = [g[n].sum(axis=0) for n in names], [[g[n].T @ g[m] for m in names] for n in names]
+        sums, grams = g["_sums"]
+        a = [q[s.q] for s in self.spaces]
+        w = [q[n] for n in WEIGHTS]
+        one = [x @ m for x, m in zip(a, sums)]
+        two = [[np.einsum("ij,ij->i", x @ grams[i][j], y) for j, y in enumerate(a)] for i, x in enumerate(a)]
+        by_w = [sum(t * x for t, x in zip(row, w)) for row in two]
+        state[0] += g["_n"] + sum(x * (m + b / 2) for x, m, b in zip(w, one, by_w))
+        for k, i in ((1, 0), (2, 1)):
+            state[k] += one[i] - one[2] + by_w[i] - by_w[2]
+        for k, i, j in ((3, 0, 0), (4, 0, 1), (5, 1, 1)):
+            state[k] += two[i][j] - two[i][2] - two[2][j] + two[2][2]
+
+    def _rest(self, state, q, g):
+        left = [sieve.single(q, s.q)[0] for s in self.spaces]
+        right = [sieve.single(g, s.g)[0] for s in self.spaces]
+        w = [q[n].astype(np.float32)[:, None] for n in WEIGHTS[:2]]
+        shape = min(EXPANSION_ROWS, q["_n"]), min(EXPANSION_COLUMNS, g["_n"])
+        kept = [np.empty(shape, np.float32) for _ in range(10)]
+        for lo in range(0, q["_n"], EXPANSION_ROWS):
+            rows = slice(lo, lo + EXPANSION_ROWS)
+            for at in range(0, g["_n"], EXPANSION_COLUMNS):
+                tile = [(x[rows], y[at : at + EXPANSION_COLUMNS]) for x, y in zip(left, right)]
+                u, v, s, half, rest, e_u, e_v, uu, uv, vv = (k[: len(tile[0][0]), : len(tile[0][1])] for k in kept)
+                for to, (x, y) in zip((u, v, s), tile):
+                    np.matmul(x, y.T, out=to)
+                u -= s
+                v -= s
+                s += np.multiply(w[0][rows], u, out=half)
+                s += np.multiply(w[1][rows], v, out=half)
+                np.multiply(s, s, out=half)
+                np.multiply(s, _REST[-1], out=rest)
+                for c in _REST[-2:0:-1]:
+                    rest += c
+                    rest *= s
+                rest += _REST[0]
+                rest *= half
+                rest *= s  # e^s less its terms to the second power, then to the first, to the constant, none
+                half *= 0.5
+                out = [rest.sum(axis=1)]
+                rest += half
+                out += [np.vecdot(rest, u), np.vecdot(rest, v)]
+                rest += s
+                np.multiply(rest, u, out=e_u)
+                np.multiply(rest, v, out=e_v)
+                out += [np.vecdot(e_u, u), np.vecdot(e_u, v), np.vecdot(e_v, v)]
+                rest += 1
+                np.multiply(u, u, out=uu)
+                np.multiply(u, v, out=uv)
+                np.multiply(v, v, out=vv)
+                np.multiply(rest, uu, out=e_u)
+                np.multiply(rest, vv, out=e_v)
+                out += [np.vecdot(e_u, u), np.vecdot(e_u, v), np.vecdot(e_v, u), np.vecdot(e_v, v)]
+                out += [np.vecdot(e_u, uu), np.vecdot(e_u, uv), np.vecdot(e_u, vv), np.vecdot(e_v, uv), np.vecdot(e_v, vv)]
+                state[:, rows] += out
+
+    def finish(self, state, q):
+        return {"qid": q["qid"]} | dict(zip(Z_TERMS, state))
+
+
+def weight_expansion(queries, gallery, spaces=CLIP_CLAP, limits=None) -> DataFrame:
+    """(qid, z00, z10, ...): ``WeightExpansion`` of each query, in one pass over all pairs."""
+    q = queries.select(*dict.fromkeys(["qid", *[s.q for s in spaces], *WEIGHTS]))
+    schema = StructType(_fields(q, ["qid"]) + [StructField(n, DoubleType()) for n in Z_TERMS])
+    g = _gallery_columns(gallery, spaces)
+    partial = block_join(q, g, WeightExpansion(spaces), schema, q_key=["qid"], g_key=["id"], limits=limits)
+    return partial.groupBy("qid").agg(*[F.sum(c).alias(c) for c in Z_TERMS])
+
+
+def can_expand(queries, gallery, spaces=CLIP_CLAP) -> bool:
+    """Plain cosine spaces, vectors all there and no longer than one?"""
+    if len(spaces) != 3 or any((s.metric, s.tau, s.scale, s.factor) != ("cosine", 1.0, 1.0, None) for s in spaces):
+        return False
+    for df, names in ((queries, {s.q for s in spaces}), (gallery, {s.g for s in spaces})):
+        names = sorted(names)
+        longest = df.agg(*[F.max(F.coalesce(V.norm(n), F.lit(math.inf))).alias(n) for n in names]).first()
+        if not all(longest[n] is not None and longest[n] <= 1 + 1e-6 for n in names):
+            return False
+    return True
+
+
+_SLOPES = [f"b{j}" for j in range(3)] + [f"w{i}{j}" for i in range(3) for j in range(3)]
+
+
+def _expanded_step(table: DataFrame, w: np.ndarray, b: np.ndarray):
+    """Mean loss and slopes at W and b by the expansions in table, and the largest relative error of a sum."""
+    names = ["n", "loss", *_SLOPES, "error"]
+    schema = StructType([StructField(n, DoubleType()) for n in names])
+
+    def run(batches):
+        for batch in batches:
+            col = lambda *cs: np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cs])
+            f, t, centre, terms = col("f_v", "f_t", "f_a"), col("t_0", "t_1", "t_2"), col(*WEIGHTS), col(*Z_TERMS)
+            z = f.T @ w + b
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            now = (e / e.sum(axis=1, keepdims=True)).T
+            d = now - centre
+            total, slope = 0.0, [0.0, 0.0, 0.0]
+            for (i, j), c in zip(TERMS, terms):
+                c = c / (math.factorial(i) * math.factorial(j))
+                total = total + c * d[0] ** i * d[1] ** j
+                if i:
+                    slope[0] = slope[0] + c * i * d[0] ** (i - 1) * d[1] ** j
+                if j:
+                    slope[1] = slope[1] + c * j * d[0] ** i * d[1] ** (j - 1)
+            far = np.abs(d).sum(axis=0)
+            spread = np.maximum(d[0] ** 2 * terms[3] + 2 * d[0] * d[1] * terms[4] + d[1] ** 2 * terms[5], 0.0)
+            error = np.exp(far) * far ** (DEGREE - 1) * spread / math.factorial(DEGREE + 1) / np.abs(total)
+            # slopes against that of the third score, which takes nothing from the differences between them
+            h = np.stack([x / total for x in slope]) - t
+            grad = now * (h - (now * h).sum(axis=0))
+            sums = [len(far), (np.log(total) - (now * t).sum(axis=0)).sum(), *grad.sum(axis=1), *(f @ grad.T).ravel(), error.max(initial=0.0)]
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in sums], names)
+
+    parts = table.mapInArrow(run, schema)
+    return parts.agg(
+        F.max("error").alias("error"), *[(F.sum(c) / F.sum("n")).alias(c) for c in ("loss", *_SLOPES)]
+    ).first()
+
+
 def linear_gate_weights(queries: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
     """w = softmax(features @ W + b) over the columns f_v, f_t, f_a."""
     f = [F.col(c) for c in ("f_v", "f_t", "f_a")]
@@ -356,27 +522,45 @@ def mean_score_features(queries: DataFrame, gallery: DataFrame, spaces=CLIP_CLAP
 def fit_linear_gate(
     queries: DataFrame, gallery: DataFrame, lr: float = 0.5, steps: int = 5, spaces=CLIP_CLAP
 ) -> dict:
-    """W (3x3) and b (3) by gradient steps on the softmax cross entropy of the truth."""
+    """W (3x3) and b (3) by gradient steps on the softmax cross entropy of the truth.
+
+    One pass over all pairs expands the sum of each query in its weights and serves all steps whose weights stay
+    near enough (``EXPANSION_ERROR``); then the next pass is made. Spaces or vectors that this does not
+    suit (``can_expand``) take a pass per step.
+    """
     base = mean_score_features(truth_similarities(queries, gallery, spaces), gallery, spaces)
     base = materialize(base, "linear-gate")
     w, b = np.zeros((3, 3)), np.zeros(3)
-    history = []
+    history, table, expands = [], None, can_expand(base, gallery, spaces)
     for _ in range(steps):
-        weighted = linear_gate_weights(base, w, b)
-        moments = softmax_moments(weighted, gallery, spaces)
-        joined = weighted.join(moments, "qid")
-        wt = [F.col(c) for c in WEIGHTS]
-        fused_truth = sum(x * F.col(f"t_{s.name}") for x, s in zip(wt, spaces))
-        slope = [F.col(f"z_{s.name}") / F.col("z") - F.col(f"t_{s.name}") for s in spaces]
-        inner = sum(x * s for x, s in zip(wt, slope))
-        logit_grad = [x * (s - inner) for x, s in zip(wt, slope)]
-        aggs = [F.avg(F.ln("z") - fused_truth).alias("loss")]
-        for j, gj in enumerate(logit_grad):
-            aggs.append(F.avg(gj).alias(f"b{j}"))
-            for i, f in enumerate(("f_v", "f_t", "f_a")):
-                aggs.append(F.avg(F.col(f) * gj).alias(f"w{i}{j}"))
-        row = joined.agg(*aggs).first()
+        if expands:
+            row = _expanded_step(table, w, b) if table is not None else None
+            if row is None or not row["error"] <= EXPANSION_ERROR:
+                weighted = linear_gate_weights(base, w, b)
+                truths = [F.col(f"t_{s.name}").alias(f"t_{i}") for i, s in enumerate(spaces)]
+                known = weighted.select("qid", "f_v", "f_t", "f_a", *truths, *WEIGHTS)
+                table = materialize(known.join(weight_expansion(weighted, gallery, spaces), "qid"), "expansion")
+                row = _expanded_step(table, w, b)
+        else:
+            row = _full_step(base, gallery, spaces, w, b)
         history.append(row["loss"])
         w = w - lr * np.array([[row[f"w{i}{j}"] for j in range(3)] for i in range(3)])
         b = b - lr * np.array([row[f"b{j}"] for j in range(3)])
     return {"W": w, "b": b, "history": history}
+
+
+def _full_step(base: DataFrame, gallery: DataFrame, spaces, w: np.ndarray, b: np.ndarray):
+    """Mean loss and slopes at W and b by a pass over all pairs."""
+    weighted = linear_gate_weights(base, w, b)
+    joined = weighted.join(softmax_moments(weighted, gallery, spaces), "qid")
+    wt = [F.col(c) for c in WEIGHTS]
+    fused_truth = sum(x * F.col(f"t_{s.name}") for x, s in zip(wt, spaces))
+    slope = [F.col(f"z_{s.name}") / F.col("z") - F.col(f"t_{s.name}") for s in spaces]
+    inner = sum(x * s for x, s in zip(wt, slope))
+    logit_grad = [x * (s - inner) for x, s in zip(wt, slope)]
+    aggs = [F.avg(F.ln("z") - fused_truth).alias("loss")]
+    for j, gj in enumerate(logit_grad):
+        aggs.append(F.avg(gj).alias(f"b{j}"))
+        for i, f in enumerate(("f_v", "f_t", "f_a")):
+            aggs.append(F.avg(F.col(f) * gj).alias(f"w{i}{j}"))
+    return joined.agg(*aggs).first()

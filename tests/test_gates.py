@@ -154,6 +154,33 @@ def test_linear_fit_follows_the_gradient(world):
     assert np.allclose(fit["W"], w, atol=1e-6) and np.allclose(fit["b"], b, atol=1e-6)
 
 
+@pytest.mark.parametrize("lr, passes", [(0.5, 1), (40.0, 3)])
+def test_linear_fit_makes_few_passes(world, monkeypatch, lr, passes):
+    """One pass serves the steps whose weights stay near; the figures are those of a pass per step."""
+    plain, made = N.weight_expansion, []
+    monkeypatch.setattr(N, "weight_expansion", lambda *a, **k: made.append(1) or plain(*a, **k))
+    fit = N.fit_linear_gate(world["queries"], world["gallery"], lr=lr, steps=3)
+    assert 1 <= len(made) <= passes and (passes == 1 or len(made) > 1)
+    monkeypatch.setattr(N, "can_expand", lambda *a: False)
+    made.clear()
+    full = N.fit_linear_gate(world["queries"], world["gallery"], lr=lr, steps=3)
+    assert not made and fit["history"] == pytest.approx(full["history"], abs=2e-8)
+    assert np.allclose(fit["W"], full["W"], atol=1e-7 * lr) and np.allclose(fit["b"], full["b"], atol=1e-7 * lr)
+
+
+def test_expansion_in_blocks(world):
+    """Sums of e^s at and beside the weights, from queries and gallery in a grid of blocks."""
+    q = N.linear_gate_weights(world["queries"].selectExpr("*", "0.1 AS f_v", "0.2 AS f_t", "0.3 AS f_a"), np.eye(3), np.zeros(3))
+    for limits in (None, GRID):
+        rows = N.weight_expansion(q, world["gallery"], limits=limits).join(q.select("qid", *G.WEIGHTS), "qid").orderBy("qid").collect()
+        assert len(rows) == world["n"]
+        for d in ((0.0, 0.0), (0.02, -0.03)):
+            sums = [sum(r[n] * d[0] ** i * d[1] ** j / math.factorial(i) / math.factorial(j) for n, (i, j) in zip(N.Z_TERMS, N.TERMS)) for r in rows]
+            w = np.array([[r[n] for n in G.WEIGHTS] for r in rows]) + [d[0], d[1], -d[0] - d[1]]
+            s = sum(world["sims"][m] * w[:, i, None] for i, m in enumerate("vta"))
+            assert sums == pytest.approx(np.exp(s).sum(axis=1), rel=3e-8)
+
+
 def angular(world):
     a = {m: 1 - np.arccos(np.clip(s, -1, 1)) / np.pi for m, s in world["sims"].items()}
     a["a"] = a["a"] / 0.5
