@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from modalweave.operators import blocks as B
 from modalweave.operators import scoring as S
 from modalweave.operators.blocks import CLIP_CLAP, Limits, Space, System, angular_spaces
 
@@ -260,3 +261,11 @@ def test_partial_rows_hold_no_carried_column():
     schema = StructType([StructField(n, StringType()) for n in names])
     partial = Merge(("system",), ("qid", "truth", "category"), {"better": "sum"}).partial(schema)
     assert partial.names == ["system", "better", "_row"]
+
+
+def test_every_cell_has_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    cells = spark.range(16).withColumn("_cell", B._cell_of(spark, 16, F.col("id").cast("int")))
+    dealt = cells.repartition(16, "_cell").groupBy(F.spark_partition_id()).count()
+    assert [r["count"] for r in dealt.collect()] == [1] * 16

@@ -166,3 +166,14 @@ def test_exponential_sums_are_made_in_small_tiles(gaps, monkeypatch):
     found = kernel.update(kernel.start(q), q, g)
     assert max(sizes) <= sieve.ROWS * sieve.COLUMNS
     assert np.allclose(found["all"], whole["all"], rtol=1e-12)
+
+
+def test_long_lists_gather_the_vectors_of_few_pairs_at_once(monkeypatch):
+    q, g = tile(400, 8000)
+    seen, paired = [], Space.paired
+    monkeypatch.setattr(Space, "paired", lambda self, a, b: seen.append(len(a)) or paired(self, a, b))
+    kernel = S.TopK(50, CLIP_CLAP, (S.EQUAL,))
+    state = kernel.update(kernel.start(q), q, g)
+    assert max(seen) <= 2**16 and sum(seen) < 3 * 0.1 * 400 * 8000
+    every = kernel._all_pairs(kernel.start(q), q, g)
+    assert all((a == b).all() for a, b in zip(state[0][0][:2], every[0][0][:2]))
