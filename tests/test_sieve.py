@@ -177,3 +177,24 @@ def test_long_lists_gather_the_vectors_of_few_pairs_at_once(monkeypatch):
     assert max(seen) <= 2**16 and sum(seen) < 3 * 0.1 * 400 * 8000
     every = kernel._all_pairs(kernel.start(q), q, g)
     assert all((a == b).all() for a, b in zip(state[0][0][:2], every[0][0][:2]))
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_truths_far_behind_are_ranked_without_scores_of_all_pairs(monkeypatch, gaps):
+    q, g = tile(400, 8000, gaps=gaps)
+    rng = np.random.default_rng(5)
+    for name in ("q_clip", "q_clap"):  # queries that know nothing of their truth
+        q[name] = np.where(q.get(f"_null_{name}", np.zeros(400, bool))[:, None], 0.0, unit(rng, 400, D))
+    factors = (Space("v", "q_clip", "visual"), Space("f", "q_clip", "visual", factor="f"), Space("a", "q_clap", "audio"))
+    g["f"] = rng.random(8000)
+    q["gt_f"] = g["f"][[list(g["id"]).index(t) for t in q["truth"]]]
+    for spaces in (CLIP_CLAP, factors):
+        kernel = S.TruthRank(spaces, SYSTEMS[:4], [])
+        every = kernel._all_pairs(kernel.start(q), q, g)
+        seen, paired = [], Space.paired
+        with monkeypatch.context() as m:
+            m.setattr(Space, "paired", lambda self, a, b: seen.append(len(a)) or paired(self, a, b))
+            m.setattr(Space, "scores", None)
+            found = kernel.update(kernel.start(q), q, g)
+        assert (found["better"] == every["better"]).all()
+        assert sum(seen) < 0.1 * 400 * 8000
