@@ -310,7 +310,7 @@ def _softmax_forms_sql():
 def _(spark, sf):
     """Five published names of one formula: equal temperatures give equal losses."""
     q, g = _io(spark, sf)
-    by_tau = {t: O.softmax_ce(q, g, t, systems=_SYSTEMS) for t in set(O.SOFTMAX_TAUS.values())}
+    by_tau = O.softmax_ces(q, g, tuple(sorted(set(O.SOFTMAX_TAUS.values()))), systems=_SYSTEMS)
     out = None
     for form, tau in O.SOFTMAX_TAUS.items():
         part = by_tau[tau].select(F.lit(form).alias("form"), "system", "loss")

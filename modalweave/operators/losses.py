@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import materialize
+from . import sieve
 from .blocks import CLIP_CLAP, block_join
 from .fusion import WEIGHTS, soft_oracle, truth_similarities
 from .scoring import (
@@ -17,6 +19,7 @@ from .scoring import (
     _tile,
     _truth,
     exp_sums,
+    exp_sums_of,
     score_pairs,
     score_top_k,
     truth_scores,
@@ -35,6 +38,14 @@ def softmax_ce(queries, gallery, tau=1.0, spaces=CLIP_CLAP, systems=(EQUAL,), li
     return sums.groupBy("system").agg(F.avg(F.ln("e_all")).alias("loss"))
 
 
+def softmax_ces(queries, gallery, taus, spaces=CLIP_CLAP, systems=(EQUAL,), limits=None) -> dict:
+    """tau -> (system, loss) as in ``softmax_ce``; one pass over the pairs serves all temperatures."""
+    means = [F.avg(F.ln(f"e_{j}")).alias(f"l_{j}") for j in range(len(taus))]
+    table = exp_sums_of(queries, gallery, taus, spaces, systems, limits=limits).groupBy("system").agg(*means)
+    table = materialize(table, "softmax")
+    return {t: table.select("system", F.col(f"l_{j}").alias("loss")) for j, t in enumerate(taus)}
+
+
 # Default temperature of each named form.
 SOFTMAX_TAUS = {"ce": 1.0, "listnet": 0.1, "listmle": 0.1, "mnrl": 0.07, "info_nce": 0.07}
 
@@ -76,6 +87,46 @@ class ApproxNdcg:
         return {"truth": self.system.fuse(q, truth, gaps), "num": np.zeros(q["_n"]), "den": np.zeros(q["_n"])}
 
     def update(self, state, q, g):
+        if g["_n"] < sieve.MANY or not np.isfinite(state["truth"]).all() or any(f"_null_{s.g}" in g for s in self.spaces):
+            return self._all_pairs(state, q, g)
+        if "_ordered" not in g:
+            order = np.argsort(g["place"], kind="stable")
+            g["_ordered"] = {n: v[order] for n, v in g.items() if isinstance(v, np.ndarray)} | {"_n": g["_n"]}
+        scores = sieve.Dense.of([self.system], self.spaces, q, g["_ordered"])
+        if scores is None or (scores.reach()[0] + np.abs(state["truth"])).max() > 80 * self.tau:
+            return self._all_pairs(state, q, g)
+        return self._dense(state, q, g["_ordered"], scores)
+
+    def _dense(self, state, q, g, scores):
+        """In single precision, by the order of places: a weight belongs to a place before the truth or after it."""
+        own, place = q["truth_place"], g["place"]
+        late, early = 1.0 / np.log2(np.maximum(place, 1) + 1.0), 1.0 / np.log2(place + 2.0)
+        before, after = (np.searchsorted(place, own, side=side) for side in ("left", "right"))
+        of_early, of_late = (np.concatenate([[0.0], np.cumsum(w)]) for w in (early, late))
+        state["den"] += of_early[before] + of_late[-1] - of_late[after]
+        late, early = late.astype(np.float32), early.astype(np.float32)
+        truth = (state["truth"] / self.tau).astype(np.float32)[None, :]
+        shape = (min(sieve.STEP, scores.n), scores.width)
+        kept, spare = np.empty(shape, np.float32), np.empty(shape, np.float32)
+        for _, at, score in scores.tiles():
+            m = len(score)
+            x = kept[:m]
+            np.subtract(truth, sieve.times(score, scores.scales[0] / self.tau, x, spare[:m]), out=x)
+            np.exp(x, out=x)
+            x += np.float32(1)
+            np.reciprocal(x, out=x)
+            w_early, w_late = early[at : at + m], late[at : at + m]
+            lo, hi = before - at, after - at  # rows [lo, hi) hold the truth itself
+            if (lo >= m).any():
+                state["num"] += np.where(lo >= m, w_early @ x, 0.0)
+            if (hi <= 0).any():
+                state["num"] += np.where(hi <= 0, w_late @ x, 0.0)
+            for k in np.flatnonzero((hi > 0) & (lo < m)):
+                a, b = max(lo[k], 0), min(hi[k], m)
+                state["num"][k] += w_early[:a] @ x[:a, k] + w_late[b:] @ x[b:, k]
+        return state
+
+    def _all_pairs(self, state, q, g):
         sims, gaps = _tile(self.spaces, q, g)
         with np.errstate(invalid="ignore"):
             diff = (state["truth"][:, None] - self.system.fuse(q, sims, gaps)) / self.tau

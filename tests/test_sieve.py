@@ -5,6 +5,7 @@ import pytest
 from helpers import unit
 
 from modalweave.operators import fusion as G
+from modalweave.operators import losses as O
 from modalweave.operators import scoring as S
 from modalweave.operators import sieve
 from modalweave.operators import sweeps as Z
@@ -198,3 +199,35 @@ def test_truths_far_behind_are_ranked_without_scores_of_all_pairs(monkeypatch, g
             found = kernel.update(kernel.start(q), q, g)
         assert (found["better"] == every["better"]).all()
         assert sum(seen) < 0.1 * 400 * 8000
+
+
+def test_exponential_sums_of_all_temperatures_come_from_one_pass_in_single_precision(monkeypatch):
+    q, g = tile(300, 8000)
+    taus = (0.07, 0.1, 1.0)
+    every = []
+    for tau in taus:
+        kernel = S.ExpSum(CLIP_CLAP, SYSTEMS[:3], tau)
+        whole = kernel.start(q)
+        kernel._add(whole, q, g)
+        every.append(np.log(whole["all"][0]))
+    kernel = S.ExpSum(CLIP_CLAP, SYSTEMS[:3], taus)
+    monkeypatch.setattr(S.ExpSum, "_add", None)
+    found = np.log(kernel.update(kernel.start(q), q, g)["all"])
+    off = found - every
+    assert np.abs(off).max() < 5e-6 and np.abs(off.mean(axis=2)).max() < 2e-7, (np.abs(off).max(), off.mean(axis=2))
+
+
+def test_smooth_ndcg_in_single_precision(monkeypatch):
+    q, g = tile(300, 8000)
+    rng = np.random.default_rng(2)
+    places = rng.choice(20_000, 8000, replace=False)
+    g["place"] = places
+    at = dict(zip(g["id"], places))
+    # some truths are rows of another tile
+    q["truth_place"] = np.array([at[t] if i % 3 else 20_000 + i for i, t in enumerate(q["truth"])])
+    kernel = O.ApproxNdcg(CLIP_CLAP, S.EQUAL, 0.1)
+    every = kernel._all_pairs(kernel.start(q), q, g)
+    monkeypatch.setattr(O, "_tile", None)
+    found = kernel.update(kernel.start(q), q, g)
+    assert np.allclose(found["den"], every["den"], rtol=1e-12)
+    assert np.abs(found["num"] / every["num"] - 1).max() < 1e-6
