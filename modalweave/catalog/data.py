@@ -345,7 +345,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.scoring import score_stats
 
-    st = score_stats(X.queries(spark, sf), X.gallery(spark, sf), thresholds=(0.5, 0.3, 0.1, -0.1))
+    st = score_stats(X.queries(spark, sf), X.gallery(spark, sf), thresholds=(0.5, 0.3, 0.1, -0.1), ends=False)
     n, s1, s2 = F.sum("n"), F.sum("s1"), F.sum("s2")
     return st.groupBy("space").agg(
         n.alias("n"), F.sum("above_0").alias("above_50"), F.sum("above_1").alias("above_30"),

@@ -85,7 +85,7 @@ def mean_confidence(queries, gallery, tau: float = 1.0, spaces=CLIP_CLAP, limits
             V.dot(s.q, A.constant_vector(centres[s.g])) / s.tau * s.scale for s in spaces
         ]
         return with_softmax_weights(queries, [m / tau for m in means])
-    stats = score_stats(queries, gallery, spaces, limits=limits)
+    stats = score_stats(queries, gallery, spaces, limits=limits, ends=False)
     mean = stats.withColumn("m", F.col("s1") / F.col("n"))
     wide = materialize(mean.groupBy("qid").pivot("space", [s.name for s in spaces]).agg(F.first("m")), "mean-scores")
     joined = queries.join(wide, "qid")

@@ -231,3 +231,17 @@ def test_smooth_ndcg_in_single_precision(monkeypatch):
     found = kernel.update(kernel.start(q), q, g)
     assert np.allclose(found["den"], every["den"], rtol=1e-12)
     assert np.abs(found["num"] / every["num"] - 1).max() < 1e-6
+
+
+@pytest.mark.parametrize("spaces, thresholds", [(CLIP_CLAP, (0.5, 0.1, -0.1)), (angular_spaces(), ())], ids=["cosine", "angular"])
+def test_statistics_without_ends_score_few_pairs_in_double_precision(monkeypatch, spaces, thresholds):
+    q, g = tile(300, 8000)
+    q["q_clip"] /= np.linalg.norm(q["q_clip"], axis=1, keepdims=True)
+    q["q_clip"][:3] = g["visual"][:3]  # the angle is steep at a cosine of one
+    kernel = S.ScoreStats(spaces, None, thresholds, ends=False)
+    every = kernel._all_pairs(kernel.start(q), q, g, range(3))
+    monkeypatch.setattr(Space, "scores", None)
+    found = kernel.update(kernel.start(q), q, g)
+    assert (found["n"] == every["n"]).all() and (found["above"] == every["above"]).all()
+    for name in ("s1", "s2"):
+        assert np.abs(found[name] - every[name]).max() / 8000 < 3e-8
