@@ -245,3 +245,17 @@ def test_statistics_without_ends_score_few_pairs_in_double_precision(monkeypatch
     assert (found["n"] == every["n"]).all() and (found["above"] == every["above"]).all()
     for name in ("s1", "s2"):
         assert np.abs(found[name] - every[name]).max() / 8000 < 3e-8
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_lists_by_manhattan_distance_are_sifted_in_integers(gaps, monkeypatch):
+    q, g = tile(300, 6000, gaps=gaps)
+    q["q_clap"][7] = 0.0
+    kernel = S.TopK(5, (Space("m", "q_clap", "audio", "neg_manhattan"),), (System("m", (1,)),))
+    every = kernel._all_pairs(kernel.start(q), q, g)
+    sizes, scores = [], Space.scores
+    monkeypatch.setattr(Space, "scores", lambda self, q, g, known=None: sizes.append(g["_n"]) or scores(self, q, g, known))
+    monkeypatch.setattr(sieve, "single", lambda block, name, single=sieve.single: single(block, name) and (np.zeros((block["_n"], D), "f4"), single(block, name)[1]))
+    found = kernel.update(kernel.start(q), q, g)
+    assert sum(sizes) == 256  # single precision is not asked for the rest
+    assert all((a == b).all() for a, b in zip(found[0][0][:3], every[0][0][:3]))
