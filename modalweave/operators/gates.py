@@ -25,19 +25,32 @@ _GRID = np.arange(-6.0, 6.0 + 2 * _STEP, _STEP)
 _ERF = np.array([math.erf(x) for x in _GRID])
 
 
+def _cells() -> np.ndarray:
+    """Coefficients of the cubic of every step, from the constant on."""
+    y, d = _ERF, 2.0 / math.sqrt(math.pi) * _STEP * np.exp(-(_GRID**2))
+    y0, y1, d0, d1 = y[:-1], y[1:], d[:-1], d[1:]
+    return np.stack([y0, d0, 3 * (y1 - y0) - 2 * d0 - d1, 2 * (y0 - y1) + d0 + d1])
+
+
+_CELLS = _cells()
+_AT_ONCE = 16_384  # numbers whose cubics stay in a core's cache
+
+
 def erf(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -6.0, 6.0)
-    i = ((x + 6.0) / _STEP).astype(np.int64)
-    t = (x - _GRID[i]) / _STEP
-    slope = 2.0 / math.sqrt(math.pi) * _STEP
-    d0, d1 = slope * np.exp(-_GRID[i] ** 2), slope * np.exp(-_GRID[i + 1] ** 2)
-    y0, y1 = _ERF[i], _ERF[i + 1]
-    return (
-        y0 * (1 + 2 * t) * (1 - t) ** 2
-        + d0 * t * (1 - t) ** 2
-        + y1 * t * t * (3 - 2 * t)
-        + d1 * t * t * (t - 1)
-    )
+    flat = np.ascontiguousarray(x, dtype=np.float64).reshape(-1)
+    out = np.empty_like(flat)
+    for lo in range(0, len(flat), _AT_ONCE):
+        t = np.clip(flat[lo : lo + _AT_ONCE], -6.0, 6.0)
+        t += 6.0
+        t *= 1.0 / _STEP
+        i = t.astype(np.int32)
+        t -= i
+        y = _CELLS[3].take(i)
+        for c in (2, 1, 0):
+            y *= t
+            y += _CELLS[c].take(i)
+        out[lo : lo + _AT_ONCE] = y
+    return out.reshape(np.shape(x))
 
 
 def gelu(x):
@@ -177,6 +190,15 @@ class CandidateGate(System):
         out[0, nothing | ~np.isfinite(truth)] = -np.inf
         return out
 
+    def most(self, sims, slips):
+        """The highest fused score that pairs with these scores, up to their errors, can have.
+
+        The weights add up to one and none is below its share of ``min_weight``; the rest may lie on the best score.
+        """
+        least = self.min_weight / (1.0 + (len(sims) - 1) * self.min_weight) * (1.0 - 1e-9)
+        high = [s + e for s, e in zip(sims, slips)]
+        return least * sum(high) + (1.0 - len(sims) * least) * np.maximum.reduce(high)
+
     def pair_columns(self, q, rows):
         """What ``fuse`` needs of the queries of pairs: their part of the logits, made once per query."""
         kept = f"_logits_{self.name}"

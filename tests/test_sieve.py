@@ -259,3 +259,17 @@ def test_lists_by_manhattan_distance_are_sifted_in_integers(gaps, monkeypatch):
     found = kernel.update(kernel.start(q), q, g)
     assert sum(sizes) == 256  # single precision is not asked for the rest
     assert all((a == b).all() for a, b in zip(found[0][0][:3], every[0][0][:3]))
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_the_gate_sees_pairs_that_its_least_weights_let_through(monkeypatch, gaps):
+    q, g = tile(200, 3000, gaps=gaps)
+    kernel = S.TruthRank(CLIP_CLAP, (GATE,), [])
+    every = kernel._all_pairs(kernel.start(q), q, g)
+    state = kernel.start(q)
+    weights, seen = CandidateGate._weights, []
+    monkeypatch.setattr(CandidateGate, "_weights", lambda self, of, sims: seen.append(sims[..., 0].size) or weights(self, of, sims))
+    bars = sieve.sift(q, g, CLIP_CLAP, state["bars"])
+    found = kernel.update(state, q, g)
+    assert (found["better"] == every["better"]).all()
+    assert sum(seen) < (1.0 if gaps else 0.9) * len(bars[0])
