@@ -107,11 +107,11 @@ class ApproxNdcg:
         late, early = late.astype(np.float32), early.astype(np.float32)
         truth = (state["truth"] / self.tau).astype(np.float32)[None, :]
         shape = (min(sieve.STEP, scores.n), scores.width)
-        kept, spare = np.empty(shape, np.float32), np.empty(shape, np.float32)
+        kept = np.empty(shape, np.float32)
         for _, at, score in scores.tiles():
             m = len(score)
             x = kept[:m]
-            np.subtract(truth, sieve.times(score, scores.scales[0] / self.tau, x, spare[:m]), out=x)
+            np.subtract(truth, sieve.times(score, scores.scales[0] / self.tau, x), out=x)
             np.exp(x, out=x)
             x += np.float32(1)
             np.reciprocal(x, out=x)
